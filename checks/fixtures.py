@@ -192,7 +192,7 @@ def geodesic_sql(source: str, keep: str, name: str, lat1="lat", lon1="lon", lat2
         f"{name}_u AS (SELECT {keep}, ss, cs, sg, cm, ca*({a}*{a}-{b}*{b})/({b}*{b}) AS us FROM {name}_r6)",
         f"{name}_k AS (SELECT {keep}, ss, cs, sg, cm, 1+us/16384*(4096+us*(-768+us*(320-175*us))) AS ka, "
         f"us/1024*(256+us*(-128+us*(74-47*us))) AS kb FROM {name}_u)",
-        f"{name} AS (SELECT {keep}, {b}*ka*(sg-kb*ss*(cm+kb/4*(cs*(2*cm*cm-1)-kb/6*cm*(4*ss*ss-3)*(4*cm*cm-3)))) "
+        f"{name} AS MATERIALIZED (SELECT {keep}, {b}*ka*(sg-kb*ss*(cm+kb/4*(cs*(2*cm*cm-1)-kb/6*cm*(4*ss*ss-3)*(4*cm*cm-3)))) "
         f"AS distance FROM {name}_k)",
     ]
     return ", ".join(ctes)

@@ -55,16 +55,16 @@ def _tag_columns():
 )))
 def ingest_osm(spark, sf):
     """Nodes written as OSM XML, one with a repeated key, and read back."""
-    def tag(key):
-        return F.when(F.col(key).isNotNull(), F.concat(F.lit(f'<tag k="{key}" v="'), F.col(key), F.lit('"/>')))
+    def tag(key, value=None):
+        value = F.col(key) if value is None else F.lit(value)
+        return F.when(F.col(key).isNotNull(), F.struct(F.lit(key).alias("_k"), value.alias("_v")))
 
-    stale = F.when(F.col("amenity").isNotNull(), F.lit('<tag k="amenity" v="closed"/>'))
-    xml = F.concat(
-        F.format_string('<node id="%d" lat="%s" lon="%s">', "id", F.col("lat").cast("string"), F.col("lon").cast("string")),
-        F.concat_ws("", stale, tag("amenity"), tag("shop"), tag("name")), F.lit("</node>"),
-    )
+    node_tags = F.array_compact(F.array(tag("amenity", "closed"), tag("amenity"), tag("shop"), tag("name")))
     path = scratch_path(spark, "osm")
-    fx.flat_pois(spark, sf).select(xml.alias("value")).write.text(path)
+    nodes = fx.flat_pois(spark, sf).select(
+        F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), node_tags.alias("tag")
+    )
+    nodes.write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(path)
     return osm.read_osm(spark, path).select("id", "lat", "lon", *_tag_columns())
 
 
@@ -730,7 +730,7 @@ def _vector_sql(where: str = "true", a="ev", b="qev", ctes=(), k=K, base="pv, qv
         f"c AS (SELECT qid, id, lat, lon, qlat, qlon, round(list_cosine_similarity({a},{b}),9) AS similarity FROM {base} WHERE {where})",
         fx.geodesic_sql("c", "qid, id, similarity", "g"),
         "r AS (SELECT qid, id, distance, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, round(distance,6), id) AS rank FROM g)",
-        select=f"SELECT qid, CAST(rank AS INT) AS rank, id, round(distance,3) AS distance, round(similarity,6) AS similarity FROM r WHERE rank <= {k}",
+        select=f"SELECT qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, round(similarity,6) AS similarity FROM r WHERE rank <= {k}",
     )
 
 
@@ -816,7 +816,7 @@ def _contrastive(spark, sf, asked):
     return search.fused_search(fused, asked, K)
 
 
-@query(_contrastive_sql("qid, CAST(rank AS INT) AS rank, id, round(distance,3) AS distance, round(similarity,6) AS similarity"))
+@query(_contrastive_sql("qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, round(similarity,6) AS similarity"))
 def contrastive_knn(spark, sf):
     """Text and location fused by the contrastive weights."""
     return _vector_rows(_contrastive(spark, sf, fx.queries(spark, sf).drop("radius_deg")))
@@ -1158,7 +1158,7 @@ def lsh_knn(spark, sf):
     "r AS (SELECT '' AS family, qid, id, distance, CAST(NULL AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round(distance,6), id) AS rank FROM g1 "
     "UNION ALL SELECT 'embedded_', qid, id, distance, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, round(distance,6), id) FROM g2)",
     "m AS (SELECT * FROM (VALUES ('no_index',''),('spatial_keyword_index',''),('pgvector_embedding','embedded_'),('spatial_and_pgvector_embedding','embedded_')) t(method, family))",
-    select="SELECT method, 'dataset' AS source, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(distance,3) AS distance, round(similarity,6) AS similarity "
+    select="SELECT method, 'dataset' AS source, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, round(similarity,6) AS similarity "
            "FROM r JOIN m USING (family), (SELECT unnest([1,10]) AS k) WHERE rank <= k",
 ))
 def compare_methods(spark, sf):
@@ -1184,7 +1184,7 @@ def _sweep_sql(scores: str, ctes, base: str, first=fx.EV) -> str:
         first, fx.q_sql(), fx.QV, *ctes, f"c AS ({scores})".replace("{base}", base),
         fx.geodesic_sql("c", "qid, setting, id, similarity", "g"),
         "r AS (SELECT qid, setting, id, distance, similarity, row_number() OVER (PARTITION BY qid, setting ORDER BY similarity DESC, round(distance,6), id) AS rank FROM g)",
-        select=f"SELECT qid, setting, CAST(rank AS INT) AS rank, id, round(distance,3) AS distance, round(similarity,6) AS similarity FROM r WHERE rank <= {K}",
+        select=f"SELECT qid, setting, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, round(similarity,6) AS similarity FROM r WHERE rank <= {K}",
     )
 
 

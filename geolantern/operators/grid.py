@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import planar_distance, within_degrees
-from ..session import broadcast_if_small
+from ..session import is_small
 
 # Copies of a small side, and slices of a hot cell, where neither side is broadcast.
 SALTS = 16
@@ -47,15 +47,16 @@ def covering_cells(queries: DataFrame, size: float) -> DataFrame:
     return queries.withColumn("cy", F.explode(span("lat"))).withColumn("cx", F.explode(span("lon")))
 
 
-def equi_join(points: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+def equi_join(points: DataFrame, lookup: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
     """Join a large side to a lookup: broadcast if its checked size allows, else salted.
 
+    ``small`` passes on the outcome of a check already made.
+
     The salt cuts every key of the large side into slices, so a key that holds a third
     of the rows is spread over ``SALTS`` tasks; AQE splits further.
     """
-    hinted, small = broadcast_if_small(lookup)
-    if small:
-        return points.join(hinted, keys)
+    if is_small(lookup) if small is None else small:
+        return points.join(F.broadcast(lookup), keys)
     salted = points.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DISTANCE_DECIMALS, MAX_METRES_PER_DEGREE, METRES_PER_DEGREE, SPHERE_SLACK
 from ..functions.geo import haversine, planar_distance, with_geodesic, within_degrees
-from ..session import broadcast_if_small, materialize
+from ..session import BROADCAST_ROWS, materialize
 from .grid import DEFAULT_CELL_DEG, equi_join, with_cell
 from .topk import concat_setting, vector_topk
 
@@ -55,25 +57,39 @@ def document_frequency(points: DataFrame) -> DataFrame:
     return posting_table(points).groupBy("key", "value").agg(F.count("*").alias("df"))
 
 
-def _terms_of(points: DataFrame, asked: DataFrame) -> DataFrame:
-    """Postings restricted to the kinds, keys and terms a query batch looks for."""
-    kinds = asked.agg(
-        F.max(F.col("tag_value").isNotNull()).alias("pairs"), F.max(F.col("tag_value").isNull()).alias("keys")
+class _Batch(NamedTuple):
+    """What a query batch looks for, found by one job over a bounded head of it."""
+
+    small: bool
+    pairs: bool
+    keys: bool
+    only_keys: list[str] | None
+
+
+def _inspect(asked: DataFrame) -> _Batch:
+    head = asked.select("tag_key", "tag_value").limit(BROADCAST_ROWS + 1).agg(
+        F.count("*").alias("n"), F.count("tag_value").alias("pairs"), F.collect_set("tag_key").alias("names")
     ).first()
-    keys = [r[0] for r in asked.select("tag_key").distinct().limit(LITERAL_KEYS + 1).collect()]
-    rows = postings(
-        points, bool(kinds["pairs"]) or not kinds["keys"], bool(kinds["keys"]),
-        keys if len(keys) <= LITERAL_KEYS else None,
-    )
-    terms, small = broadcast_if_small(asked.select("term").distinct())
-    # Without the bound the equi-join on cells that follows drops foreign terms.
-    return rows.join(terms, "term", "left_semi") if small else rows
+    if head["n"] > BROADCAST_ROWS:
+        return _Batch(False, True, True, None)
+    few = head["names"] if len(head["names"]) <= LITERAL_KEYS else None
+    return _Batch(True, head["pairs"] > 0, head["pairs"] < head["n"] or not head["n"], few)
+
+
+def _terms_of(points: DataFrame, asked: DataFrame, batch: _Batch) -> DataFrame:
+    """Postings restricted to the kinds, keys and terms a query batch looks for."""
+    rows = postings(points, batch.pairs, batch.keys, batch.only_keys)
+    if not batch.small:
+        # The equi-join on the terms that follows drops foreign ones.
+        return rows
+    return rows.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
 
 
 def keyword_join(points: DataFrame, queries: DataFrame) -> DataFrame:
     """Every (query, point) pair where the point carries the key, or key and value."""
     asked = query_terms(queries).withColumnsRenamed({"lat": "qlat", "lon": "qlon"})
-    return equi_join(_terms_of(points, asked), asked, ["term"]).drop("term")
+    batch = _inspect(asked)
+    return equi_join(_terms_of(points, asked, batch), asked, ["term"], batch.small).drop("term")
 
 
 def _rank(df: DataFrame, k: int, *order) -> DataFrame:
@@ -82,7 +98,7 @@ def _rank(df: DataFrame, k: int, *order) -> DataFrame:
 
 
 def _candidate_cells(
-    cells: DataFrame, asked: DataFrame, k: int, order: str, radius_mode: str, size: float
+    cells: DataFrame, asked: DataFrame, small: bool, k: int, order: str, radius_mode: str, size: float
 ) -> DataFrame:
     """Cells that can hold one of the k nearest matches of a query.
 
@@ -93,8 +109,7 @@ def _candidate_cells(
     """
     half_deg = size * 0.5 ** 0.5
     half_m = half_deg * MAX_METRES_PER_DEGREE
-    hinted, _ = broadcast_if_small(asked)
-    near = cells.join(hinted, "term").withColumns({
+    near = cells.join(F.broadcast(asked) if small else asked, "term").withColumns({
         "clat": (F.col("cy") + 0.5) * F.lit(size), "clon": (F.col("cx") + 0.5) * F.lit(size),
     })
     near = near.withColumns({
@@ -146,10 +161,11 @@ def keyword_search(
         "qid", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
         "tag_key", "tag_value", "term", F.col("radius_deg").cast("double").alias("radius_deg"),
     )
-    matched = with_cell(_terms_of(points.select("id", "lat", "lon", "tags"), asked), cell)
+    batch = _inspect(asked)
+    matched = with_cell(_terms_of(points.select("id", "lat", "lon", "tags"), asked, batch), cell)
     cells = matched.groupBy("term", "cy", "cx").agg(F.count("*").alias("n"))
     lookup = asked.drop("tag_key", "tag_value")
-    found = _candidate_cells(cells, lookup, k, order, radius_mode, cell)
+    found = _candidate_cells(cells, lookup, batch.small, k, order, radius_mode, cell)
     # Written once: its size is then known before the second pass is planned.
     found = materialize(found, "cells")
     pairs = equi_join(matched, found, ["term", "cy", "cx"]).drop("term", "cy", "cx", "n")

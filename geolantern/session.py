@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # A side is broadcast only when its row count was checked against this bound.
 BROADCAST_ROWS = 100_000
@@ -62,9 +61,3 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether the frame has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The frame with a broadcast hint if its size allows, and whether it got one."""
-    small = is_small(df, rows)
-    return (F.broadcast(df) if small else df), small

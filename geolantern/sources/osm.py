@@ -13,7 +13,7 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
     """Tagged nodes of OSM XML as (id, lat, lon, tags).
 
     Ways, relations and untagged nodes are dropped; of a repeated key the last value
-    counts. Large files are split by the reader at node boundaries.
+    counts. Give large extracts as several files: a file is a unit of work.
     """
     nodes = spark.read.format("xml").option("rowTag", "node").schema(NODE_SCHEMA).load(path)
     tagged = nodes.where(F.size("tag") > 0)
