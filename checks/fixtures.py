@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geolantern.constants import METRES_PER_DEGREE
 from geolantern.operators.encode import Projection
+from geolantern.session import spread
 
 RADIUS_M = 10_000
 RADIUS_DEG = RADIUS_M / METRES_PER_DEGREE
@@ -55,7 +56,7 @@ def _poi_columns(k: str) -> str:
 def flat_pois(spark: SparkSession, sf: str) -> DataFrame:
     """Points with their tags as columns."""
     k = "CAST(get_json_object(props,'$.k') AS INT)"
-    return table(spark, sf, "events").selectExpr(*_split(_poi_columns(k)))
+    return spread(table(spark, sf, "events"), "event_id").selectExpr(*_split(_poi_columns(k)))
 
 
 def _split(columns: str) -> list[str]:

@@ -12,7 +12,7 @@ from geolantern.constants import PREPOSITIONS, PRIORITY_KEYS, WHITESPACE
 from geolantern.functions import geo, tags, text, vectors
 from geolantern.operators import ann, encode, grid, sampling, search, topk, train
 from geolantern.plans import compare, metrics, profile, sweeps, workload
-from geolantern.session import scratch_path
+from geolantern.session import scratch_path, spread
 from geolantern.sources import embeddings, osm, pois, results, workloads
 from geolantern.sources import queries as query_files
 
@@ -387,7 +387,7 @@ def _preposition_sql() -> str:
 @query(_preposition_sql())
 def after_preposition(spark, sf):
     """Text after a preposition, over all texts."""
-    texts = table(spark, sf, "documents").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), "text").unionByName(
+    texts = spread(table(spark, sf, "documents"), "doc_id").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), "text").unionByName(
         table(spark, sf, "benchmark").select(F.lit("b").alias("src"), F.col("item_id").alias("id"), "text")
     ).unionByName(table(spark, sf, "conversations").select(
         F.lit("c").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
@@ -492,7 +492,7 @@ _DOC_TOKENS = fx.tokens_sql("documents", "doc_id", "text", "tok", 384)
        "SELECT doc_id, bucket, round(CAST(CAST(c/n AS FLOAT) AS DOUBLE),6) AS value FROM tok JOIN nrm USING (doc_id) WHERE c <> 0")
 def encode_documents(spark, sf):
     """Default encoder over whole documents."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
     return _nonzero(encode.HashingEncoder(384)(docs, "text"), "doc_id")
 
 

@@ -105,7 +105,7 @@ def _candidate_cells(
     Every match of a cell lies within ``reach`` and no match is nearer than ``gap``.
     Cells fully inside the radius whose reaches come first and that together hold k
     matches bound the k-th distance; every cell that begins beyond the bound is out.
-    At most k cells per query are needed for the bound, as each holds a match.
+    The windows sort cells, whose number depends on the grid and not on the points.
     """
     half_deg = size * 0.5 ** 0.5
     half_m = half_deg * MAX_METRES_PER_DEGREE
@@ -123,19 +123,18 @@ def _candidate_cells(
     gap, reach = by_degrees if order == "planar" else by_metres
     begins, ends = by_degrees if radius_mode == "degrees" else by_metres
     radius = F.col("radius_deg") * (1.0 if radius_mode == "degrees" else METRES_PER_DEGREE)
-    near = near.withColumns({"gap": gap, "reach": reach}).where(radius.isNull() | (begins <= radius))
-    first = _rank(near.where(radius.isNull() | (ends <= radius)), k, "reach", "cy", "cx")
-    running = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    bound = (
-        first.withColumn("seen", F.sum("n").over(running))
-        .where(F.col("seen") >= k).groupBy("qid").agg(F.min("reach").alias("bound"))
-    )
+    near = near.where(radius.isNull() | (begins <= radius)).withColumns({
+        "gap": gap, "reach": reach, "whole": radius.isNull() | (ends <= radius),
+    })
+    by_query = Window.partitionBy("qid").orderBy("reach", "cy", "cx")
+    running = by_query.rowsBetween(Window.unboundedPreceding, 0)
+    seen = near.withColumn("seen", F.sum(F.when(F.col("whole"), F.col("n"))).over(running))
+    enough = F.when(F.col("whole") & (F.col("seen") >= k), F.col("reach"))
+    bounded = seen.withColumn("bound", F.min(enough).over(Window.partitionBy("qid")))
     # The margin covers rounding in the distances compared.
     margin = F.lit(1e-9 if order == "planar" else 0.001)
-    kept = near.join(bound, "qid", "left").where(
-        F.col("bound").isNull() | (F.col("gap") <= F.col("bound") + margin)
-    )
-    return kept.select("qid", "qlat", "qlon", "radius_deg", "term", "cy", "cx", "n")
+    kept = bounded.where(F.col("bound").isNull() | (F.col("gap") <= F.col("bound") + margin))
+    return kept.select("qid", "qlat", "qlon", "radius_deg", "term", "cy", "cx")
 
 
 def keyword_search(
@@ -168,7 +167,7 @@ def keyword_search(
     found = _candidate_cells(cells, lookup, batch.small, k, order, radius_mode, cell)
     # Written once: its size is then known before the second pass is planned.
     found = materialize(found, "cells")
-    pairs = equi_join(matched, found, ["term", "cy", "cx"]).drop("term", "cy", "cx", "n")
+    pairs = equi_join(matched, found, ["term", "cy", "cx"]).drop("term", "cy", "cx")
     planar_radius = radius_mode == "degrees"
     if planar_radius:
         pairs = pairs.where(

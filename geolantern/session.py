@@ -61,3 +61,14 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether the frame has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a plain scan that has fewer splits than cores, such as one small file.
+
+    A scan with enough splits is returned as it is, so large tables are never shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
