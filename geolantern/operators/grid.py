@@ -47,7 +47,9 @@ def covering_cells(queries: DataFrame, size: float) -> DataFrame:
     return queries.withColumn("cy", F.explode(span("lat"))).withColumn("cx", F.explode(span("lon")))
 
 
-def equi_join(points: DataFrame, lookup: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
+def equi_join(
+    points: DataFrame, lookup: DataFrame, keys: list[str], small: bool | None = None, salt_on: str = "id"
+) -> DataFrame:
     """Join a large side to a lookup: broadcast if its checked size allows, else salted.
 
     ``small`` passes on the outcome of a check already made.
@@ -57,7 +59,7 @@ def equi_join(points: DataFrame, lookup: DataFrame, keys: list[str], small: bool
     """
     if is_small(lookup) if small is None else small:
         return points.join(F.broadcast(lookup), keys)
-    salted = points.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salted = points.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 

@@ -15,6 +15,9 @@ from .topk import concat_setting, vector_topk
 
 # Distinct keys up to which a query batch filters tag entries by a literal list.
 LITERAL_KEYS = 64
+# Queries up to which every cell of a term is tested; above, coarser grids come first.
+FEW_QUERIES = 1000
+COARSER = 16
 
 _PAIR_MARK, _KEY_MARK = "\x01", "\x02"
 
@@ -61,6 +64,7 @@ class _Batch(NamedTuple):
     """What a query batch looks for, found by one job over a bounded head of it."""
 
     small: bool
+    queries: int
     pairs: bool
     keys: bool
     only_keys: list[str] | None
@@ -71,9 +75,9 @@ def _inspect(asked: DataFrame) -> _Batch:
         F.count("*").alias("n"), F.count("tag_value").alias("pairs"), F.collect_set("tag_key").alias("names")
     ).first()
     if head["n"] > BROADCAST_ROWS:
-        return _Batch(False, True, True, None)
+        return _Batch(False, head["n"], True, True, None)
     few = head["names"] if len(head["names"]) <= LITERAL_KEYS else None
-    return _Batch(True, head["pairs"] > 0, head["pairs"] < head["n"] or not head["n"], few)
+    return _Batch(True, head["n"], head["pairs"] > 0, head["pairs"] < head["n"] or not head["n"], few)
 
 
 def _terms_of(points: DataFrame, asked: DataFrame, batch: _Batch) -> DataFrame:
@@ -97,10 +101,8 @@ def _rank(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
 
 
-def _candidate_cells(
-    cells: DataFrame, asked: DataFrame, small: bool, k: int, order: str, radius_mode: str, size: float
-) -> DataFrame:
-    """Cells that can hold one of the k nearest matches of a query.
+def _candidate_cells(near: DataFrame, k: int, order: str, radius_mode: str, size: float) -> DataFrame:
+    """Of (query, cell) rows, the cells that can hold one of the k nearest matches.
 
     Every match of a cell lies within ``reach`` and no match is nearer than ``gap``.
     Cells fully inside the radius whose reaches come first and that together hold k
@@ -109,7 +111,7 @@ def _candidate_cells(
     """
     half_deg = size * 0.5 ** 0.5
     half_m = half_deg * MAX_METRES_PER_DEGREE
-    near = cells.join(F.broadcast(asked) if small else asked, "term").withColumns({
+    near = near.withColumns({
         "clat": (F.col("cy") + 0.5) * F.lit(size), "clon": (F.col("cx") + 0.5) * F.lit(size),
     })
     near = near.withColumns({
@@ -137,6 +139,36 @@ def _candidate_cells(
     return kept.select("qid", "qlat", "qlon", "radius_deg", "term", "cy", "cx")
 
 
+def _search_cells(
+    cells: DataFrame, asked: DataFrame, batch: _Batch, k: int, order: str, radius_mode: str, size: float
+) -> DataFrame:
+    """Candidate cells of every query.
+
+    A large batch starts from a coarse grid and refines only the cells that survive, so
+    that a query never meets all cells of its term.
+    """
+    levels = [0] if batch.small and batch.queries <= FEW_QUERIES else [2, 1, 0]
+    if len(levels) > 1:
+        cells = materialize(cells, "cell-counts")
+    found = None
+    for level in levels:
+        ratio = COARSER**level
+        layer = cells
+        if level:
+            parent = {c: F.floor(F.col(c) / ratio) for c in ("cy", "cx")}
+            layer = cells.withColumns(parent).groupBy("term", "cy", "cx").agg(F.sum("n").alias("n"))
+        if len(levels) == 1:
+            near = layer.join(F.broadcast(asked), "term")
+        elif found is None:
+            near = equi_join(asked, layer, ["term"], salt_on="qid")
+        else:
+            layer = layer.withColumns({"py": F.floor(F.col("cy") / COARSER), "px": F.floor(F.col("cx") / COARSER)})
+            parents = found.withColumnsRenamed({"cy": "py", "cx": "px"})
+            near = equi_join(parents, layer, ["term", "py", "px"], salt_on="qid")
+        found = _candidate_cells(near, k, order, radius_mode, size * ratio)
+    return found
+
+
 def keyword_search(
     points: DataFrame,
     queries: DataFrame,
@@ -164,7 +196,7 @@ def keyword_search(
     matched = with_cell(_terms_of(points.select("id", "lat", "lon", "tags"), asked, batch), cell)
     cells = matched.groupBy("term", "cy", "cx").agg(F.count("*").alias("n"))
     lookup = asked.drop("tag_key", "tag_value")
-    found = _candidate_cells(cells, lookup, batch.small, k, order, radius_mode, cell)
+    found = _search_cells(cells, lookup, batch, k, order, radius_mode, cell)
     # Written once: its size is then known before the second pass is planned.
     found = materialize(found, "cells")
     pairs = equi_join(matched, found, ["term", "cy", "cx"]).drop("term", "cy", "cx")
