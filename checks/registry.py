@@ -841,6 +841,33 @@ def multi_k(spark, sf):
     return search.multi_k(found).select("k", "qid", "rank", "id", F.round("distance", 3).alias("distance"))
 
 
+_RUN_SQL = with_sql(
+    fx.EV, fx.q_sql(RADIUS_DEG), fx.QV,
+    "rv AS (SELECT *, list_transform(qev, lambda x: CAST(CAST(round(x,6) AS FLOAT) AS DOUBLE)) AS rq FROM qv)",
+    f"c1 AS (SELECT qid, id, lat, lon, qlat, qlon FROM p, q WHERE {_HAS_PAIR} AND {_IN_RADIUS})", fx.geodesic_sql("c1", "qid, id", "g1"),
+    "c2 AS (SELECT qid, id, lat, lon, qlat, qlon, round(list_cosine_similarity(ev,rq),9) AS similarity, "
+    f"{fx.PLANAR} <= radius_deg AS near FROM pv, rv)",
+    fx.geodesic_sql("c2", "qid, id, similarity, near", "g2"),
+    "r AS (SELECT '' AS family, qid, id, distance, CAST(NULL AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round(distance,6), id) AS rank FROM g1 "
+    "UNION ALL SELECT 'embedded_', qid, id, distance, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, round(distance,6), id) FROM g2 WHERE near "
+    "UNION ALL SELECT 'concat_embedded_', qid, id, distance, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, round(distance,6), id) FROM g2)",
+    select="SELECT 'dataset' AS source, family, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, "
+           "round(similarity,6) AS similarity FROM r, (SELECT unnest([1,10]) AS k) WHERE rank <= k",
+)
+
+
+@query(_RUN_SQL)
+def run_workload(spark, sf):
+    """A workload read back from statement text and answered: three families, two k."""
+    path = scratch_path(spark, "workload") + "/nations"
+    rows = _sample_workload(spark, sf, (1, 10)).where("family <> 'contrastive_embedded_'")
+    workloads.write_statements(rows, path, files=4)
+    found = workload.run_workload(fx.vector_pois(spark, sf), workloads.load_workload(spark, path).drop("experiment"), {
+        "embedded_": "embedding", "concat_embedded_": "embedding",
+    })
+    return found.select("source", "family", "k", "qid", "rank", "id", F.round("distance", 3).alias("distance"), r6("similarity"))
+
+
 # --- sampling and workloads ----------------------------------------------------------
 
 def _hash_sql(text: str) -> str:

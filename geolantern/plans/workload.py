@@ -9,6 +9,9 @@ from ..constants import FAMILIES
 from ..functions.geo import metres_to_degrees, round_coord
 from ..functions.vectors import round_vector
 from ..operators.sampling import sample_donors, sample_points
+from ..operators.search import keyword_search
+from ..operators.topk import vector_topk
+from ..session import materialize
 
 
 def dataset_queries(points: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
@@ -60,3 +63,42 @@ def build_workload(
         F.lit(source).alias("source"), "q.family", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"),
         "qid", "lat", "lon", "q.radius_deg", "q.tag_key", "q.tag_value", "q.qvec", "q.order_by",
     ).withColumn("limit", F.col("k"))
+
+
+def run_workload(points: DataFrame, workload: DataFrame, vectors: dict[str, str] | None = None) -> DataFrame:
+    """Results of typed workload rows, as loaded from statement files or built.
+
+    Queries of one kind run as one batch whatever file they come from: a file's key
+    columns return with its results. ``vectors`` maps a vector family to the column of
+    ``points`` that holds its vectors; queries of another length than that column's
+    vectors find nothing.
+    """
+    vectors = vectors or {"embedded_": "embedding", "concat_embedded_": "concat",
+                          "contrastive_embedded_": "contrastive"}
+    keys = [c for c in ("experiment", "source", "family", "k") if c in workload.columns]
+    rows = materialize(workload.withColumnRenamed("qid", "line"), "workload")
+    # Numbered after writing, so that the numbers hold; a query is one row of the table.
+    rows = materialize(rows.withColumn("qid", F.monotonically_increasing_id()), "workload-rows")
+    kinds = rows.groupBy("family", "order_by", F.size("qvec").alias("dim")).agg(F.max("limit").alias("limit")).collect()
+    found = None
+    for kind in kinds:
+        mine = rows.where(
+            (F.col("family") == kind["family"]) & (F.col("order_by") == kind["order_by"])
+            & (F.size("qvec").eqNullSafe(kind["dim"]))
+        )
+        if kind["order_by"] == "similarity":
+            column = vectors[kind["family"]]
+            asked = mine.select("qid", "lat", "lon", "radius_deg", F.col("qvec").alias(column))
+            got = vector_topk(points, asked, kind["limit"], parts=(column,))
+        else:
+            order = "planar" if kind["order_by"] == "planar" else "geodesic"
+            got = keyword_search(points, mine, kind["limit"], order).withColumn("similarity", F.lit(None).cast("double"))
+        got = got.select("qid", "rank", "id", "tags", "distance", "similarity")
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        raise ValueError("the workload is empty")
+    named = rows.select("qid", *keys, "line", "limit")
+    return (
+        found.join(named, "qid").where(F.col("rank") <= F.col("limit"))
+        .select(*keys, F.col("line").alias("qid"), "rank", "id", "tags", "distance", "similarity")
+    )
