@@ -46,6 +46,22 @@ def _matrix(column):
     return np.asarray(column.flatten(), dtype="float64").reshape(len(column), -1)
 
 
+def _searchable(batch, dims):
+    """Rows whose vectors are present and as long as those of the queries.
+
+    Tested here and not by a filter: a filter on a computed vector column would make
+    the JVM compute the vectors twice.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for name, dim in dims.items():
+        fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(name)), dim), False)
+        if not pc.all(fits).as_py():
+            batch = pa.RecordBatch.filter(batch, fits)
+    return batch
+
+
 def _query_block(table, parts, masks):
     """NumPy form of an Arrow table of queries."""
     import numpy as np
@@ -151,6 +167,7 @@ def _search(batches, block, parts, settings, k, masks, payload, ranked_by_distan
         return out
 
     for whole in batches:
+        whole = _searchable(whole, {p: block[p].shape[1] for p in parts})
         if not whole.num_rows:
             continue
         step = max(1, SCORES_AT_ONCE // whole.num_rows)
@@ -203,12 +220,9 @@ def vector_topk(
     head = queries.limit(block_queries + 1).toArrow()
     if head.num_rows and any(head.column(p).null_count for p in parts):
         raise ValueError("query vectors must not be NULL")
-    dims = {p: (len(head.column(p)[0]) if head.num_rows else 0) for p in parts}
     extra = [c for c in payload if c not in ("id",)]
     wanted = list(dict.fromkeys(["id", *place, *parts, *masks, *extra]))
     live = points
-    for part, dim in dims.items():
-        live = live.where(F.size(part) == dim)
     fields = {f.name: f for f in points.schema}
     schema = T.StructType(
         [T.StructField("_s", T.IntegerType()), T.StructField("qid", T.LongType()),

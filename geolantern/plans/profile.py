@@ -52,22 +52,24 @@ def order_statistics(df: DataFrame, targets: list[tuple[str, int]]) -> dict[tupl
                     state[target] = (row["lo"], row["hi"], rank)
                     break
                 rank -= row["n"]
-        few = {}
-        for target, (lo, hi, rank) in state.items():
-            if lo < hi:
-                inside = df.where(F.col(target[0]).between(F.lit(lo), F.lit(hi)))
-                values = inside.groupBy(target[0]).agg(F.count("*").alias("n")).limit(_FEW + 1)
-                few[target] = values
-        for target, values in few.items():
+        names, picks = list(state), []
+        for i, (column, rank) in enumerate(names):
+            lo, hi, _ = state[column, rank]
+            value = F.col(column)
+            picks.append(F.when(value.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(i).alias("t"), value.alias("v"))))
+        rows = df.select(F.explode(F.array_compact(F.array(*picks))).alias("p")).select("p.*")
+        values = rows.groupBy("t", "v").agg(F.count("*").alias("n")).limit(_FEW + 1).collect()
+        if len(values) > _FEW:
+            continue  # ranges are still wide: narrow them once more
+        for row in sorted(values, key=lambda r: (r["t"], r["v"])):
+            target = names[row["t"]]
+            if target in found:
+                continue
             lo, hi, rank = state[target]
-            got = values.collect()
-            if len(got) <= _FEW:
-                for row in sorted(got, key=lambda r: r[0]):
-                    if rank <= row["n"]:
-                        found[target] = row[0]
-                        break
-                    rank -= row["n"]
-                del state[target]
+            if rank <= row["n"]:
+                found[target] = row["v"]
+            state[target] = (lo, hi, rank - row["n"])
+        state = {}
     return found
 
 
