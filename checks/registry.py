@@ -493,7 +493,7 @@ _DOC_TOKENS = fx.tokens_sql("documents", "doc_id", "text", "tok", 384)
 def encode_documents(spark, sf):
     """Default encoder over whole documents."""
     docs = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
-    return _nonzero(encode.HashingEncoder(384)(docs, "text"), "doc_id")
+    return _nonzero(encode.HashingEncoder(384)(docs, "text", keep=["doc_id"]), "doc_id")
 
 
 def _weights():

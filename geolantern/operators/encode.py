@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +28,15 @@ def _rows_to_arrow(matrix):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
 
 
-def _map_vectors(df: DataFrame, inputs: list[str], out: str, fn: Callable) -> DataFrame:
-    """Replace ``inputs`` by vector column ``out`` = fn(Arrow arrays), batch by batch."""
-    keep = [c for c in df.columns if c not in (*inputs, out)]
-    schema = T.StructType([f for f in df.schema if f.name in keep] + [T.StructField(out, EMBEDDING_TYPE)])
+def _map_vectors(
+    df: DataFrame, inputs: list[str], out: str, fn: Callable, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Columns ``keep`` (default: all but the inputs) and vector column ``out`` = fn(inputs).
+
+    Only these columns cross to Python, batch by batch.
+    """
+    keep = [c for c in (keep or df.columns) if c != out and (keep is not None or c not in inputs)]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, EMBEDDING_TYPE)])
 
     def run(batches):
         import pyarrow as pa
@@ -41,7 +46,7 @@ def _map_vectors(df: DataFrame, inputs: list[str], out: str, fn: Callable) -> Da
                 vectors = _rows_to_arrow(fn(*[batch.column(c) for c in inputs]))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [vectors], names=[*keep, out])
 
-    return df.select(*keep, *inputs).mapInArrow(run, schema)
+    return df.select(*keep, *[c for c in inputs if c not in keep]).mapInArrow(run, schema)
 
 
 def hashed_tokens(text) -> Column:
@@ -61,7 +66,9 @@ class HashingEncoder:
 
     dim: int = 384
 
-    def __call__(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+    def __call__(
+        self, df: DataFrame, text: str, out: str = "embedding", keep: Sequence[str] | None = None
+    ) -> DataFrame:
         dim = self.dim
         words = F.when(strip(F.coalesce(text, F.lit(""))) != "", F.col(text)).otherwise(F.lit(EMPTY_TEXT))
         hashed = df.withColumn("_hash", hashed_tokens(words))
@@ -78,7 +85,7 @@ class HashingEncoder:
             norm = np.linalg.norm(matrix, axis=1, keepdims=True)
             return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm != 0)
 
-        return _map_vectors(hashed, ["_hash"], out, scatter)
+        return _map_vectors(hashed, ["_hash"], out, scatter, keep)
 
 
 @dataclass(frozen=True)
@@ -92,7 +99,9 @@ class ModelEncoder:
     load: Callable[[], Callable]
     batch_size: int = 1024
 
-    def __call__(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+    def __call__(
+        self, df: DataFrame, text: str, out: str = "embedding", keep: Sequence[str] | None = None
+    ) -> DataFrame:
         words = F.when(strip(F.coalesce(text, F.lit(""))) != "", F.col(text)).otherwise(F.lit(EMPTY_TEXT))
         load, size, model = self.load, self.batch_size, []
 
@@ -104,7 +113,7 @@ class ModelEncoder:
             values = texts.to_pylist()
             return np.vstack([model[0](values[i:i + size]) for i in range(0, len(values), size)])
 
-        return _map_vectors(df.withColumn("_text", words), ["_text"], out, encode)
+        return _map_vectors(df.withColumn("_text", words), ["_text"], out, encode, keep)
 
 
 @dataclass
@@ -151,7 +160,7 @@ def _unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
 
 
-def _apply(df: DataFrame, weights: Projection, method: str, column: str, out: str) -> DataFrame:
+def _apply(df: DataFrame, weights: Projection, method: str, column: str, out: str, keep=None) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(vectors):
@@ -160,18 +169,18 @@ def _apply(df: DataFrame, weights: Projection, method: str, column: str, out: st
         rows = np.asarray(vectors.flatten(), dtype="float64").reshape(len(vectors), -1)
         return getattr(shared.value, method)(rows)
 
-    return _map_vectors(df.withColumn("_in", F.col(column)), ["_in"], out, run)
+    return _map_vectors(df, [column], out, run, keep)
 
 
 def encode_text(df: DataFrame, weights: Projection, vector: str, out: str = "zt") -> DataFrame:
     """Unit linear projection of text vectors."""
-    return _apply(df, weights, "text", vector, out)
+    return _apply(df, weights, "text", vector, out, df.columns)
 
 
 def encode_coords(df: DataFrame, weights: Projection, out: str = "zl") -> DataFrame:
     """Unit output of the location network over sinusoidal features of lat and lon."""
     features = df.withColumn("_features", sinusoidal_features("lat", "lon", weights.bands))
-    return _apply(features, weights, "location", "_features", out).drop("_features")
+    return _apply(features, weights, "location", "_features", out, df.columns)
 
 
 def semantic_embed(points: DataFrame, encoder=None, variant: str = "all", drop_empty: bool = False) -> DataFrame:
@@ -179,13 +188,17 @@ def semantic_embed(points: DataFrame, encoder=None, variant: str = "all", drop_e
     if drop_empty:
         points = points.where(F.size("tags") > 0)
     texts = points.select("id", tag_text("tags", variant).alias("text"))
-    return (encoder or HashingEncoder())(texts, "text").select("id", "embedding")
+    return (encoder or HashingEncoder())(texts, "text", keep=["id"])
 
 
-def encode_pair(df: DataFrame, weights: Projection, text: str = "text", encoder=None) -> DataFrame:
+def encode_pair(
+    df: DataFrame, weights: Projection, text: str = "text", encoder=None, keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add separate text and coordinate embeddings zt and zl."""
-    encoded = (encoder or HashingEncoder(weights.text_w.shape[1]))(df.withColumn("_t", F.col(text)), "_t", "_e")
-    return encode_coords(encode_text(encoded, weights, "_e"), weights).drop("_t", "_e")
+    encoder = encoder or HashingEncoder(weights.text_w.shape[1])
+    keep = list(df.columns if keep is None else keep)
+    projected = _apply(encoder(df, text, "_e", keep), weights, "text", "_e", "zt", keep)
+    return encode_coords(projected, weights)
 
 
 def contrastive_embed(
@@ -193,7 +206,7 @@ def contrastive_embed(
 ) -> DataFrame:
     """(id, embedding): fused text and location embedding of points."""
     texts = points.select("id", "lat", "lon", tag_text("tags", "scalar").alias("text"))
-    pair = encode_pair(texts, weights, "text", encoder)
+    pair = encode_pair(texts, weights, "text", encoder, ["id", "lat", "lon"])
     fused = weighted_fuse("zt", "zl", w_text, w_spatial).cast(EMBEDDING_TYPE)
     return pair.select("id", fused.alias("embedding"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import PRIORITY_KEYS
 from ..functions.tags import priority_tag
+from ..session import BROADCAST_ROWS
 
 HASH_BUCKETS = 4096
 
@@ -46,10 +47,12 @@ def sample_with_replacement(rows: DataFrame, n: int, seed: int, key: str = "id")
         "draw", F.last("_b", ignorenulls=True).over(upto).alias("_b"),
         (F.col("_pos") - F.last("_start", ignorenulls=True).over(upto) + 1).alias("_i"),
     ).where(F.col("draw").isNotNull())
+    hint = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    # At most HASH_BUCKETS distinct buckets, at most n placed draws.
     drawn = hashed.join(F.broadcast(placed.select("_b").distinct()), "_b", "left_semi")
     inside = Window.partitionBy("_b").orderBy("_h", key)
     ranked = drawn.withColumn("_i", F.row_number().over(inside))
-    return ranked.join(F.broadcast(placed), ["_b", "_i"]).drop("_b", "_i", "_h")
+    return ranked.join(hint(placed), ["_b", "_i"]).drop("_b", "_i", "_h")
 
 
 def sample_points(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
