@@ -68,7 +68,7 @@ def test_query_files(spark, tmp_path):
     assert [r.text for r in found.orderBy("qid").collect()] == ["cafe", "bar", "good coffee", "where is it"]
     with pytest.raises(ValueError):
         queries.read_queries(spark, str(mixed))
-    assert queries.query_path("data/melbourne_cleaned.csv") == "data/queries/melbourne.csv"
+    assert queries.query_path("data/city_cleaned.csv") == "data/queries/city.csv"
 
 
 def test_workload_round_trip(spark, tmp_path):
