@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geolantern.llm import simhash, toxicity
-from geolantern.llm.common import read
+from geolantern.llm import mixing, simhash, tokens, toxicity, winnow
+from geolantern.llm.common import read, text_key
 from geolantern.llm.queries import toxicity_model
 from geolantern.session import scratch_path
 
@@ -17,7 +17,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, tuple(docs.columns)).where("score < 0.5").drop("score")
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest doc_id (and text key)."""
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_rows(docs, found.select("doc_id").distinct())
+
+
+def first_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these ids; of several rows of one id that with the smallest text key."""
+    keep = ids.withColumnRenamed("doc_id", "__id")
+    met = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    one = Window.partitionBy("doc_id").orderBy(text_key())
+    return met.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    hit = winnow.contamination(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0").select(
+        F.col("doc_id").alias("__id"), F.col("key").alias("__hit")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__hit")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them, in training order."""
+    return mixing.training_order(docs, mixing.mix(docs))
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all rows, and what is read back from them."""
+    path = scratch_path(spark, "pipeline-token-files")
+    tokens.write(docs, path)
+    return tokens.digest(spark, path)
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("simhash near-dedup", drop_near_copies), ("decontamination", drop_contaminated),
+    ("mixing", mix_sources), ("tokens", write_tokens),
+]
 
 #: SQL can express neither the classifier nor the tokenizer; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -27,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again by the next."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash, toxicity
+from ..session import scratch_path
+from . import mixing, simhash, tokens, toxicity, winnow
 from .common import fold, labelled_sample, read
 
 QUERIES: dict = {}
@@ -42,3 +43,60 @@ def op2_toxicity(spark, sf):
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("""
+WITH d AS (
+  SELECT doc_id, CAST(source AS VARCHAR) AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS ord
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank FROM s),
+w AS (SELECT *, CAST(1 + rank % 3 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS bound FROM r),
+l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(bound) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+  FROM w WINDOW f AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(bound, weight * (SELECT min(level) FROM l WHERE level * weight <= bound)) AS target FROM l),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+  CAST(size * ((middle <= target)::INT + (middle + source_size <= target)::INT + (middle + 2 * source_size <= target)::INT) AS BIGINT) AS taken
+FROM c""")
+def op7_mixing(spark, sf):
+    return mixing.mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op8_tokens(spark, sf):
+    path = scratch_path(spark, "token-files")
+    tokens.write(read(spark, sf, "documents"), path)
+    return tokens.digest(spark, path)
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+i AS (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS span FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM i)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+x AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ws FROM u),
+h AS (SELECT y.doc_id, y.p, y.n, g.item FROM (SELECT *, array_to_string(ws[1:n], ' ') AS span FROM x, (SELECT DISTINCT n FROM i) WHERE len(ws) >= n) y
+  JOIN g ON g.n = y.n AND g.span = y.span),
+a AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256 FROM h GROUP BY doc_id),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(a.n_items, 0) AS BIGINT) AS n_items, coalesce(a.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""")
+def op9_decontaminate(spark, sf):
+    found = winnow.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -148,7 +148,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     prints = materialize(fingerprints(docs, words), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = materialize(distinct, "simhash-distinct")
-    roots = materialize(components(links(distinct.select("fp"), radius)), "simhash-roots")
+    linked = materialize(links(distinct.select("fp"), radius), "simhash-links")
+    roots = materialize(components(linked), "simhash-roots")
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )

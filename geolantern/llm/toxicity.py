@@ -19,7 +19,7 @@ from .common import map_arrow
 
 #: Most labelled rows used for training: so many of label 1, and so many of label 0.
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 6_000
-#: Snippets of BASE_SNIPPET characters that the common part of both dictionaries is trained on.
+#: Snippets of BASE_SNIPPET characters of ordinary text that the common part of both is trained on.
 BASE_ROWS, BASE_SNIPPET, BASE_BYTES = 2_000, 4_000, 12_000
 #: Words in a window.
 WINDOW = 12
@@ -110,12 +110,15 @@ def _segments(counts: DataFrame, mine: str, other: str, n_mine: int, n_other: in
     ratio = ((c + 0.5) / (n_mine + 1)) / ((d + 0.5) / (n_other + 1))
     g = 2 * (c * F.log(c / (total * share)) + F.when(d > 0, d * F.log(d / (total * (1 - share)))).otherwise(0.0))
     top = counts.where((c >= max(3, 0.01 * n_mine)) & (ratio > MIN_RATIO)).select("stem", g.alias("g")).where(
-        F.col("g") >= MIN_G).orderBy(F.desc("g"), "stem").limit(SEGMENTS * 20).collect()
+        F.col("g") >= MIN_G).orderBy(F.desc("g"), F.desc(F.length("stem")), "stem").limit(SEGMENTS * 20).collect()
+    found = [(bytes(r["stem"]), r["g"]) for r in top]
     chosen: list[bytes] = []
     for row in top:
         if row["g"] < MIN_SHARE_OF_BEST * top[0]["g"] or len(chosen) == SEGMENTS:
             break
         stem = bytes(row["stem"])
+        # The longest extension that is nearly as sharp: it saves the most bytes.
+        stem = max((z for z, g in found if g >= 0.9 * row["g"] and z.startswith(stem)), key=len)
         if not any(z.rstrip() in stem or stem.rstrip() in z for z in chosen):
             chosen.append(stem)
     return chosen
@@ -162,7 +165,7 @@ def fit(sample: DataFrame, prior: float) -> Model:
     ordinary = _segments(counts, "zeros", "ones", zeros, ones)
 
     at = F.pmod(F.xxhash64("text", F.lit(11)), F.greatest(F.length("text") - BASE_SNIPPET, F.lit(1))) + 1
-    snippets = built.where("length(text) > 0").orderBy(F.xxhash64("text", F.lit(3)), "text").limit(BASE_ROWS).select(
+    snippets = built.where("label = 0 AND length(text) > 0").orderBy(F.xxhash64("text", F.lit(3)), "text").limit(BASE_ROWS).select(
         F.substring(F.col("text"), at.cast("int"), F.lit(BASE_SNIPPET)).alias("s")).collect()
     base = _common([b" " + b" ".join(words(r["s"])) + b" " for r in snippets])
     length = max(sum(map(len, toxic)), sum(map(len, ordinary)))
