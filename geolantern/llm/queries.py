@@ -56,7 +56,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1
 w AS (SELECT *, CAST(1 + rank % 3 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS bound FROM r),
 l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(bound) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
   FROM w WINDOW f AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(bound, weight * (SELECT min(level) FROM l WHERE level * weight <= bound)) AS target FROM l),
+t AS (SELECT source, source_size, least(bound, weight * (SELECT max(level) FROM l)) AS target FROM l),
 c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
