@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import mixing, simhash, tokens, toxicity, winnow
+from . import linededup, mixing, secrets, simhash, tokens, toxicity, winnow
 from .common import fold, labelled_sample, read
 
 QUERIES: dict = {}
@@ -100,3 +100,22 @@ def op9_decontaminate(spark, sf):
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS p, unnest(ls) AS line FROM l),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+m AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT k.doc_id, k.p, k.line, coalesce(k.doc_id <> m.first, false) AS gone FROM k LEFT JOIN m ON m.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id""")
+def op4_line_dedup(spark, sf):
+    docs = read(spark, sf, "documents")
+    return linededup.digest(docs, linededup.bitmaps(docs))
+
+
+@query()
+def op6_secrets(spark, sf):
+    return secrets.digest(secrets.scan(read(spark, sf, "documents")))
