@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import linededup, mixing, secrets, simhash, tokens, toxicity, winnow
+from . import html, linededup, mixing, quality, secrets, simhash, tokens, toxicity, winnow
 from .common import fold, labelled_sample, read
 
 QUERIES: dict = {}
@@ -119,3 +119,20 @@ def op4_line_dedup(spark, sf):
 @query()
 def op6_secrets(spark, sf):
     return secrets.digest(secrets.scan(read(spark, sf, "documents")))
+
+
+@query()
+def op5_quality(spark, sf):
+    docs = read(spark, sf, "documents")
+    sample, prior = labelled_sample(
+        docs, read(spark, sf, "labels"), "quality", fold(F.col("doc_id"), 4) != 2, quality.ROWS)
+    scored = quality.score(docs, quality.fit(sample, prior))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query()
+def op10_html(spark, sf):
+    return html.extract(read(spark, sf, "pages"))

@@ -17,7 +17,11 @@ from ..session import is_small, materialize
 from .common import lower_ascii, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
+#: Most rows of benchmark hashes (8 bytes each) and of benchmark windows that are broadcast.
+HASHES_SENT, SPANS_SENT = 1_000_000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -34,7 +38,9 @@ def _gram(tokens: Column, at: Column, k: int) -> Column:
 
 
 def kept(df: DataFrame, k: int, run: int) -> DataFrame:
-    """``df(.., tokens)`` with ``kept``: array of (h, at) of the k-grams that winnowing keeps.
+    """``df(.., tokens)`` with ``kept``: array of (h, at, near) of the k-grams that winnowing keeps.
+
+    ``near`` are the words of all runs that the k-gram is part of, ``at`` its place.
 
     ``run``: k-grams in a winnowing window. A k-gram is kept if it is the smallest of a full
     run that it is part of (all of several equal ones), that is, if the largest of the minima
@@ -42,20 +48,25 @@ def kept(df: DataFrame, k: int, run: int) -> DataFrame:
     span of that length.
     """
     hashes = F.transform(_indices(F.size("tokens") - (k - 1)), lambda i: _gram(F.col("tokens"), i, k))
+
+    def entry(h, i):
+        from_ = F.greatest(i - (run - 1), F.lit(0))
+        return F.struct(h.alias("h"), i.alias("at"), F.slice("tokens", from_ + 1, i - from_ + k + run - 1).alias("near"))
+
+    df = df.withColumn("grams", hashes)
     if run == 1:
-        return df.withColumn("kept", F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return df.withColumn("kept", F.transform("grams", entry)).drop("grams")
     minima = F.transform(
         _indices(F.size("grams") - (run - 1)), lambda i: F.least(*[F.get(F.col("grams"), i + j) for j in range(run)])
     )
     smallest = lambda i: F.greatest(*[F.get(F.col("minima"), i - j) for j in range(run)])
-    marked = F.transform("grams", lambda h, i: F.when(h == smallest(i), F.struct(h.alias("h"), i.alias("at"))))
-    return df.withColumn("grams", hashes).withColumn("minima", minima).withColumn(
-        "kept", F.filter(marked, lambda x: x.isNotNull())).drop("grams", "minima")
+    marked = F.transform("grams", lambda h, i: F.when(h == smallest(i), entry(h, i)))
+    return df.withColumn("minima", minima).withColumn("kept", F.filter(marked, lambda x: x.isNotNull())).drop("grams", "minima")
 
 
-def _sized(df: DataFrame) -> DataFrame:
+def _sized(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side of a checked size; a larger one is joined by shuffling."""
-    return F.broadcast(df) if is_small(df) else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -81,40 +92,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
     tokens = keyed.select("doc_id", "key", words(F.col("text")).alias("tokens"))
 
-    def hits(length: int) -> DataFrame:
-        """(doc_id, key, len, at): k-grams shared with an item of this length class."""
+    def windows(length: int) -> DataFrame:
+        """(doc_id, key, s, len, span): windows around k-grams shared with an item of this length class."""
         size, run = (k, window - k + 1) if length == window else (length, 1)
         wanted = kept(items.where(F.col("len") == length), size, run).select(
             F.explode_outer("kept.h").alias("h")).where("h IS NOT NULL").distinct()
         # Outer: explode() would have the optimizer push its own filter, with all of this inlined, to the scan.
-        found = kept(tokens, size, run).select("doc_id", "key", F.explode_outer("kept").alias("x")).select("doc_id", "key", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
-        return found.join(_sized(wanted), "h", "left_semi").select("doc_id", "key", F.lit(length).alias("len"), "at")
-
-    none = keyed.where("false").select("doc_id", "key", F.lit(0).alias("len"), F.lit(0).alias("at"))
-    found = reduce(DataFrame.unionByName, [hits(n) for n in lengths], none)
-
-    # Extend: the starts of all windows that hold a hit k-gram, then compare their words.
-    before = F.when(F.col("len") == window, window - k).otherwise(0)
-    starts = found.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(
-        F.sequence(F.greatest(F.col("at") - before, F.lit(0)), F.col("at")), lambda s: F.struct(s.alias("s"), F.col("len").alias("len"))
-    )))).alias("starts"))
-    starts = materialize(starts, "winnow-starts")
-    same = [keyed["doc_id"].eqNullSafe(starts["doc_id"]), keyed["key"] == starts["key"]]
-    whole = materialize(
-        keyed.join(starts, same, "left").select(keyed["doc_id"], keyed["key"], words(F.col("text")).alias("tokens"), "starts")
-        .select("doc_id", "key", F.size("tokens").alias("n_words"), F.transform(
-            F.filter("starts", lambda x: x["s"] + x["len"] <= F.size("tokens")),
-            lambda x: F.struct(x["s"].alias("s"), x["len"].alias("len"), F.array_join(F.slice("tokens", x["s"] + 1, x["len"]), " ").alias("span")),
-        ).alias("spans")),
-        "winnow-windows",
-    )
-    met = whole.where("spans IS NOT NULL").select("doc_id", "key", "spans").distinct().select(
-        "doc_id", "key", F.explode("spans").alias("x")).select("doc_id", "key", "x.*").join(_sized(spans), ["span", "len"])
+        found = kept(tokens, size, run).select("doc_id", "key", F.explode_outer("kept").alias("x"))
+        found = found.select("doc_id", "key", F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.near").alias("near"))
+        met = found.join(_sized(wanted, HASHES_SENT), "h", "left_semi")
+        # Extend the hit: all windows in its neighbourhood, compared in full by the join that follows.
+        first = F.greatest(F.col("at") - (run - 1), F.lit(0))
+        around = F.transform(_indices(F.size("near") - (length - 1)), lambda i: F.struct(
+            (first + i).alias("s"), F.array_join(F.slice("near", i + 1, length), " ").alias("span")))
+        return met.select("doc_id", "key", F.explode(around).alias("x")).select(
+            "doc_id", "key", F.col("x.s").alias("s"), F.lit(length).alias("len"), F.col("x.span").alias("span"))
+
+    none = keyed.where("false").select("doc_id", "key", F.lit(0).alias("s"), F.lit(0).alias("len"), F.lit("").alias("span"))
+    near = reduce(DataFrame.unionByName, [windows(n) for n in lengths], none)
+    met = near.distinct().join(_sized(spans, SPANS_SENT), ["span", "len"])
     hit = met.groupBy("doc_id", "key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("s", F.col("s") + F.col("len") - 1))))).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    return whole.join(hit.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "y"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("y")), "left").select(
+    rows = keyed.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).alias("n_words"))
+    return rows.join(hit.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "y"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("y")), "left").select(
         "doc_id", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "key",
     ).withColumn("n_items", F.size("items").cast("long"))
