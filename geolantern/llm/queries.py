@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import html, linededup, mixing, quality, secrets, simhash, tokens, toxicity, winnow
+from . import edits, html, linededup, mixing, quality, secrets, simhash, tokens, toxicity, winnow
 from .common import fold, labelled_sample, read
 
 QUERIES: dict = {}
@@ -136,3 +136,8 @@ def op5_quality(spark, sf):
 @query()
 def op10_html(spark, sf):
     return html.extract(read(spark, sf, "pages"))
+
+
+@query()
+def op3_edit_embedding(spark, sf):
+    return edits.with_next(read(spark, sf, "documents"))
