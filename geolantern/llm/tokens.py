@@ -29,8 +29,10 @@ ROUNDS, MIN_COUNT, RULES_PER_ROUND = 4, 16, 4_096
 #: Slots that pairs are counted in.
 SLOTS = 1 << 18
 MAGIC = b"RPR1"
-#: Encoded pieces remembered in a task.
-CACHE = 400_000
+#: Encoded pieces that a Python worker remembers, over its tasks.
+CACHE = 1_000_000
+# The ASCII characters that are neither letters, digits, white space nor controls.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -58,17 +60,38 @@ class Encoder:
         # Characters of a byte-level token stand for one byte each.
         self.bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}  # by what follows the space
+        self.marks: dict[str, bytes] = {}
 
     def alone(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, pieces: list[str]) -> None:
+        """Latin letters and the punctuation after them are pre-tokens of their own, so ``word,`` costs
+        no more than ``word``."""
+        cut, whole = [], {}
+        for piece in pieces:
+            word = piece.rstrip(PUNCTUATION)
+            if len(word) < len(piece) and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                cut.append((piece, word))
+                if word not in self.known:
+                    whole[word] = None
+            else:
+                whole[piece] = None
+        self.encode(list(whole))
+        for piece, word in cut:
+            mark = piece[len(word):]
+            if mark not in self.marks:
+                self.marks[mark] = self.alone(mark)
+            self.known[piece] = self.known[word] + self.marks[mark]
+
+    def encode(self, pieces: list[str]) -> None:
         import numpy as np
 
         for i in range(0, len(pieces), 2_000):
             some = [" " + p for p in pieces[i:i + 2_000]]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype="<u4")
+            joined = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, dtype="<u4")
             cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
             data, at = ids.tobytes(), 0
             for piece, cut in zip(some, (cuts * 4).tolist()):
@@ -96,12 +119,25 @@ class Encoder:
             except KeyError:
                 if len(known) > CACHE:
                     known.clear()
+                    self.marks.clear()
                 self.learn([p for p in dict.fromkeys(rest) if p not in known])
                 ids = [known[p] for p in rest]
             out.append((self.alone(head) if head else b"") + b"".join(ids) + self.end)
         return out
 
 
+def worker_encoder(vocabulary: str, end: int | None) -> Encoder:
+    """An encoder that the next tasks of the same Python worker use again, with what it has learnt."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    key = (zlib.crc32(vocabulary.encode()), len(vocabulary), end)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(vocabulary, end)
+    return kept[key]
+
+
 def compress(ids, starts):
     """Re-Pair over one shard: (symbols, first symbol of each document, first nonterminal, left, right, lengths).
 
@@ -233,7 +269,7 @@ def write(docs: DataFrame, path: str, vocab: str | None = None, end: int = END_I
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = Encoder(sent.value, end)
+        encode = worker_encoder(sent.value, end)
         part, shard, offset = TaskContext.get().partitionId(), 0, 0
         held, ids, n = [], [], 0
 
