@@ -72,6 +72,8 @@ class Features:
             yield starts[again], self._slot(np.full(len(again), 77, dtype=np.uint64), 10 + back)
         rolled = b64
         for k in range(2, max(self.grams) + 1):
+            if n < k:
+                return
             rolled = rolled[:-1] * np.uint64(_P) + b64[k - 1:]
             if k in self.grams:
                 inner = np.zeros(n - k + 1, dtype=bool)
