@@ -12,7 +12,7 @@ from geolantern.constants import PREPOSITIONS, PRIORITY_KEYS, WHITESPACE
 from geolantern.functions import geo, tags, text, vectors
 from geolantern.operators import ann, encode, grid, sampling, search, topk, train
 from geolantern.plans import compare, metrics, profile, sweeps, workload
-from geolantern.session import scratch_path, spread
+from geolantern.session import materialize, scratch_path, spread
 from geolantern.sources import embeddings, osm, pois, results, workloads
 from geolantern.sources import queries as query_files
 
@@ -950,6 +950,42 @@ def recall_at_k(spark, sf):
     return metrics.recall_at_k(predicted, truth, 5, asked)
 
 
+_MULTI = (
+    "two AS (SELECT unnest(['a','b']) AS source)",
+    "tm AS (SELECT source, tr.* FROM tr, two WHERE source = 'a' OR qid % 2 = 0)",
+    "pm AS (SELECT 'planar' AS method, source, pr.* FROM pr, two UNION ALL SELECT 'best', source, tr.* FROM tr, two WHERE source = 'a' AND rank <= 5)",
+    "mr AS (SELECT DISTINCT method, source FROM pm)",
+    "tn AS (SELECT source, qid, count(DISTINCT id) AS n FROM tm GROUP BY source, qid)",
+    "hm AS (SELECT method, source, pm.qid, count(DISTINCT pm.id) AS h FROM pm JOIN tm USING (source, qid, id) WHERE pm.rank <= 5 GROUP BY method, source, pm.qid)",
+)
+
+
+@query(with_sql(fx.P, fx.q_sql(), _TWO_RANKS, *_MULTI, select=(
+    "SELECT method, source, qid, round(coalesce(h, 0)/CAST(n AS DOUBLE), 6) AS recall FROM tn JOIN mr USING (source) LEFT JOIN hm USING (method, source, qid)"
+)))
+def recall_multi_run(spark, sf):
+    """Two methods over two sources; each run is compared with the truth of its source."""
+    truth, predicted, _ = _two_rankings(spark, sf)
+    sources = F.explode(F.array(F.lit("a"), F.lit("b")))
+    truth = materialize(truth, "truth")
+    both = truth.withColumn("source", sources).where("source = 'a' OR qid % 2 = 0")
+    runs = predicted.withColumn("source", sources).withColumn("method", F.lit("planar")).unionByName(
+        truth.withColumn("source", F.lit("a")).withColumn("method", F.lit("best")).where("rank <= 5"), allowMissingColumns=True)
+    return metrics.recall_series(runs, both, 5).select("method", "source", "qid", r6("recall"))
+
+
+@query(_knn_sql(f"{_HAS_PAIR} AND {_IN_RADIUS}", radius=RADIUS_DEG, out=(
+    "SELECT method, q.qid, round(max(CASE WHEN rank <= 5 AND (method = 'all' OR r.qid % 2 = 0) THEN distance END),3) AS spatial_range "
+    "FROM q CROSS JOIN (SELECT unnest(['all','even']) AS method) m LEFT JOIN r ON r.qid=q.qid GROUP BY method, q.qid"
+)))
+def spatial_range_multi_run(spark, sf):
+    """A query without results in one of two runs keeps its row in both."""
+    found = materialize(search.keyword_search(fx.pois(spark, sf), fx.queries(spark, sf, RADIUS_DEG), K), "found")
+    runs = found.withColumn("method", F.lit("all")).unionByName(found.where("qid % 2 = 0").withColumn("method", F.lit("even")))
+    series = metrics.range_series(runs, 5, fx.queries(spark, sf))
+    return series.select("method", "qid", F.round("spatial_range", 3).alias("spatial_range"))
+
+
 def _results_with_vectors(spark, sf):
     found = search.keyword_search(fx.pois(spark, sf), fx.queries(spark, sf, RADIUS_DEG), K)
     return found.join(fx.vector_pois(spark, sf).select("id", "embedding"), "id")
@@ -1062,7 +1098,7 @@ def train_contrastive(spark, sf):
     vecs = encode.semantic_embed(points, encode.HashingEncoder(SEMANTIC_DIM), "scalar")
     pairs = points.select("id", "lat", "lon").join(vecs.withColumnRenamed("embedding", "vector"), "id")
     start = encode.Projection.initial(SEMANTIC_DIM, 64, 64)
-    _, history = train.train(pairs, start, epochs=3, lr=1e-3, workers=8)
+    _, history = train.train(pairs, start, epochs=7, lr=1e-3)
     return spark.createDataFrame(history, "epoch int, loss double, temperature double")
 
 
@@ -1144,12 +1180,13 @@ def posting_table(spark, sf):
 
 # --- approximate search --------------------------------------------------------------
 
-LISTS = 16
+LISTS, PROBED = 300, 10
+TABLES, PLANE_BITS = 8, 6
 
 
-def _ivf(spark, sf, nprobe):
+def _ivf(spark, sf, nprobe, model=None):
     unit = fx.vector_pois(spark, sf)
-    model = ann.train_ivf(unit, LISTS)
+    model = ann.train_ivf(unit, LISTS) if model is None else model
     path = scratch_path(spark, "ivf")
     ann.write_ivf(ann.ivf_table(unit, model), path)
     schema = T.StructType([*unit.schema.fields, T.StructField("list_id", T.IntegerType())])
@@ -1159,20 +1196,66 @@ def _ivf(spark, sf, nprobe):
 
 @query(_vector_sql())
 def ivf_all_lists(spark, sf):
-    """Inverted lists, all probed: equals the exact search."""
+    """Inverted lists of trained centroids, all probed: equals the exact search."""
     return _vector_rows(_ivf(spark, sf, LISTS))
 
 
-@query()
+def _nearest_sql(base: str, key: str, vec: str, name: str, n: int) -> str:
+    return (
+        f"{name} AS (SELECT {key}, list_id FROM (SELECT {key}, ce.vec_id AS list_id, row_number() OVER (PARTITION BY {key} "
+        f"ORDER BY list_cosine_similarity({vec}, ce.v) DESC, ce.vec_id) AS nth FROM {base}, ce) WHERE nth <= {n})"
+    )
+
+
+@query(_vector_sql(ctes=(
+    f"ce AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < {LISTS})",
+    _nearest_sql("pv", "id", "ev", "pl", 1), _nearest_sql("qv", "qid", "qev", "ql", PROBED),
+    "pq AS (SELECT pv.*, qv.* FROM pl JOIN ql USING (list_id) JOIN pv ON pv.id = pl.id JOIN qv ON qv.qid = ql.qid)",
+), base="pq"))
 def ivf_knn(spark, sf):
-    """Inverted lists, a quarter probed."""
-    return _vector_rows(_ivf(spark, sf, LISTS // 4))
+    """Inverted lists with vectors of the table as centroids, a thirtieth probed."""
+    import numpy as np
 
+    # A fixed number of rows.
+    rows = table(spark, sf, "embeddings").where(F.col("vec_id") < LISTS).select("vec_id", "embedding").orderBy("vec_id").collect()
+    return _vector_rows(_ivf(spark, sf, PROBED, np.array([r["embedding"] for r in rows], dtype="float64")))
 
-@query()
+
+_BUCKETS_SQL = (
+    f"pb AS (SELECT t.t, b.b, list_transform(range(64), lambda i: CAST((t.t*31+b.b*17+i*13+7)*7919 % 101 AS DOUBLE)/CAST(101 AS DOUBLE)-CAST(0.5 AS DOUBLE)) AS pl "
+    f"FROM (SELECT unnest(range({TABLES})) AS t) t, (SELECT unnest(range({PLANE_BITS})) AS b) b)"
+)
+
+
+def _bucket_sql(base: str, key: str, vec: str, name: str) -> str:
+    return (
+        f"{name} AS (SELECT {key}, t, sum(CASE WHEN list_dot_product({vec}, pl) > 0 THEN CAST(pow(2,b) AS BIGINT) ELSE 0 END) AS bucket "
+        f"FROM {base}, pb GROUP BY {key}, t)"
+    )
+
+
+@query(_vector_sql(ctes=(
+    _BUCKETS_SQL, _bucket_sql("pv", "id", "ev", "pk"), _bucket_sql("qv", "qid", "qev", "qk"),
+    "near AS (SELECT DISTINCT id, qid FROM pk JOIN qk USING (t, bucket))",
+    "pq AS (SELECT pv.*, qv.* FROM near JOIN pv ON pv.id = near.id JOIN qv ON qv.qid = near.qid)",
+), base="pq"))
 def lsh_knn(spark, sf):
-    """Random hyperplane buckets."""
-    return _vector_rows(ann.lsh_search(fx.vector_pois(spark, sf), fx.vector_queries(spark, sf), K, ann.hyperplanes(64, 8, 6)))
+    """Hyperplane buckets; the planes have a closed form."""
+    import numpy as np
+
+    t, b, i = np.meshgrid(np.arange(TABLES), np.arange(PLANE_BITS), np.arange(64), indexing="ij")
+    planes = ((t * 31 + b * 17 + i * 13 + 7) * 7919 % 101) / 101 - 0.5
+    return _vector_rows(ann.lsh_search(fx.vector_pois(spark, sf), fx.vector_queries(spark, sf), K, planes))
+
+
+@query(_vector_sql("id % 7 NOT IN (1, 2, 3)"))
+def semantic_dirty(spark, sf):
+    """Some vectors are NULL, too short or hold a NaN: they are not searched, and no other row is lost."""
+    points = fx.vector_pois(spark, sf)
+    dirty = F.when(F.col("id") % 7 == 1, F.lit(None)).when(F.col("id") % 7 == 2, F.slice("embedding", 1, 3)).when(
+        F.col("id") % 7 == 3, F.transform("embedding", lambda x, i: F.when(i == 5, F.lit(float("nan"))).otherwise(x))
+    ).otherwise(F.col("embedding"))
+    return _vector_rows(search.semantic_search(points.withColumn("embedding", dirty), fx.vector_queries(spark, sf), K))
 
 
 # --- comparison and sweeps -----------------------------------------------------------
@@ -1197,15 +1280,6 @@ def compare_methods(spark, sf):
     return found.select("method", "source", "k", "qid", "rank", "id", F.round("distance", 3).alias("distance"), r6("similarity"))
 
 
-@query(with_sql(fx.P, select="SELECT * FROM (VALUES " + ", ".join(
-    f"('{s}', '{m}', '{compare.family_of(m)}')" for s, ms in compare.SCENARIOS.items() for m in ms
-) + ") t(scenario, method, family) WHERE (SELECT count(*) FROM p) > 0"))
-def scenario_methods(spark, sf):
-    """Which method of a scenario answers which workload family, where there are points."""
-    rows = compare.scenario_methods(spark)
-    return rows.where(fx.pois(spark, sf).agg(F.count("*").alias("n")).scalar() > 0)
-
-
 def _sweep_sql(scores: str, ctes, base: str, first=fx.EV) -> str:
     return with_sql(
         first, fx.q_sql(), fx.QV, *ctes, f"c AS ({scores})".replace("{base}", base),

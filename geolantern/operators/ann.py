@@ -12,24 +12,21 @@ from ..functions.vectors import l2_normalize
 from .topk import _matrix, vector_topk
 
 DEFAULT_LISTS = 300
-TRAINING_ROWS_PER_LIST = 200
 
 
 def train_ivf(
     points: DataFrame, lists: int = DEFAULT_LISTS, vector: str = "embedding", seed: int = 7, rounds: int = 10
 ) -> KMeansModel:
-    """Centroids of unit vectors, trained on a bounded sample as inverted lists usually are."""
-    total = points.count()
-    share = min(1.0, lists * TRAINING_ROWS_PER_LIST / max(total, 1))
-    sample = points if share >= 1.0 else points.sample(share, seed)
-    unit = sample.where(F.size(vector) > 0).select(array_to_vector(l2_normalize(vector)).alias("features"))
+    """Centroids of the unit vectors of all points."""
+    unit = points.where(F.size(vector) > 0).select(array_to_vector(l2_normalize(vector)).alias("features"))
     return KMeans(k=lists, seed=seed, maxIter=rounds, initMode="random").fit(unit)
 
 
-def _unit_centroids(model: KMeansModel):
+def _unit_centroids(model):
+    """Unit centroids of a trained model, or of an array of centroids given as they are."""
     import numpy as np
 
-    centers = np.asarray(model.clusterCenters(), dtype="float64")
+    centers = np.asarray(model.clusterCenters() if isinstance(model, KMeansModel) else model, dtype="float64")
     norm = np.linalg.norm(centers, axis=1, keepdims=True)
     return centers / np.where(norm == 0, 1.0, norm)
 
@@ -57,9 +54,16 @@ def nearest_lists(df: DataFrame, centroids, n: int, vector: str = "embedding", o
     return df.mapInArrow(assign, schema)
 
 
-def ivf_table(points: DataFrame, model: KMeansModel, vector: str = "embedding") -> DataFrame:
-    """Points with their ``list_id``."""
-    with_list = nearest_lists(points.where(F.size(vector) > 0), _unit_centroids(model), 1, vector)
+def _fitting(points: DataFrame, vector: str, dim: int) -> DataFrame:
+    """Points whose vector can be searched: of the right length and finite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) != float("inf")))
+    return points.where((F.size(vector) == dim) & finite)
+
+
+def ivf_table(points: DataFrame, model, vector: str = "embedding") -> DataFrame:
+    """Points with their ``list_id``; ``model``: trained, or an array of centroids."""
+    centroids = _unit_centroids(model)
+    with_list = nearest_lists(_fitting(points, vector, centroids.shape[1]), centroids, 1, vector)
     return with_list.withColumn("list_id", F.col("lists")[0])
 
 
@@ -73,16 +77,19 @@ def write_ivf(table: DataFrame, path: str, files_per_list: int = 8) -> None:
 
 
 def ivf_search(
-    table: DataFrame, queries: DataFrame, k: int, model: KMeansModel, nprobe: int = 10,
+    table: DataFrame, queries: DataFrame, k: int, model, nprobe: int = 10,
     vector: str = "embedding", **options,
 ) -> DataFrame:
-    """Top-k among the points of the ``nprobe`` nearest lists of each query."""
+    """Top-k among the points of the ``nprobe`` nearest lists of each query.
+
+    Queries meet the points list by list, so the pairs scored are those of the probed lists.
+    """
     asked = nearest_lists(queries, _unit_centroids(model), nprobe, vector)
     # Lists are numbered below the number of centroids: a bounded set.
     probed = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]
     # A stored table is read only at the probed list folders.
     points = table.where(F.col("list_id").isin(probed)).withColumn("lists", F.array("list_id"))
-    return vector_topk(points, asked, k, parts=(vector,), masks=("lists",), **options)
+    return vector_topk(points, asked, k, parts=(vector,), groups="lists", **options)
 
 
 def hyperplanes(dim: int, tables: int = 8, bits: int = 8, seed: int = 7):
@@ -123,6 +130,6 @@ def lsh_search(
 ) -> DataFrame:
     """Top-k among the points that share a bucket with the query in some hash table."""
     dim = planes.shape[2]
-    mine = lsh_buckets(points.where(F.size(vector) == dim), planes, vector)
+    mine = lsh_buckets(_fitting(points, vector, dim), planes, vector)
     asked = lsh_buckets(queries, planes, vector)
-    return vector_topk(mine, asked, k, parts=(vector,), masks=("buckets",), **options)
+    return vector_topk(mine, asked, k, parts=(vector,), groups="buckets", **options)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..constants import DISTANCE_DECIMALS, SIMILARITY_DECIMALS
 from ..functions.geo import geodesic_numpy
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, is_small, materialize
 from .grid import covering_cells, with_cell
 
 # Queries of one block: the block is broadcast, so its size is checked against this.
@@ -43,7 +43,8 @@ def weighted_setting(w_text: float, w_spatial: float) -> list[list[float]]:
 def _matrix(column):
     import numpy as np
 
-    return np.asarray(column.flatten(), dtype="float64").reshape(len(column), -1)
+    width = -1 if len(column) else 1
+    return np.asarray(column.flatten(), dtype="float64").reshape(len(column), width)
 
 
 def _searchable(batch, dims):
@@ -62,7 +63,7 @@ def _searchable(batch, dims):
     return batch
 
 
-def _query_block(table, parts, masks):
+def _query_block(table, parts):
     """NumPy form of an Arrow table of queries."""
     import numpy as np
 
@@ -71,13 +72,13 @@ def _query_block(table, parts, masks):
     for name in ("lat", "lon", "radius_deg"):
         if name in table.column_names:
             block[name] = np.asarray(table.column(name), dtype="float64")
-    for name in list(parts) + list(masks):
+    for name in parts:
         chunks = table.column(name).chunks
         block[name] = _matrix(chunks[0]) if chunks else np.zeros((0, 1))
     return block
 
 
-def _search(batches, block, parts, settings, k, masks, payload, ranked_by_distance):
+def _search(batches, block, parts, settings, k, payload, ranked_by_distance):
     """Local top-k of a stream of Arrow batches; yields one batch of survivors."""
     import numpy as np
     import pyarrow as pa
@@ -122,14 +123,11 @@ def _search(batches, block, parts, settings, k, masks, payload, ranked_by_distan
             dy = lat[:, None] - block["lat"][None, chosen]
             radius = block["radius_deg"][None, chosen]
             allowed = np.isnan(radius) | (np.sqrt(dx * dx + dy * dy) <= radius)
-        for name in masks:
-            # A point is a candidate when it shares one value with the query.
-            mine, theirs = _matrix(batch.column(name)), block[name][chosen]
-            shared = np.zeros((len(mine), len(theirs)), dtype=bool)
-            for t in range(mine.shape[1]):
-                for u in range(theirs.shape[1]):
-                    shared |= mine[:, t, None] == theirs[None, :, u]
-            allowed = shared if allowed is None else allowed & shared
+        # A NaN would sort above every similarity and lift the floor of its query.
+        finite = np.all([np.isfinite(m).all(axis=1) for m in mats.values()], axis=0)
+        if not finite.all():
+            mats = {p: np.where(finite[:, None], m, 0.0) for p, m in mats.items()}
+            allowed = np.broadcast_to(finite[:, None], (len(finite), hi - lo)) & (True if allowed is None else allowed)
         grams, out = {}, []
         for s, c in enumerate(coefs):
             dots, point_sq = 0.0, 0.0
@@ -195,7 +193,7 @@ def vector_topk(
     parts: Sequence[str] = ("embedding",),
     settings: dict[str, list[list[float]]] | None = None,
     payload: Sequence[str] = ("tags",),
-    masks: Sequence[str] = (),
+    groups: str | None = None,
     ranked_by_distance: bool = True,
     block_queries: int = BLOCK_QUERIES,
     block_points: int = BLOCK_POINTS,
@@ -205,23 +203,22 @@ def vector_topk(
     ``points`` has id, lat, lon, the vector ``parts`` and the ``payload``; ``queries``
     has qid, lat, lon, vectors under the same names and optionally ``radius_deg``
     (NULL: no radius). ``settings`` names fusion coefficient matrices; all are scored
-    in one pass over the stored parts. ``masks`` name array columns of both sides of
-    which a candidate must share one value. Vectors that are NULL or differ in length
-    from the query vectors are not searched.
+    in one pass over the stored parts. ``groups`` names an array column of both sides of
+    which a candidate must share one value: only such pairs are scored. Point vectors that
+    are NULL, not finite or of another length than the query vectors are not searched;
+    such query vectors are refused, whatever the number of queries.
     """
     spark = points.sparkSession
     names = list(settings or PLAIN)
     coefs = [(settings or PLAIN)[n] for n in names]
     in_radius = "radius_deg" in queries.columns
     place = ["lat", "lon"] if ranked_by_distance or in_radius else []
-    query_cols = ["qid", *place, *(["radius_deg"] if in_radius else []), *parts, *masks]
+    group_cols = [groups] if groups else []
+    query_cols = ["qid", *place, *(["radius_deg"] if in_radius else []), *parts, *group_cols]
     queries = queries.select(query_cols)
-    # Bounded: one block of queries and one row more.
-    head = queries.limit(block_queries + 1).toArrow()
-    if head.num_rows and any(head.column(p).null_count for p in parts):
-        raise ValueError("query vectors must not be NULL")
+    _check_queries(queries, parts)
     extra = [c for c in payload if c not in ("id",)]
-    wanted = list(dict.fromkeys(["id", *place, *parts, *masks, *extra]))
+    wanted = list(dict.fromkeys(["id", *place, *parts, *group_cols, *extra]))
     live = points
     fields = {f.name: f for f in points.schema}
     schema = T.StructType(
@@ -230,9 +227,13 @@ def vector_topk(
         + [T.StructField(c, fields[c].dataType) for c in extra]
         + [T.StructField("distance", T.DoubleType()), T.StructField("similarity", T.DoubleType())]
     )
-    args = (list(parts), coefs, k, list(masks), extra, ranked_by_distance)
-    if head.num_rows <= block_queries:
-        block = _query_block(head, parts, masks)
+    args = (list(parts), coefs, k, extra, ranked_by_distance)
+    # Bounded: one block of queries and one row more.
+    head = None if groups else queries.limit(block_queries + 1).toArrow()
+    if groups:
+        found = _groupwise(live.select(wanted), queries, schema, args, parts, groups, block_queries, block_points)
+    elif head.num_rows <= block_queries:
+        block = _query_block(head, parts)
         if in_radius and head.num_rows:
             live = _near_any_query(live, queries, head)
         shared = spark.sparkContext.broadcast(block)
@@ -240,7 +241,7 @@ def vector_topk(
             lambda batches: _search(batches, shared.value, *args), schema
         )
     else:
-        found = _blockwise(live.select(wanted), queries, schema, args, parts, masks, block_queries, block_points)
+        found = _blockwise(live.select(wanted), queries, schema, args, parts, block_queries, block_points)
     order = Window.partitionBy("_s", "qid").orderBy(F.desc("similarity"), "distance", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if settings:
@@ -271,7 +272,41 @@ def _near_any_query(points, queries, head):
     return with_cell(boxed, size).join(F.broadcast(cells), ["cy", "cx"], "left_semi").drop("cy", "cx")
 
 
-def _blockwise(points, queries, schema, args, parts, masks, block_queries, block_points):
+def _check_queries(queries, parts):
+    """One pass over all queries: their vectors are present, finite and of one length."""
+    def bad(name):
+        return F.col(name).isNull() | F.exists(name, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
+
+    facts = queries.agg(*[
+        x for i, p in enumerate(parts)
+        for x in (F.count_if(bad(p)).alias(f"bad{i}"), F.min(F.size(p)).alias(f"low{i}"), F.max(F.size(p)).alias(f"high{i}"))
+    ]).first()
+    for i, p in enumerate(parts):
+        if facts[f"bad{i}"]:
+            raise ValueError(f"query vectors {p!r} must not be NULL and must be finite")
+        if facts[f"low{i}"] != facts[f"high{i}"]:
+            raise ValueError(f"query vectors {p!r} must have one length")
+
+
+def _meet(schema, args, parts):
+    """Top-k of one group of points for one group of queries, as a cogroup function."""
+    parts, out_names = list(parts), [f.name for f in schema]
+
+    def meet(left, right):
+        import pyarrow as pa
+
+        block = _query_block(right, parts)
+        found = list(_search(left.combine_chunks().to_batches(), block, *args))
+        if found:
+            return pa.Table.from_batches(found)
+        keep = left.schema
+        types = {"_s": pa.int32(), "qid": pa.int64(), "distance": pa.float64(), "similarity": pa.float64()}
+        return pa.table({n: pa.array([], types[n] if n in types else keep.field(n).type) for n in out_names})
+
+    return meet
+
+
+def _blockwise(points, queries, schema, args, parts, block_queries, block_points):
     """Queries beyond one block: meet every point block with every query block.
 
     Both sides are cut by a hash of their unique key, so groups are even whatever the
@@ -285,18 +320,28 @@ def _blockwise(points, queries, schema, args, parts, masks, block_queries, block
     asked = queries.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn(
         "_pb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p_blocks - 1).cast("long")))
     )
-    parts, masks = list(parts), list(masks)
-    out_names = [f.name for f in schema]
+    return copies.groupBy("_pb", "_qb").cogroup(asked.groupBy("_pb", "_qb")).applyInArrow(_meet(schema, args, parts), schema)
 
-    def meet(left, right):
-        import pyarrow as pa
 
-        block = _query_block(right, parts, masks)
-        found = list(_search(left.combine_chunks().to_batches(), block, *args))
-        if found:
-            return pa.Table.from_batches(found)
-        keep = left.schema
-        types = {"_s": pa.int32(), "qid": pa.int64(), "distance": pa.float64(), "similarity": pa.float64()}
-        return pa.table({n: pa.array([], types[n] if n in types else keep.field(n).type) for n in out_names})
+def _groupwise(points, queries, schema, args, parts, groups, block_queries, block_points):
+    """Points meet queries group by group; a pair that shares no group is never scored.
 
-    return copies.groupBy("_pb", "_qb").cogroup(asked.groupBy("_pb", "_qb")).applyInArrow(meet, schema)
+    A large group is cut into blocks of points, and of queries, by a hash of their keys.
+    """
+    mine = points.withColumn("_g", F.explode(groups)).drop(groups)
+    asked = queries.withColumn("_g", F.explode(groups)).drop(groups)
+    blocks = mine.groupBy("_g").agg(F.ceil(F.count("*") / block_points).alias("_np")).join(
+        asked.groupBy("_g").agg(F.ceil(F.count("*") / block_queries).alias("_nq")), "_g")
+    blocks = materialize(blocks, "topk-groups")
+    if is_small(blocks):
+        blocks = F.broadcast(blocks)
+
+    def cut(df, key, own, other, own_n, other_n):
+        spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_n) - 1))
+        return df.join(blocks, "_g").withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n))).withColumn(other, spread).drop("_np", "_nq")
+
+    left = cut(mine, "id", "_pb", "_qb", "_np", "_nq").groupBy("_g", "_pb", "_qb")
+    right = cut(asked, "qid", "_qb", "_pb", "_nq", "_np").groupBy("_g", "_pb", "_qb")
+    found = left.cogroup(right).applyInArrow(_meet(schema, args, parts), schema)
+    # A pair may share several groups.
+    return found.dropDuplicates(["_s", "qid", "id"])

@@ -15,6 +15,9 @@ MIN_SCALE, MAX_SCALE = 1e-3, 100.0
 # AdamW decay rates and denominator term.
 BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
 
+# Shares of the rows that are trained on side by side.
+WORKERS = 8
+
 _PARAMS = ("text_w", "text_b", "loc_w1", "loc_b1", "loc_w2", "loc_b2", "log_scale")
 
 
@@ -132,24 +135,26 @@ def train(
     batch_size: int = 256,
     lr: float = 1e-4,
     decay: float = 0.01,
-    workers: int | None = None,
+    workers: int = WORKERS,
     seed: int = 0,
 ) -> tuple[Projection, list[tuple[int, float, float]]]:
     """Train on (id, vector, lat, lon); returns weights and (epoch, loss, temperature).
 
     Parallel SGD: in each epoch every worker runs AdamW over the batches of its random
     share of the rows, then weights and moments are averaged over workers by a two-level
-    aggregate. With one worker this is plain sequential training; with more, updates of
+    aggregate. ``workers`` is a parameter of the training, not of the cluster: the weights do
+    not depend on the number of cores. There are no more workers than full batches, so that
+    ``batch_size`` holds. With one worker this is plain sequential training; with more, updates of
     different workers meet only at the end of an epoch.
     """
     import numpy as np
 
     spark = pairs.sparkSession
-    workers = workers or spark.sparkContext.defaultParallelism
     rows = materialize(pairs.select(
         "id", F.col("vector").cast("array<double>").alias("vector"),
         sinusoidal_features("lat", "lon", weights.bands).alias("features"),
     ), "training")
+    workers = max(1, min(workers, rows.count() // batch_size))
     start = {n: np.atleast_1d(np.asarray(getattr(weights, n), dtype="float64")) for n in _PARAMS}
     shapes = {n: start[n].shape for n in _PARAMS}
     zeros = {n: np.zeros(s) for n, s in shapes.items()}

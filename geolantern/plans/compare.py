@@ -35,7 +35,8 @@ def compare_methods(
     ``vectors`` maps a vector family to the column of points and queries that holds its
     vector. Methods of one family differ in their access path alone and return the same
     rows, so a family is searched once, at the largest k. All queries run in one job:
-    a query's time is its share of the job. Points are written first (insert time).
+    a query's time is its share of the job. Points are written first (insert time). No index
+    is built here, so the index time is NULL.
     """
     vectors = vectors or {"embedded_": "embedding", "concat_embedded_": "concat",
                           "contrastive_embedded_": "contrastive"}
@@ -73,7 +74,7 @@ def compare_methods(
         all_times = times if all_times is None else all_times.unionByName(times)
     spark = points.sparkSession
     loads = spark.createDataFrame(
-        [(m, source, k, None, p, s) for m in methods for k in ks for p, s in (("insert", insert), ("index", 0.0))],
+        [(m, source, k, None, p, s) for m in methods for k in ks for p, s in (("insert", insert), ("index", None))],
         "method string, source string, k int, qid long, phase string, seconds double",
     )
     return all_results, all_times.unionByName(loads)

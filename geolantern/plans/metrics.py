@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tags import tags_json
 from ..functions.vectors import dot, l2_normalize, mean_vector
+from ..operators.encode import HashingEncoder
 
 RUN = ("method", "source", "k")
 
@@ -19,25 +21,45 @@ def _keys(df: DataFrame, *others: DataFrame) -> list[str]:
     return [*common, "qid"]
 
 
+def _per_run(queries: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """The queries once per run of ``results`` (few: one per method, source and k).
+
+    Run columns that the queries have themselves must agree; without any run they stay,
+    and the others are NULL.
+    """
+    runs = keys[:-1]
+    if not runs:
+        return queries
+    own = [c for c in runs if c in queries.columns]
+    lists = results.select(*runs).distinct().agg(F.collect_set(F.struct(*runs)).alias("_runs")).scalar()
+    many = queries.withColumn("_run", F.explode_outer(lists))
+    agree = F.lit(True)
+    for c in own:
+        agree = agree & F.col(f"_run.{c}").eqNullSafe(F.col(c))
+    many = many.where(F.col("_run").isNull() | agree)
+    chosen = [F.coalesce(F.col(f"_run.{c}"), F.col(c)).alias(c) if c in own else F.col(f"_run.{c}").alias(c) for c in runs]
+    return many.select(*chosen, *[c for c in queries.columns if c not in runs])
+
+
 def recall_series(predicted: DataFrame, truth: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """Recall per truth query: the prediction is cut to ``k``, the truth is not.
+    """Recall per truth query and run: the prediction is cut to ``k``, the truth is not.
 
-    ``queries`` adds queries whose truth is empty; their recall is 1.
+    The truth of a prediction is that of the same source and k, where both sides have those
+    columns; a method is compared with any truth. ``queries`` adds queries whose truth is
+    empty; their recall is 1. An empty prediction has recall 0 for every truth query.
     """
-    true_ids = truth.select("qid", "id").distinct()
     keys = _keys(predicted)
-    hits = predicted.where(F.col("rank") <= k).select(*keys, "id").distinct().join(true_ids, ["qid", "id"])
-    runs = predicted.select(*keys[:-1]).distinct() if keys[:-1] else None
-    sizes = true_ids.groupBy("qid").agg(F.count("*").alias("size"))
+    shared = [c for c in keys if c in truth.columns and c not in ("method", "qid")]
+    true_ids = truth.select(*shared, "qid", "id").distinct()
+    hits = predicted.where(F.col("rank") <= k).select(*keys, "id").distinct().join(true_ids, [*shared, "qid", "id"])
+    sizes = true_ids.groupBy(*shared, "qid").agg(F.count("*").alias("size"))
     if queries is not None:
-        sizes = queries.select("qid").distinct().join(sizes, "qid", "left")
+        asked = queries.select("qid", *[c for c in shared if c in queries.columns]).distinct()
+        asked = _per_run(asked, truth, [*shared, "qid"])
+        sizes = asked.unionByName(sizes.select(*asked.columns)).distinct().join(sizes, [*shared, "qid"], "left")
     counts = hits.groupBy(*keys).agg(F.count("*").alias("hits"))
-    if runs is not None:
-        # Few runs: one per method, source and k.
-        lists = runs.agg(F.collect_set(F.struct(*keys[:-1])).alias("_runs")).scalar()
-        sizes = sizes.withColumn("_run", F.explode(lists)).select("qid", "size", "_run.*")
     recall = F.when(F.coalesce("size", F.lit(0)) == 0, 1.0).otherwise(F.coalesce("hits", F.lit(0)) / F.col("size"))
-    return sizes.join(counts, keys, "left").select(*keys, recall.alias("recall"))
+    return _per_run(sizes, predicted, keys).join(counts, keys, "left").select(*keys, recall.alias("recall"))
 
 
 def recall_at_k(predicted: DataFrame, truth: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
@@ -50,14 +72,15 @@ def coherence_series(results: DataFrame, vector: str, queries: DataFrame | None
     """Mean pairwise cosine of the result vectors per query, diagonal included.
 
     The mean of the k x k matrix equals the squared norm of the mean unit vector, so no
-    pair is formed. ``queries`` adds queries without results as 0.
+    pair is formed. ``queries`` adds queries without results in a run as 0.
     """
     keys = _keys(results)
     series = results.groupBy(*keys).agg(mean_vector(l2_normalize(vector)).alias("_m")).select(
         *keys, dot("_m", "_m").alias("coherence")
     )
     if queries is not None:
-        series = queries.select("qid").distinct().join(series, "qid", "left").fillna({"coherence": 0.0})
+        asked = _per_run(queries.select("qid").distinct(), results, keys)
+        series = asked.join(series, keys, "left").fillna({"coherence": 0.0})
     return series
 
 
@@ -67,11 +90,19 @@ def coherence_at_k(results: DataFrame, vector: str) -> DataFrame:
     return coherence_series(results, vector).groupBy(*keys).agg(F.round(F.avg("coherence"), 4).alias("coherence"))
 
 
+def with_tag_vectors(results: DataFrame, encoder=None, out: str = "embedding") -> DataFrame:
+    """Results with the encoded text of their tags, for coherence where no vector is stored."""
+    encoder = HashingEncoder() if encoder is None else encoder
+    texts = results.select("id", tags_json("tags").alias("text")).where("text IS NOT NULL").dropDuplicates(["id"])
+    return results.join(encoder(texts, "text", out, keep=["id"]), "id")
+
+
 def range_series(results: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """Largest distance among the first ``k`` results per query; NULL without results."""
+    """Largest distance among the first ``k`` results per query and run; NULL without results."""
     series = results.where(F.col("rank") <= k).groupBy(*_keys(results)).agg(F.max("distance").alias("spatial_range"))
     if queries is not None:
-        series = queries.select("qid").distinct().join(series, "qid", "left")
+        keys = _keys(results)
+        series = _per_run(queries.select("qid").distinct(), results, keys).join(series, keys, "left")
     return series
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geolantern.constants import PREPOSITIONS
 from geolantern.functions import tags, text, vectors
 from geolantern.operators import encode, sampling, train
-from geolantern.plans import compare, profile
+from geolantern.plans import compare, metrics, profile
 from geolantern.sources import embeddings, osm, pois, queries, workloads
 
 
@@ -230,3 +230,38 @@ def test_method_families():
     assert [compare.family_of(m) for m in ("no_index", "pgvector_embedding", "concat_embedding", "contrastive_embedding")] == [
         "", "embedded_", "concat_embedded_", "contrastive_embedded_"
     ]
+
+
+# --- metrics over several runs -------------------------------------------------------
+
+def test_recall_of_several_sources(spark):
+    rows = [(s, q, r + 1, 10 * q + r) for s in "ab" for q in range(2) for r in range(3)]
+    truth = spark.createDataFrame(rows, "source string, qid long, rank int, id long")
+    series = metrics.recall_series(truth, truth, 3).collect()
+    assert len(series) == 4 and all(r["recall"] == 1.0 for r in series)
+
+
+def test_recall_of_an_empty_prediction(spark):
+    truth = spark.createDataFrame([("a", 1, 1, 5), ("a", 2, 1, 6)], "source string, qid long, rank int, id long")
+    none = truth.limit(0).withColumn("method", F.lit("m"))
+    series = metrics.recall_series(none, truth, 3).collect()
+    assert sorted((r["source"], r["qid"], r["recall"]) for r in series) == [("a", 1, 0.0), ("a", 2, 0.0)]
+
+
+def test_rows_of_queries_without_results(spark):
+    results = spark.createDataFrame(
+        [("m", 1, 1, 5, 2.0, [1.0, 0.0]), ("n", 2, 1, 6, 3.0, [0.0, 1.0])],
+        "method string, qid long, rank int, id long, distance double, v array<double>")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    ranges = metrics.range_series(results, 3, asked).collect()
+    assert sorted((r["method"], r["qid"], r["spatial_range"]) for r in ranges if r["spatial_range"]) == [("m", 1, 2.0), ("n", 2, 3.0)]
+    coherence = metrics.coherence_series(results, "v", asked).collect()
+    assert len(ranges) == len(coherence) == 6 and sum(r["coherence"] for r in coherence) == 2.0
+
+
+def test_coherence_from_tags(spark):
+    results = spark.createDataFrame(
+        [(1, 1, {"a": "x"}), (1, 2, {"a": "x"}), (2, 3, {"a": "x"}), (2, 4, {"b": "y z"})], "qid long, id long, tags map<string,string>")
+    series = metrics.coherence_series(metrics.with_tag_vectors(results), "embedding").collect()
+    by = {r["qid"]: r["coherence"] for r in series}
+    assert abs(by[1] - 1.0) < 1e-6 and by[2] < 0.9

@@ -243,3 +243,46 @@ def test_metrics(vector_points, vector_queries):
         norm = np.linalg.norm(rows, axis=1, keepdims=True)
         rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm != 0)
         assert abs(value - float((rows @ rows.T).mean())) < 1e-9
+
+
+# --- vectors that cannot be searched -------------------------------------------------
+
+DIRTY = "id long, lat double, lon double, tags map<string,string>, embedding array<double>"
+
+
+def _dirty_points(spark):
+    good = [(i, 0.0, 0.001 * i, {"a": "b"}, [1.0, 0.1 * i]) for i in range(12)]
+    nan, inf = float("nan"), float("inf")
+    bad = [(100, 0.0, 0.0, None, [nan, 1.0]), (101, 0.0, 0.0, None, [inf, 1.0]), (102, 0.0, 0.0, None, None),
+           (103, 0.0, 0.0, None, [1.0]), (104, 0.0, 0.0, None, [None, 1.0])]
+    return spark.createDataFrame(good + bad, DIRTY)
+
+
+def _asked(spark, vectors):
+    return spark.createDataFrame([(i, 0.0, 0.0, v) for i, v in enumerate(vectors)],
+                                 "qid long, lat double, lon double, embedding array<double>")
+
+
+@pytest.mark.parametrize("block", [100, 2])
+def test_bad_point_vectors_cost_no_other_row(spark, block):
+    asked = _asked(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]])
+    found = topk.vector_topk(_dirty_points(spark), asked, 5, block_queries=block).collect()
+    assert len(found) == 15 and {r["id"] for r in found} <= set(range(12))
+    assert [r["id"] for r in sorted(found, key=lambda r: (r["qid"], r["rank"]))][:5] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("block", [100, 2])
+@pytest.mark.parametrize("last", [None, [1.0], [float("nan"), 1.0], [1.0, None]])
+def test_bad_query_vectors_are_refused(spark, block, last):
+    asked = _asked(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], last])
+    with pytest.raises(ValueError, match="query vectors"):
+        topk.vector_topk(_dirty_points(spark), asked, 5, block_queries=block)
+
+
+@pytest.mark.parametrize(("points", "queries"), [(65_536, 4096), (3, 1)])
+def test_groups_score_only_pairs_that_share_one(spark, points, queries):
+    mine = _dirty_points(spark).where("id < 12").withColumn("g", F.array(F.col("id") % 3, F.col("id") % 2 + 10))
+    asked = _asked(spark, [[1.0, 0.0], [0.0, 1.0]]).withColumn("g", F.array(F.col("qid"), F.lit(10)))
+    found = topk.vector_topk(mine, asked, 20, groups="g", block_points=points, block_queries=queries).collect()
+    want = {(q, i) for q in range(2) for i in range(12) if i % 3 == q or i % 2 == 0}
+    assert sorted((r["qid"], r["id"]) for r in found) == sorted(want)
