@@ -841,30 +841,58 @@ def multi_k(spark, sf):
     return search.multi_k(found).select("k", "qid", "rank", "id", F.round("distance", 3).alias("distance"))
 
 
-_RUN_SQL = with_sql(
-    fx.EV, fx.q_sql(RADIUS_DEG), fx.QV,
-    "rv AS (SELECT *, list_transform(qev, lambda x: CAST(CAST(round(x,6) AS FLOAT) AS DOUBLE)) AS rq FROM qv)",
-    f"c1 AS (SELECT qid, id, lat, lon, qlat, qlon FROM p, q WHERE {_HAS_PAIR} AND {_IN_RADIUS})", fx.geodesic_sql("c1", "qid, id", "g1"),
-    "c2 AS (SELECT qid, id, lat, lon, qlat, qlon, round(list_cosine_similarity(ev,rq),9) AS similarity, "
-    f"{fx.PLANAR} <= radius_deg AS near FROM pv, rv)",
-    fx.geodesic_sql("c2", "qid, id, similarity, near", "g2"),
-    "r AS (SELECT '' AS family, qid, id, distance, CAST(NULL AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round(distance,6), id) AS rank FROM g1 "
-    "UNION ALL SELECT 'embedded_', qid, id, distance, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, round(distance,6), id) FROM g2 WHERE near "
-    "UNION ALL SELECT 'concat_embedded_', qid, id, distance, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, round(distance,6), id) FROM g2)",
-    select="SELECT 'dataset' AS source, family, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, "
-           "round(similarity,6) AS similarity FROM r, (SELECT unnest([1,10]) AS k) WHERE rank <= k",
-)
+# Each vector family has vectors of its own: shifted, raw, and both concatenated.
+FAMILY_VECTORS = {"embedded_": "embedding", "concat_embedded_": "concat", "contrastive_embedded_": "contrastive"}
+
+
+def _with_families(spark, sf, df):
+    """``df(vec_id, embedding)`` with the vectors of the other families."""
+    raw = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("contrastive"))
+    return df.join(raw, "vec_id").withColumn("concat", F.concat("embedding", "contrastive")).drop("vec_id")
+
+
+def _family_points(spark, sf):
+    return _with_families(spark, sf, fx.with_vec_id(spark, sf, fx.vector_pois(spark, sf)))
+
+
+def _family_queries(spark, sf, radius=None):
+    return _with_families(spark, sf, fx.vector_queries(spark, sf, radius).withColumn("vec_id", F.col("qid") * 7))
+
+
+def _families_sql(rounded: bool) -> tuple[str, ...]:
+    """Ranks ``r`` of all four families; ``rounded``: the query vectors as statements hold them."""
+    def vec(v):
+        return f"list_transform({v}, lambda x: CAST(CAST(round(x,6) AS FLOAT) AS DOUBLE))" if rounded else v
+
+    ranked = "row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, round(distance,6), id) AS rank"
+    return (
+        "qs AS (SELECT qv.*, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS qsh FROM qv JOIN embeddings e ON e.vec_id = qid*7)",
+        f"rv AS (SELECT *, {vec('qev')} AS rq, {vec('qsh')} AS rs, {vec('list_concat(qev, qsh)')} AS rc FROM qs)",
+        f"c1 AS (SELECT qid, id, lat, lon, qlat, qlon FROM p, q WHERE {_HAS_PAIR} AND {_IN_RADIUS})", fx.geodesic_sql("c1", "qid, id", "g1"),
+        f"c2 AS (SELECT qid, id, lat, lon, qlat, qlon, round(list_cosine_similarity(ev,rq),9) AS similarity FROM pv, rv WHERE {_IN_RADIUS})",
+        fx.geodesic_sql("c2", "qid, id, similarity", "g2"),
+        "c3 AS (SELECT qid, id, lat, lon, qlat, qlon, round(list_cosine_similarity(list_concat(ev, shared),rc),9) AS similarity FROM pv, rv)",
+        fx.geodesic_sql("c3", "qid, id, similarity", "g3"),
+        "c4 AS (SELECT qid, id, lat, lon, qlat, qlon, round(list_cosine_similarity(shared,rs),9) AS similarity FROM pv, rv)",
+        fx.geodesic_sql("c4", "qid, id, similarity", "g4"),
+        "r AS (SELECT '' AS family, qid, id, distance, CAST(NULL AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round(distance,6), id) AS rank FROM g1 "
+        + " ".join(f"UNION ALL SELECT '{f}', qid, id, distance, similarity, {ranked} FROM {g}"
+                   for f, g in (("embedded_", "g2"), ("concat_embedded_", "g3"), ("contrastive_embedded_", "g4"))) + ")",
+    )
 
 
-@query(_RUN_SQL)
+@query(with_sql(
+    fx.EV, fx.q_sql(RADIUS_DEG), fx.QV, *_families_sql(True),
+    select="SELECT 'dataset' AS source, family, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, "
+           "round(similarity,6) AS similarity FROM r, (SELECT unnest([1,10]) AS k) WHERE rank <= k",
+))
 def run_workload(spark, sf):
-    """A workload read back from statement text and answered: three families, two k."""
+    """A workload read back from statement text and answered: all four families, two k."""
     path = scratch_path(spark, "workload") + "/nations"
-    rows = _sample_workload(spark, sf, (1, 10)).where("family <> 'contrastive_embedded_'")
+    rows = workload.build_workload(_family_queries(spark, sf), (1, 10), RADIUS_M, "dataset", FAMILY_VECTORS, order_by="geodesic")
     workloads.write_statements(rows, path, files=4)
-    found = workload.run_workload(fx.vector_pois(spark, sf), workloads.load_workload(spark, path).drop("experiment"), {
-        "embedded_": "embedding", "concat_embedded_": "embedding",
-    })
+    found = workload.run_workload(
+        _family_points(spark, sf), workloads.load_workload(spark, path).drop("experiment"), FAMILY_VECTORS)
     return found.select("source", "family", "k", "qid", "rank", "id", F.round("distance", 3).alias("distance"), r6("similarity"))
 
 
@@ -1260,23 +1288,19 @@ def semantic_dirty(spark, sf):
 
 # --- comparison and sweeps -----------------------------------------------------------
 
+_METHODS = compare.SCENARIOS["all"]
+
+
 @query(with_sql(
-    fx.EV, fx.q_sql(RADIUS_DEG), fx.QV,
-    f"c1 AS (SELECT qid, id, lat, lon, qlat, qlon FROM p, q WHERE {_HAS_PAIR} AND {_IN_RADIUS})", fx.geodesic_sql("c1", "qid, id", "g1"),
-    f"c2 AS (SELECT qid, id, lat, lon, qlat, qlon, round(list_cosine_similarity(ev,qev),9) AS similarity FROM pv, qv WHERE {_IN_RADIUS})",
-    fx.geodesic_sql("c2", "qid, id, similarity", "g2"),
-    "r AS (SELECT '' AS family, qid, id, distance, CAST(NULL AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round(distance,6), id) AS rank FROM g1 "
-    "UNION ALL SELECT 'embedded_', qid, id, distance, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, round(distance,6), id) FROM g2)",
-    "m AS (SELECT * FROM (VALUES ('no_index',''),('spatial_keyword_index',''),('pgvector_embedding','embedded_'),('spatial_and_pgvector_embedding','embedded_')) t(method, family))",
+    fx.EV, fx.q_sql(RADIUS_DEG), fx.QV, *_families_sql(False),
+    "m AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{compare.family_of(m)}')" for m in _METHODS) + ") t(method, family))",
     select="SELECT method, 'dataset' AS source, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, round(similarity,6) AS similarity "
            "FROM r JOIN m USING (family), (SELECT unnest([1,10]) AS k) WHERE rank <= k",
 ))
 def compare_methods(spark, sf):
-    """Scenario run: results of every method for every k."""
-    points, asked = fx.vector_pois(spark, sf), fx.vector_queries(spark, sf, RADIUS_DEG)
+    """Scenario run: results of all eight methods for every k."""
     found, _ = compare.compare_methods(
-        points, asked, ("no_index", "spatial_keyword_index", "pgvector_embedding", "spatial_and_pgvector_embedding"), (1, 10)
-    )
+        _family_points(spark, sf), _family_queries(spark, sf, RADIUS_DEG), _METHODS, (1, 10), FAMILY_VECTORS)
     return found.select("method", "source", "k", "qid", "rank", "id", F.round("distance", 3).alias("distance"), r6("similarity"))
 
 
