@@ -21,8 +21,8 @@ from .common import map_arrow
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 6_000
 #: Snippets of BASE_SNIPPET characters of ordinary text that the common part of both is trained on.
 BASE_ROWS, BASE_SNIPPET, BASE_BYTES = 2_000, 4_000, 12_000
-#: Words in a window.
-WINDOW = 12
+#: Words in a window, and from one window to the next: every word is measured twice.
+WINDOW, STEP = 12, 6
 #: Most segments in a dictionary, and how sharp a segment must be.
 SEGMENTS, MIN_RATIO, MIN_G, MIN_SHARE_OF_BEST = 200, 6.0, 25.0, 0.1
 COUNTED = (1, 2, 3, 4, 6)
@@ -56,6 +56,7 @@ class Model:
     weights: tuple = ()
     bias: float = 0.0
     window: int = WINDOW
+    step: int = STEP
 
     def scorer(self):
         """text -> features, and features -> score; built once per task."""
@@ -69,22 +70,22 @@ class Model:
         def compressor(content):
             params = zstd.ZstdCompressionParameters(
                 format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
-                window_log=15, chain_log=14, hash_log=14, search_log=4, min_match=4, target_length=32,
-                strategy=zstd.STRATEGY_GREEDY,
+                window_log=15, chain_log=14, hash_log=14, search_log=6, min_match=4, target_length=32,
+                strategy=zstd.STRATEGY_LAZY,
             )
             trained = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             trained.precompute_compress(compression_params=params)
             return zstd.ZstdCompressor(dict_data=trained, compression_params=params).compress
 
         by_toxic, by_ordinary = compressor(self.toxic), compressor(self.ordinary)
-        step, primer = self.window, self.primer
+        size, step, primer = self.window, self.step, self.primer
 
         def features(text):
             tokens = words(text)
             gains = []
             for i in range(0, len(tokens), step):
                 # The primer is in both dictionaries: with it even a short window is compressed.
-                window = primer + b" " + b" ".join(tokens[i:i + step]) + b" "
+                window = primer + b" " + b" ".join(tokens[i:i + size]) + b" "
                 gains.append(len(by_ordinary(window)) - len(by_toxic(window)))
             gain = np.array(gains or [0])
             n = len(gain)
