@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolantern.constants import PREPOSITIONS, PRIORITY_KEYS, WHITESPACE
+from geolantern.constants import METHOD_FAMILY, PREPOSITIONS, PRIORITY_KEYS, WHITESPACE
 from geolantern.functions import geo, tags, text, vectors
 from geolantern.operators import ann, encode, grid, sampling, search, topk, train
 from geolantern.plans import compare, metrics, profile, sweeps, workload
@@ -1293,7 +1293,7 @@ _METHODS = compare.SCENARIOS["all"]
 
 @query(with_sql(
     fx.EV, fx.q_sql(RADIUS_DEG), fx.QV, *_families_sql(False),
-    "m AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{compare.family_of(m)}')" for m in _METHODS) + ") t(method, family))",
+    "m AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{METHOD_FAMILY[m]}')" for m in _METHODS) + ") t(method, family))",
     select="SELECT method, 'dataset' AS source, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, round(similarity,6) AS similarity "
            "FROM r JOIN m USING (family), (SELECT unnest([1,10]) AS k) WHERE rank <= k",
 ))

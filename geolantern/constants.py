@@ -58,6 +58,13 @@ SCENARIOS = {
     ),
 }
 
+# The workload family that each method answers.
+METHOD_FAMILY = {
+    "no_index": "", "spatial_index": "", "keyword_index": "", "spatial_keyword_index": "",
+    "pgvector_embedding": "embedded_", "spatial_and_pgvector_embedding": "embedded_",
+    "concat_embedding": "concat_embedded_", "contrastive_embedding": "contrastive_embedded_",
+}
+
 # White space stripped from texts on both ends.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"

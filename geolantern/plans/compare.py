@@ -7,26 +7,17 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SCENARIOS
+from ..constants import METHOD_FAMILY, SCENARIOS
 from ..operators.search import fused_search, keyword_search, semantic_search
 from ..session import materialize
 
 
 def scenario_methods(spark) -> DataFrame:
     """(scenario, method, family) of all scenarios."""
-    rows = [(s, m, family_of(m)) for s, methods in SCENARIOS.items() for m in methods]
+    rows = [(s, m, METHOD_FAMILY[m]) for s, methods in SCENARIOS.items() for m in methods]
     return spark.createDataFrame(rows, "scenario string, method string, family string")
 
 
-def family_of(method: str) -> str:
-    """Workload family a method answers, by the words of its name."""
-    for word, family in (("concat", "concat_embedded_"), ("contrastive", "contrastive_embedded_"),
-                         ("embedding", "embedded_")):
-        if word in method:
-            return family
-    return ""
-
-
 def compare_methods(
     points: DataFrame, queries: DataFrame, methods, ks, vectors: dict[str, str] | None = None, source: str = "dataset"
 ) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +38,7 @@ def compare_methods(
     asked = materialize(queries, "compare-queries")
     count = max(1, asked.count())
     results, seconds = {}, {}
-    for family in dict.fromkeys(family_of(m) for m in methods):
+    for family in dict.fromkeys(METHOD_FAMILY[m] for m in methods):
         start = time.perf_counter()
         if family == "":
             found = keyword_search(stored, asked, largest).withColumn("similarity", F.lit(None).cast("double"))
@@ -66,7 +57,7 @@ def compare_methods(
     for family, found in results.items():
         labels = [
             F.struct(F.lit(m).alias("method"), F.lit(source).alias("source"), F.lit(k).alias("k"))
-            for m in methods if family_of(m) == family for k in ks
+            for m in methods if METHOD_FAMILY[m] == family for k in ks
         ]
         rows = labelled(found, labels).where(F.col("rank") <= F.col("k"))
         times = labelled(asked.select("qid", F.lit("query").alias("phase"), F.lit(seconds[family]).alias("seconds")), labels)

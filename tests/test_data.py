@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geolantern.constants import PREPOSITIONS
+from geolantern.constants import METHOD_FAMILY, PREPOSITIONS
 from geolantern.functions import tags, text, vectors
 from geolantern.operators import encode, sampling, train
 from geolantern.plans import compare, metrics, profile
@@ -227,7 +227,7 @@ def test_batches(spark):
 
 
 def test_method_families():
-    assert [compare.family_of(m) for m in ("no_index", "pgvector_embedding", "concat_embedding", "contrastive_embedding")] == [
+    assert [METHOD_FAMILY[m] for m in ("no_index", "pgvector_embedding", "concat_embedding", "contrastive_embedding")] == [
         "", "embedded_", "concat_embedded_", "contrastive_embedded_"
     ]
 
@@ -265,3 +265,16 @@ def test_coherence_from_tags(spark):
     series = metrics.coherence_series(metrics.with_tag_vectors(results), "embedding").collect()
     by = {r["qid"]: r["coherence"] for r in series}
     assert abs(by[1] - 1.0) < 1e-6 and by[2] < 0.9
+
+
+def test_scratch_tables_are_removed_together(spark):
+    import os
+
+    from geolantern import session
+
+    frame = session.materialize(spark.range(3), "kept")
+    path = session.scratch_path(spark, "other")
+    spark.range(2).write.parquet(path)
+    assert frame.count() == 3 and os.path.isdir(os.path.dirname(path))
+    session.drop_scratch(spark)
+    assert not os.path.exists(os.path.dirname(path))
