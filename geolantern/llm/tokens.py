@@ -30,7 +30,7 @@ ROUNDS, MIN_COUNT, RULES_PER_ROUND = 4, 16, 4_096
 SLOTS = 1 << 18
 MAGIC = b"RPR1"
 #: Encoded pieces that a Python worker remembers, over its tasks.
-CACHE = 1_000_000
+CACHE = 600_000
 # The ASCII characters that are neither letters, digits, white space nor controls.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
