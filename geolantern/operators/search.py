@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DISTANCE_DECIMALS, MAX_METRES_PER_DEGREE, METRES_PER_DEGREE, SPHERE_SLACK
 from ..functions.geo import haversine, planar_distance, with_geodesic, within_degrees
 from ..session import BROADCAST_ROWS, materialize
-from .grid import DEFAULT_CELL_DEG, equi_join, with_cell
+from .grid import DEFAULT_CELL_DEG, equi_join
 from .topk import concat_setting, vector_topk
 
 # Distinct keys up to which a query batch filters tag entries by a literal list.
@@ -18,6 +18,8 @@ LITERAL_KEYS = 64
 # Queries up to which every cell of a term is tested; above, coarser grids come first.
 FEW_QUERIES = 1000
 COARSER = 16
+# Dense cells are refined up to so many times, where they hold more matches than this per result.
+FINER_LEVELS, DENSE_PER_RESULT = 3, 100
 
 _PAIR_MARK, _KEY_MARK = "\x01", "\x02"
 
@@ -136,7 +138,7 @@ def _candidate_cells(near: DataFrame, k: int, order: str, radius_mode: str, size
     # The margin covers rounding in the distances compared.
     margin = F.lit(1e-9 if order == "planar" else 0.001)
     kept = bounded.where(F.col("bound").isNull() | (F.col("gap") <= F.col("bound") + margin))
-    return kept.select("qid", "qlat", "qlon", "radius_deg", "term", "cy", "cx")
+    return kept.select("qid", "qlat", "qlon", "radius_deg", "term", "cy", "cx", "n")
 
 
 def _search_cells(
@@ -163,12 +165,51 @@ def _search_cells(
             near = equi_join(asked, layer, ["term"], salt_on="qid")
         else:
             layer = layer.withColumns({"py": F.floor(F.col("cy") / COARSER), "px": F.floor(F.col("cx") / COARSER)})
-            parents = found.withColumnsRenamed({"cy": "py", "cx": "px"})
+            parents = found.drop("n").withColumnsRenamed({"cy": "py", "cx": "px"})
             near = equi_join(parents, layer, ["term", "py", "px"], salt_on="qid")
         found = _candidate_cells(near, k, order, radius_mode, size * ratio)
     return found
 
 
+def _nested_cell(points: DataFrame, cell: float, depth: int) -> DataFrame:
+    """Cells of ``cell / COARSER**depth`` degrees; those of all depths nest exactly."""
+    finest, ratio = cell / COARSER**FINER_LEVELS, COARSER ** (FINER_LEVELS - depth)
+    return points.withColumns({
+        c: F.floor(F.floor(F.col(place) / F.lit(finest)) / ratio) for c, place in (("cy", "lat"), ("cx", "lon"))
+    })
+
+
+def _settled_pairs(
+    terms: DataFrame, found: DataFrame, k: int, order: str, radius_mode: str, cell: float
+) -> DataFrame:
+    """Candidate (query, point) pairs of the candidate cells ``found``.
+
+    Cells with far more matches than results are wanted are counted again on a finer grid, so
+    a query does not meet a whole city. Points of one place cannot be told apart; the
+    finest cells are taken as they are. Every refinement reads the points once more and is
+    made only where such cells are left.
+    """
+    pairs = None
+    for depth in range(FINER_LEVELS + 1):
+        here = _nested_cell(terms, cell, depth)
+        dense = found.where(F.col("n") > DENSE_PER_RESULT * k)
+        last = depth == FINER_LEVELS or dense.isEmpty()
+        settled = (found if last else found.where(F.col("n") <= DENSE_PER_RESULT * k)).drop("n")
+        met = equi_join(here, settled, ["term", "cy", "cx"]).drop("cy", "cx")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if last:
+            return pairs
+        hot = dense.select("term", "cy", "cx").distinct()
+        inside = equi_join(here.select("id", "lat", "lon", "term", "cy", "cx"), hot, ["term", "cy", "cx"]).drop("cy", "cx")
+        counts = _nested_cell(inside, cell, depth + 1).groupBy("term", "cy", "cx").agg(F.count("*").alias("n"))
+        parent = {"py": F.floor(F.col("cy") / COARSER), "px": F.floor(F.col("cx") / COARSER)}
+        near = equi_join(
+            dense.drop("n").withColumnsRenamed({"cy": "py", "cx": "px"}),
+            materialize(counts, "finer-counts").withColumns(parent), ["term", "py", "px"], salt_on="qid",
+        ).drop("py", "px")
+        found = materialize(_candidate_cells(near, k, order, radius_mode, cell / COARSER ** (depth + 1)), "finer-cells")
+
+
 def keyword_search(
     points: DataFrame,
     queries: DataFrame,
@@ -185,21 +226,21 @@ def keyword_search(
     applied to the geodesic distance.
 
     Two passes over the points: counts per term and cell bound the k-th distance of
-    each query, then only cells within the bound are read as candidates. A term that
-    a third of all points carry costs a query as little as a rare one.
+    each query, then only cells within the bound are read as candidates, on a finer grid
+    where places are dense.
     """
     asked = query_terms(queries).select(
         "qid", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
         "tag_key", "tag_value", "term", F.col("radius_deg").cast("double").alias("radius_deg"),
     )
     batch = _inspect(asked)
-    matched = with_cell(_terms_of(points.select("id", "lat", "lon", "tags"), asked, batch), cell)
-    cells = matched.groupBy("term", "cy", "cx").agg(F.count("*").alias("n"))
+    terms = _terms_of(points.select("id", "lat", "lon", "tags"), asked, batch)
+    cells = _nested_cell(terms, cell, 0).groupBy("term", "cy", "cx").agg(F.count("*").alias("n"))
     lookup = asked.drop("tag_key", "tag_value")
     found = _search_cells(cells, lookup, batch, k, order, radius_mode, cell)
     # Written once: its size is then known before the second pass is planned.
     found = materialize(found, "cells")
-    pairs = equi_join(matched, found, ["term", "cy", "cx"]).drop("term", "cy", "cx")
+    pairs = _settled_pairs(terms, found, k, order, radius_mode, cell).drop("term")
     planar_radius = radius_mode == "degrees"
     if planar_radius:
         pairs = pairs.where(

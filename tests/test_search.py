@@ -98,6 +98,12 @@ def test_keyword_search_coarse_levels_with_broadcast(points, queries, monkeypatc
     assert got(search.keyword_search(points, queries, 5, "planar", cell=0.01)) == brute(5, "planar")
 
 
+@pytest.mark.parametrize(("dense", "order", "mode"), [(0, "geodesic", "degrees"), (0, "planar", "metres"), (2, "geodesic", "metres")])
+def test_keyword_search_refines_dense_cells(points, queries, monkeypatch, dense, order, mode):
+    monkeypatch.setattr(search, "DENSE_PER_RESULT", dense)
+    assert got(search.keyword_search(points, queries, 12, order, mode, cell=0.5)) == brute(12, order, mode)
+
+
 def test_radius_join_routes_agree(points, queries, monkeypatch):
     expected = {
         (q[0], p[0]) for q in QUERIES if q[5] for p in POINTS
