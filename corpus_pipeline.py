@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geolantern.llm import mixing, simhash, tokens, toxicity, winnow
 from geolantern.llm.common import read, text_key
 from geolantern.llm.queries import toxicity_model
-from geolantern.session import scratch_path
+from geolantern.session import materialize, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,17 +18,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id (and text key)."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return first_rows(docs, found.select("doc_id").distinct())
-
-
-def first_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of these ids; of several rows of one id that with the smallest text key."""
-    keep = ids.withColumnRenamed("doc_id", "__id")
-    met = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(text_key())
-    return met.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    """One document of each near-duplicate group: that with the smallest doc_id (NULL last) and text key."""
+    kept = materialize(simhash.representatives(simhash.near_duplicates(docs)), "simhash-kept")
+    return first_rows(docs, kept)
+
+
+def first_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows with the doc_id and text key of ``kept(doc_id, key, n)``, one of those equal in both.
+
+    Only rows that ``n`` counts more than once are grouped, combined before the exchange.
+    """
+    ids = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept"), "n")
+    keyed = docs.withColumn("__key", text_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept"))
+    once = keyed.join(ids.where("n = 1"), same, "left_semi").drop("__key")
+    several = keyed.join(ids.where("n > 1"), same, "left_semi").groupBy("doc_id", "__key").agg(
+        F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__row"))
+    return once.unionByName(several.select("doc_id", "__row.*").select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

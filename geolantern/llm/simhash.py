@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, map_arrow
+from .common import components, map_arrow, text_key
 
 BITS = 64
 SEED = 42
@@ -50,14 +50,15 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. NULL texts have fingerprint 0."""
-    def run(ids, texts):
+    """(doc_id, fp, key): fp is the fingerprint as a signed long. NULL texts have fingerprint 0."""
+    def run(ids, texts, keys):
         import numpy as np
 
         fps = np.array([fingerprint(t, words) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64)
-        return ids, fps
+        return ids, fps, keys
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, fp long", run)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key")), ["doc_id", "text", "key"],
+                     "doc_id long, fp long, key long", run)
 
 
 def _masks(bits: int, most: int) -> list[int]:
@@ -137,12 +138,13 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id), a row per row of ``docs``.
+    """(doc_id, fp, component_id, key, root), a row per row of ``docs``.
 
     Two documents are linked if their fingerprints differ in at most ``radius`` bits;
     ``component_id`` is the smallest doc_id reachable. Texts that are NULL or hold no word have
     fingerprint 0 and are linked like any other; rows with a NULL doc_id take part, and their
-    component is NULL only if no member has an id. Copies meet in one fingerprint before
+    component is NULL only if no member has an id. ``key`` is that of the text and ``root`` the smallest
+    fingerprint of the component, which tells components apart that have no id or share one. Copies meet in one fingerprint before
     anything is compared, so they are never paired with each other.
     """
     prints = materialize(fingerprints(docs, words), "simhash")
@@ -154,8 +156,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
         "root", F.coalesce("root", "fp")
     )
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    of = member.join(smallest, "root").select("fp", "component_id", "root")
+    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id", "key", "root")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """(doc_id, key, n): of each component of ``near_duplicates`` the row with the smallest doc_id (NULL
+    last) and key, and how many rows are equal to it in both. Rows are combined before each exchange."""
+    equal = found.groupBy("root", "doc_id", "key", "fp").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "fp", "n"))
+    return equal.groupBy("root").agg(first.alias("x")).select("x.doc_id", "x.key", "x.n")
 
 
 def hexadecimal(fp) -> F.Column:

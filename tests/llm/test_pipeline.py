@@ -83,3 +83,15 @@ def test_stages_keep_the_columns(spark, folder):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns, name
     assert re.fullmatch("toxicity|.*", corpus_pipeline.STAGES[0][0])
+
+
+def test_near_copies_of_rows_without_or_with_shared_ids(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " "), (None, texts[2]), (9, texts[2]), (None, texts[0])]
+    rows += [(5, texts[3]), (5, texts[4]), (3, texts[4]), (7, texts[5]), (7, texts[5]), (7, texts[5])]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r[0] or 0, r[1].strip()) for r in got.collect()))
+    assert kept == sorted([(0, texts[0]), (0, texts[1]), (9, texts[2]), (5, texts[3]), (3, texts[4]), (7, texts[5])])
