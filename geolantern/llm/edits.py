@@ -3,8 +3,8 @@
 A text is walked by shared random walks: at step j the walk stands on a character, and a random bit
 of (j, character) says whether it moves on. The characters met, step by step, are an embedding in
 which a few edits change few places, since two walks that part over an edit soon fall into step
-again. The fingerprint samples the places of the embedding, one hex digit each. Long texts
-are walked in blocks with the same walk, side by side.
+again. The fingerprint samples the places of the embedding, one hex digit each. A text of any
+length is one unbroken walk, so a shift by some characters is made up for once, not in every part.
 
 Sampled places are nested: longer texts use every second, fourth, ... of them, so fingerprints of
 texts of any lengths share places. Bands of digits bring likely neighbours together.
@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import components, map_arrow, text_key
 
-BLOCK = 4096
 #: A text's sampled places lie between this and twice this, if it has as many steps.
 PLACES = 128
-#: Code points walked at once.
-CHUNK = 2_000_000
+#: Code points walked side by side, and the fewest texts that are; the rest of the longest texts is walked one by one.
+CHUNK, SIDE = 4_000_000, 16
+#: Steps taken before the sampled places among them are read off.
+STRIDE = 256
+#: A step has a random bit for each of so many kinds of characters; kind KINDS, the end of a text, never moves on.
+KINDS = 30
 BANDS, DIGITS = 16, 8
 SEED = 20_25
 
@@ -56,6 +59,15 @@ def places(halved: int):
     return np.flatnonzero(_mix(at + np.uint64(SEED)) >> np.uint64(64 - halved) == 0)
 
 
+@lru_cache(maxsize=4096)
+def _bits(stride: int) -> list[int]:
+    """The random bits of the steps of one stride, an integer of KINDS bits per step."""
+    import numpy as np
+
+    steps = np.arange(stride * STRIDE, (stride + 1) * STRIDE, dtype=np.uint64)
+    return (_mix(steps + np.uint64(SEED)) >> np.uint64(64 - KINDS)).tolist()
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """``<length in hex>:<a hex digit per sampled place>`` of each text; equal texts give equal ones."""
     out, held, size = [], [], 0
@@ -71,48 +83,75 @@ def fingerprints(texts: list[str]) -> list[str]:
 def _walk(texts: list[str]) -> list[str]:
     import numpy as np
 
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    lengths = np.array([len(texts[i]) for i in order], dtype=np.int64)
     # Three closing characters each: no context reaches into the next text.
-    joined = "\0\0\0".join(texts) + "\0\0\0"
+    joined = "\0\0\0".join([texts[i] for i in order]) + "\0\0\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    base = np.concatenate([[0], np.cumsum(lengths + 3)[:-1]])
     mark = codes[:-2] * np.uint32(0x85EBCA6B) + codes[1:-1] * np.uint32(0xC2B2AE35) + codes[2:] * np.uint32(0x27D4EB2F)
     mark ^= mark >> np.uint32(15)
     mark *= np.uint32(0x2C1B3C6D)
     mark ^= mark >> np.uint32(13)
-    per = -(-lengths // BLOCK)
-    doc = np.repeat(np.arange(len(texts)), per)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    steps = 2 * np.minimum(lengths[doc] - nth * BLOCK, BLOCK)
-    order = np.argsort(-steps, kind="stable")
-    start, stop = (base[doc] + nth * BLOCK)[order], (base[doc] + lengths[doc])[order]
-    left = steps[order]
-    most = int(left[0]) if len(left) else 0
-    salt = _mix(np.arange(most) + SEED).astype(np.uint32)
-    active = len(left) - np.searchsorted(left[::-1], np.arange(most), side="right")
-    path = np.zeros((most, len(left)), dtype=np.uint16)
-    at = start.copy()
-    for j in range(most):
-        m = active[j]
-        now = at[:m]
-        path[j, :m] = now - start[:m]
-        move = ((mark[now] ^ salt[j]) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-        now += move
-        np.minimum(now, stop[:m], out=now)
-    where = np.empty(len(order), dtype=np.int64)
-    where[order] = np.arange(len(order))
-    first = np.cumsum(per) - per
+    at = np.concatenate([[0], np.cumsum(lengths + 3)[:-1]])
+    ends = at + lengths
+    kinds = mark % np.uint32(KINDS)
+    kinds[ends] = KINDS
     digits = ((mark >> np.uint32(7)) & np.uint32(15)).astype(np.uint8)
-    out = []
-    for i, n in enumerate(lengths.tolist()):
-        spots = places(level(n))
-        spots = spots[:np.searchsorted(spots, 2 * n)]
-        lane = where[first[i] + spots // (2 * BLOCK)] if n else spots
-        got = digits[start[lane] + path[spots % (2 * BLOCK), lane]] if n else digits[:0]
-        out.append(f"{n:x}:" + (got + np.where(got < 10, 48, 87)).astype(np.uint8).tobytes().decode())
+    levels = np.array([level(n) for n in lengths.tolist()])
+    alike = [(int(k), np.flatnonzero(levels == k)) for k in np.unique(levels)]
+    got = {k: [np.zeros((0, len(who)), dtype=np.uint8)] for k, who in alike}
+    stride = 0
+    while (left := int((2 * lengths > stride * STRIDE).sum())) >= SIDE:
+        path = np.empty((STRIDE, left), dtype=np.int64)
+        now = at[:left]
+        for j, b in enumerate(_bits(stride)):
+            path[j] = now
+            now += (np.uint32(b) >> kinds[now]) & np.uint32(1)
+        for k, who in alike:
+            if who[0] < left:
+                some = _between(k, stride)
+                got[k].append(np.zeros((len(some), len(who)), dtype=np.uint8))
+                on = who[who < left]
+                got[k][-1][:, :len(on)] = digits[path[some][:, on]]
+        stride += 1
+    out = [""] * len(texts)
+    for k, who in alike:
+        side = np.concatenate(got[k])
+        for column, i in enumerate(who.tolist()):
+            n, found = int(lengths[i]), [side[:, column]]
+            if 2 * n > stride * STRIDE:
+                kept = kinds[at[i]:ends[i] + 1].astype(np.uint8).tobytes()
+                found.append(digits[int(at[i]) + _alone(kept, k, stride, 2 * n)])
+            own = np.concatenate(found)[:np.searchsorted(places(k), 2 * n)]
+            out[order[i]] = f"{n:x}:" + (own + np.where(own < 10, 48, 87)).astype(np.uint8).tobytes().decode()
     return out
 
 
+def _between(halved: int, stride: int):
+    """The sampled places of a stride, counted from its first step."""
+    import numpy as np
+
+    spots = places(halved)
+    a, b = np.searchsorted(spots, [stride * STRIDE, (stride + 1) * STRIDE])
+    return spots[a:b] - stride * STRIDE
+
+
+def _alone(kinds: bytes, halved: int, stride: int, steps: int):
+    """Where one text stands at its sampled places from a stride on."""
+    import numpy as np
+
+    path, at = [], 0
+    for stride in range(stride, -(-steps // STRIDE)):
+        bits, done = _bits(stride), 0
+        for spot in [*_between(halved, stride).tolist(), STRIDE]:
+            for b in bits[done:spot]:
+                at += b >> kinds[at] & 1
+            path.append(at)
+            done = spot
+        path.pop()
+    return np.array(path, dtype=np.int64)
+
+
 def _read(print_: str):
     import numpy as np
 

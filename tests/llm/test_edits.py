@@ -49,6 +49,17 @@ def test_likeness():
     assert 0.2 < edits.likeness(a, longer) < 1
 
 
+def test_a_shift_of_a_long_text():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    near = []
+    for _ in range(6):
+        text = " ".join(rng.choice(words) for _ in range(25_000))[:100_000]
+        header = "".join(rng.choice("ABCDEFGH ") for _ in range(100))
+        near.append(edits.likeness(*edits.fingerprints([text, header + text])))
+    assert sorted(near)[3] > 0.35, near
+
+
 def test_near_duplicates(spark):
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdefghij klmnop") for _ in range(3000)) for _ in range(4)]
