@@ -4,7 +4,10 @@ Two fingerprints at most ``radius`` bits apart have a common variant within ``ra
 bits of both. Every distinct fingerprint emits all its variants within that half radius, and
 variants that collide are verified. The variants are not shuffled one by one: the exchange
 goes by the first bits of a variant, so a fingerprint is sent once per prefix that its variants
-have, and the task of a prefix lays out the remaining bits. All variants are compared.
+have, and the task of a prefix lays out the remaining bits. All variants are compared. A prefix with
+too many variants, such as that of many near copies of one text, is dealt further by parities of the
+variants: the parity of a variant is that of the fingerprint XOR that of the mask, so each part lays
+out its own variants only.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import is_small, materialize
 from .common import components, map_arrow, text_key
 
 BITS = 64
@@ -24,6 +27,8 @@ MIN_PREFIX, MAX_PREFIX = 10, 24
 ROWS_PER_PREFIX = 1000
 #: Variants laid out at once in a task.
 CHUNK = 4_000_000
+#: Variants of a prefix from which it is dealt to several tasks, and the most parity bits for that and in all.
+TASK, TASK_BITS, PARITY_BITS = 32_000_000, 8, 14
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -65,6 +70,32 @@ def _masks(bits: int, most: int) -> list[int]:
     return [sum(1 << b for b in c) for w in range(most + 1) for c in combinations(range(bits), w)]
 
 
+def _parities(x):
+    """PARITY_BITS parities of random choices of the bits of each value; linear over XOR."""
+    import numpy as np
+
+    out = np.zeros(len(x), dtype=np.uint64)
+    for b in range(BITS):
+        label = ((b + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << PARITY_BITS)
+        out ^= (x >> np.uint64(b) & np.uint64(1)) * np.uint64(label)
+    return out.astype(np.int64)
+
+
+def _fold(root, a, b) -> None:
+    """Joins a[i] and b[i]; ``root`` has each node's smallest member before and after."""
+    import numpy as np
+
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b) between distinct fingerprints of ``fps(fp)`` whose closure is that of all pairs
     at most ``radius`` bits apart. Each returned pair is joined by such links within one task."""
@@ -83,6 +114,13 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     dealt = fps.select("fp", sent.alias("x")).select(
         F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("x.mask")), low).cast("int").alias("prefix"), "fp", "x.left"
     )
+    laid_out = F.element_at(F.array([F.lit(len(_masks(low, b))) for b in range(half + 1)]), F.col("left").cast("int") + 1)
+    heavy = dealt.groupBy("prefix").agg(F.sum(laid_out.cast("long")).alias("n")).where(F.col("n") > TASK).select(
+        F.col("prefix").alias("p"), F.least(F.ceil(F.log2(F.col("n") / TASK)), F.lit(TASK_BITS)).cast("int").alias("bits"))
+    heavy = materialize(heavy, "simhash-heavy")
+    dealt = dealt.join(F.broadcast(heavy) if is_small(heavy) else heavy, F.col("prefix") == F.col("p"), "left").select(
+        "prefix", "fp", "left", F.coalesce("bits", F.lit(0)).alias("bits"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("bits")).cast("int") - 1)))
 
     def meet(frame):
         import numpy as np
@@ -90,51 +128,38 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
         fp = frame["fp"].to_numpy().view(np.uint64)
         left = frame["left"].to_numpy()
+        outer, part = int(frame["bits"].iloc[0]), int(frame["part"].iloc[0])
         rest = fp & np.uint64((1 << low) - 1)
-        found = []
         groups = [(np.flatnonzero(left == b), np.array(_masks(low, b), dtype=np.uint64)) for b in range(half + 1)]
-        total = sum(len(i) * len(m) for i, m in groups)
-        parts = 1
-        while total / parts > CHUNK:
-            parts *= 2
-        for part in range(parts):
+        total = sum(len(i) * len(m) for i, m in groups) >> outer
+        inner = 0
+        while total >> inner > CHUNK and outer + inner < PARITY_BITS:
+            inner += 1
+        classes = 1 << (outer + inner)
+        of = [([rows[own == c] for c in range(classes)], [masks[set_ == c] for c in range(classes)]) for rows, masks, own, set_ in (
+            (rows, masks, _parities(rest[rows]) & (classes - 1), _parities(masks) & (classes - 1)) for rows, masks in groups)]
+        root = np.arange(len(fp))
+        for wanted in range(part, classes, 1 << outer):
             variants, owner = [], []
-            for rows, masks in groups:
-                step = max(1, CHUNK // len(masks))
-                for at in range(0, len(rows), step):
-                    some = rows[at:at + step]
-                    laid = (rest[some][:, None] ^ masks[None, :]).ravel()
-                    whose = np.repeat(some.astype(np.int32), len(masks))
-                    if parts > 1:
-                        keep = (laid * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts) == part
-                        laid, whose = laid[keep], whose[keep]
-                    variants.append(laid)
-                    owner.append(whose)
+            for rows, masks in of:
+                for c in range(classes):
+                    some, flips = rows[c], masks[c ^ wanted]
+                    if len(some) and len(flips):
+                        variants.append((rest[some][:, None] ^ flips[None, :]).ravel())
+                        owner.append(np.repeat(some.astype(np.int32), len(flips)))
+            if not variants:
+                continue
             variants, owner = np.concatenate(variants), np.concatenate(owner)
             order = np.argsort(variants)
             variants, owner = variants[order], owner[order]
             same = np.flatnonzero(variants[1:] == variants[:-1])
             a, b = owner[same], owner[same + 1]
             near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-            found.append(np.unique(np.minimum(a, b)[near].astype(np.int64) << 32 | np.maximum(a, b)[near]))
-        pairs = np.unique(np.concatenate(found))
-        root = np.arange(len(fp))
+            _fold(root, a[near], b[near])
+        moved = np.flatnonzero(root != np.arange(len(fp)))
+        return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
 
-        def top(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
-            a, b = top(a), top(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        roots = np.array([top(x) for x in range(len(fp))]) if len(pairs) else root
-        moved = np.flatnonzero(roots != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[roots[moved]].view(np.int64)})
-
-    return dealt.groupBy("prefix").applyInPandas(meet, "a long, b long")
+    return dealt.groupBy("prefix", "part").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from geolantern.llm import html, linededup, simhash, winnow
 
@@ -163,6 +164,51 @@ def test_all_links_within_the_radius(spark):
     assert classes(linked) == classes(near)
 
 
+def test_a_dense_cluster_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TASK", 200_000)
+    monkeypatch.setattr(simhash, "CHUNK", 20_000)
+    rng = random.Random(8)
+    center = rng.getrandbits(64)
+    prints = sorted({center ^ sum(1 << b for b in rng.sample(range(50), rng.randrange(5))) for _ in range(1500)}
+                    | {rng.getrandbits(64) for _ in range(50)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    spread = simhash.links(frame).withColumn("task", F.spark_partition_id()).where(
+        F.shiftrightunsigned("a", 54) == F.lit(center >> 54))
+    root = {p: p for p in prints}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spread.collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for r in simhash.links(frame).collect():
+        a, b = top(r["a"] % (1 << 64)), top(r["b"] % (1 << 64))
+        root[max(a, b)] = min(a, b)
+    got = [top(p) for p in prints]
+    want = {p: p for p in prints}
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 4:
+                x, y = a, b
+                while want[x] != x:
+                    x = want[x]
+                while want[y] != y:
+                    y = want[y]
+                want[max(x, y)] = min(x, y)
+
+    def end(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    assert got == [end(p) for p in prints]
+    assert len({r["task"] for r in rows}) > 2
+
+
 def test_near_duplicates(spark):
     text = " ".join(f"word{i % 97}" for i in range(500))
     rows = [(5, text), (3, text), (9, text + " "), (8, "other words in here"), (4, None), (6, ""), (None, text), (None, "alone in the world today")]
