@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import edits, html, linededup, mixing, quality, secrets, simhash, tokens, toxicity, winnow
+from . import (
+    conversations, edits, html, linededup, merkle, mixing, quality, secrets, simhash, substrings, tokens, toxicity, winnow,
+)
 from .common import fold, labelled_sample, read
 
 QUERIES: dict = {}
@@ -141,3 +143,80 @@ def op10_html(spark, sf):
 @query()
 def op3_edit_embedding(spark, sf):
     return edits.with_next(read(spark, sf, "documents"))
+
+
+@query()
+def op11_conversations(spark, sf):
+    return conversations.repair(read(spark, sf, "conversations"))
+
+
+def _merkle_sql(levels: int = 8, upper: int = 3) -> str:
+    """The manifest in SQL, a step per tree level: as many as 8**levels rows a language and 8**upper languages."""
+    fields = " || ".join(
+        f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({{{c}}} AS VARCHAR), '-')" for c in merkle.FIELDS)
+    plain = fields.format(**{c: c for c in merkle.FIELDS})
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    changed = fields.format(**{c: c for c in merkle.FIELDS} | {"text": lower})
+    # crc32 of a short text: eight shifts for each of its bits are no SQL to read, so the table of a byte is built first.
+    steps = [f"""
+b AS (SELECT range AS i, range AS c0 FROM range(256)),
+{", ".join(f"b{i + 1} AS (SELECT i, CASE WHEN c{i} & 1 = 1 THEN xor(c{i} >> 1, 3988292384) ELSE c{i} >> 1 END AS c{i + 1} FROM b{i or ''})" for i in range(8))},
+tab AS (SELECT list(c8 ORDER BY i) AS t FROM b8),
+d AS (SELECT *, coalesce('x' || lang, '') AS g, CAST(doc_id AS VARCHAR) AS id,
+  sha256({plain}) AS leaf, sha256({changed}) AS changed FROM documents),
+e AS (SELECT d.*, CASE WHEN id IS NULL THEN NULL ELSE xor(list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split(id, '')]),
+  lambda a, x: xor(a >> 8, t[1 + CAST(xor(a & 255, x) AS BIGINT)])), 4294967295) END AS crc FROM d, tab),
+l0 AS (SELECT g, doc_id, leaf, CASE WHEN crc % 3 = 0 THEN changed ELSE leaf END AS f0,
+  row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM e),
+n0 AS (SELECT g, r, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM l0)"""]
+
+    def climb(table: str, i: int) -> str:
+        run = f"PARTITION BY g, r // 8 ORDER BY r ROWS BETWEEN"
+        return f"""
+s{table}{i} AS (SELECT g, r, h, n, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+  coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z FROM {table}{i}),
+{table}{i + 1} AS (SELECT g, r // 8 AS r, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h,
+  CAST(ceil(any_value(n) / 8) AS BIGINT) AS n FROM {table}{i} GROUP BY g, r // 8)"""
+
+    steps += [climb("n", i) for i in range(levels)]
+    steps.append(f"""
+u0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS r, h, count(*) OVER () AS n, g AS lang FROM n{levels})""")
+    steps += [climb("u", i) for i in range(upper)]
+    path, joins, proof, fold = [], [], [], "f0"
+    for i in range(levels):
+        joins.append(f"JOIN sn{i} p{i} ON p{i}.g = l0.g AND p{i}.r = l0.r // {8 ** i}")
+        path.append(f"p{i}")
+    joins.append("JOIN u0 ON u0.lang = l0.g")
+    for i in range(upper):
+        joins.append(f"JOIN su{i} q{i} ON q{i}.r = u0.r // {8 ** i}")
+        path.append(f"q{i}")
+    select = ["l0.doc_id", "l0.leaf", "u0.h AS subroot", f"(SELECT h FROM u{upper}) AS root", "l0.f0"]
+    select += [f"{p}.{c} AS {p}{c}" for p in path for c in "azn"]
+    steps.append(f"""
+w0 AS (SELECT {', '.join(select)}, {' || '.join(f'{p}.a || {p}.z' for p in path)} AS proof FROM l0 {' '.join(joins)})""")
+    for i, p in enumerate(path):
+        steps.append(f"""
+w{i + 1} AS (SELECT * REPLACE (CASE WHEN {p}n = 1 THEN f0 ELSE sha256({p}a || f0 || {p}z) END AS f0) FROM w{i})""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f0 AS folded_root, f0 = root AS verified FROM w{len(path)}"""
+
+
+@query(_merkle_sql())
+def op12_merkle(spark, sf):
+    return merkle.manifest(read(spark, sf, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+u AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM u),
+r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 35)) AS q FROM h SEMI JOIN r USING (h))),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS kept FROM x ANTI JOIN g USING (doc_id, q) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id""")
+def op13_substrings(spark, sf):
+    found = substrings.deduplicate(read(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
