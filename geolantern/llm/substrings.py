@@ -20,7 +20,7 @@ from .fmindex import FMIndex
 
 WINDOW, GRAM = 35, 8
 #: Distinct segments a shard holds on average, and those of one k-gram from which they are dealt by window.
-SHARD, HEAVY = 20_000, 20_000
+SHARD, HEAVY = 8_000, 8_000
 #: Bytes of text hashed at once.
 SLICE = 2 << 20
 
@@ -251,7 +251,8 @@ def indexed(segments: DataFrame, shards: int, window: int) -> DataFrame:
         return pa.table({"a": table["a"].take(pa.array(some)), "b": table["b"].take(pa.array(some)), "mask": pa.array(mask[some])})
 
     shard = F.pmod(F.xxhash64("a", F.lit(7)), F.lit(shards)).cast("int").alias("shard")
-    return segments.select(shard, "a", "b", "run", "n", "words").groupBy("shard").applyInArrow(search, "a long, b long, mask long")
+    dealt = segments.select(shard, "a", "b", "run", "n", "words").repartition(shards, "shard")
+    return dealt.groupBy("shard").applyInArrow(search, "a long, b long, mask long")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
