@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from geolantern.constants import METHOD_FAMILY, PREPOSITIONS, PRIORITY_KEYS, WHITESPACE
 from geolantern.functions import geo, tags, text, vectors
-from geolantern.operators import ann, encode, grid, sampling, search, topk, train
+from geolantern.operators import ann, encode, grid, sampling, search, stored, topk, train
 from geolantern.plans import compare, metrics, profile, sweeps, workload
 from geolantern.session import materialize, scratch_path, spread
 from geolantern.sources import embeddings, osm, pois, results, workloads
@@ -639,6 +639,19 @@ def radius_join(spark, sf):
     return found.select("qid", "id", F.round("planar", 9).alias("planar"))
 
 
+_MIXED_DEG = "CASE WHEN qid % 2 = 0 THEN 2000 / 111320.0 ELSE 50000 / 111320.0 END"
+
+
+@query(with_sql(
+    fx.P, fx.q_sql(RADIUS_DEG), f"m AS (SELECT * REPLACE (CAST({_MIXED_DEG} AS DOUBLE) AS radius_deg) FROM q)",
+    select=f"SELECT qid, id, round({fx.PLANAR},9) AS planar FROM p, m WHERE {_IN_RADIUS}"))
+def radius_join_mixed(spark, sf):
+    """Radii of 2 and of 50 km in one batch: each query is matched in cells of its own width."""
+    asked = fx.queries(spark, sf, RADIUS_DEG).withColumn("radius_deg", F.expr(_MIXED_DEG).cast("double"))
+    found = grid.radius_join(fx.pois(spark, sf), asked)
+    return found.select("qid", "id", F.round("planar", 9).alias("planar"))
+
+
 @query(with_sql(fx.P, fx.q_sql(), select=f"SELECT qid, id FROM p, q WHERE {_HAS_PAIR}"))
 def keyword_join(spark, sf):
     return search.keyword_join(fx.pois(spark, sf), fx.queries(spark, sf)).select("qid", "id")
@@ -720,6 +733,58 @@ def skq_metres(spark, sf):
     ))
 
 
+def _dense(spark, sf):
+    """Points and queries drawn together to a thousandth of their extent: everything lies in a few cells."""
+    closer = {"lat": -37.8 + (F.col("lat") + 37.8) / 1000, "lon": 144.9 + (F.col("lon") - 144.9) / 1000}
+    return fx.pois(spark, sf).withColumns(closer), fx.queries(spark, sf).withColumns(closer)
+
+
+_DENSE = "-37.8::DOUBLE + ({0}lat + 37.8::DOUBLE) / 1000::DOUBLE AS {0}lat, 144.9::DOUBLE + ({0}lon - 144.9::DOUBLE) / 1000::DOUBLE AS {0}lon"
+
+
+@query(with_sql(
+    fx.P, fx.q_sql(), f"dp AS (SELECT * REPLACE ({_DENSE.format('')}) FROM p)", f"dq AS (SELECT * REPLACE ({_DENSE.format('q')}) FROM q)",
+    f"c AS (SELECT qid, id, lat, lon, qlat, qlon FROM dp, dq WHERE {_HAS_PAIR})",
+    fx.geodesic_sql("c", "qid, id", "g"),
+    "r AS (SELECT qid, id, round(distance,6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY round(distance,6), id) AS rank FROM g)",
+    select=f"SELECT qid, CAST(rank AS INT) AS rank, id, round(distance,3) AS distance FROM r WHERE rank <= {K}",
+))
+def skq_dense(spark, sf):
+    """All points within a few hundred metres: cells are split below the grid."""
+    points, asked = _dense(spark, sf)
+    return _distance_rows(search.keyword_search(points, asked, K))
+
+
+def _stored(spark, sf):
+    places, terms = scratch_path(spark, "places"), scratch_path(spark, "postings")
+    stored.write_places(fx.pois(spark, sf), places, 32)
+    stored.write_postings(fx.pois(spark, sf), terms, 32)
+    return places, terms
+
+
+@query(_knn_sql(f"{_HAS_PAIR} AND {_IN_RADIUS}", radius=RADIUS_DEG))
+def skq_stored_grid(spark, sf):
+    """Keyword and radius over points stored by place: only files near a query are read."""
+    places = scratch_path(spark, "places")
+    stored.write_places(fx.pois(spark, sf), places, 32)
+    asked = fx.queries(spark, sf, RADIUS_DEG)
+    return _distance_rows(search.keyword_search(stored.places_near(spark, places, asked), asked, K))
+
+
+@query(_knn_sql(_HAS_PAIR))
+def skq_stored_postings(spark, sf):
+    """Keyword search over postings stored by term; tags are fetched for the results."""
+    places, terms = _stored(spark, sf)
+    return _distance_rows(stored.keyword_search(spark, terms, places, fx.queries(spark, sf), K, near=False))
+
+
+@query(_knn_sql(f"{_HAS_PAIR} AND {_IN_RADIUS}", radius=RADIUS_DEG))
+def skq_stored_both(spark, sf):
+    """Both access tables together: the postings of a term within a circle."""
+    places, terms = _stored(spark, sf)
+    return _distance_rows(stored.keyword_search(spark, terms, places, fx.queries(spark, sf, RADIUS_DEG), K))
+
+
 def _vector_rows(found, *extra):
     return found.select("qid", *extra, "rank", "id", F.round("distance", 3).alias("distance"), r6("similarity"))
 
@@ -739,6 +804,15 @@ def semantic_radius(spark, sf):
     return _vector_rows(search.semantic_search(fx.vector_pois(spark, sf), fx.vector_queries(spark, sf, RADIUS_DEG), K))
 
 
+@query(_vector_sql(_IN_RADIUS, radius=RADIUS_DEG))
+def semantic_stored(spark, sf):
+    """Vector search with a radius over points and vectors stored by place."""
+    places = scratch_path(spark, "places")
+    stored.write_places(fx.vector_pois(spark, sf), places, 32)
+    asked = fx.vector_queries(spark, sf, RADIUS_DEG)
+    return _vector_rows(search.semantic_search(stored.places_near(spark, places, asked), asked, K))
+
+
 @query(_vector_sql())
 def semantic_all(spark, sf):
     return _vector_rows(search.semantic_search(fx.vector_pois(spark, sf), fx.vector_queries(spark, sf), K))

@@ -11,6 +11,8 @@ from ..session import is_small
 # Copies of a small side, and slices of a hot cell, where neither side is broadcast.
 SALTS = 16
 DEFAULT_CELL_DEG = 0.05
+# Width of the cells of the smallest radii, zero included.
+SMALLEST_DEG = 1e-6
 
 
 def with_cell(points: DataFrame, size: float) -> DataFrame:
@@ -21,16 +23,6 @@ def with_cell(points: DataFrame, size: float) -> DataFrame:
     })
 
 
-def write_grid(points: DataFrame, path: str, size: float = DEFAULT_CELL_DEG, files: int = 200) -> None:
-    """Store points in cell order, so that box filters on lat and lon skip files.
-
-    The id is part of the range key: a hot cell spreads over several files.
-    """
-    cells = with_cell(points, size)
-    ordered = cells.repartitionByRange(files, "cy", "cx", "id").sortWithinPartitions("cy", "cx", "id")
-    ordered.write.mode("overwrite").parquet(path)
-
-
 def grid_table(points: DataFrame, size: float = DEFAULT_CELL_DEG) -> DataFrame:
     """Points per cell."""
     return with_cell(points, size).groupBy("cy", "cx").agg(F.count("*").alias("n"))
@@ -67,18 +59,35 @@ def equi_join(
 def radius_join(points: DataFrame, queries: DataFrame, size: float | None = None) -> DataFrame:
     """Every (query, point) pair within the radius of the query, planar, in degrees.
 
-    An equi-join on grid cells with the exact test on top. ``size`` defaults to the
-    largest radius, which gives at most nine cells per query. Queries without radius
-    take no part: their answer is the whole table.
+    An equi-join on grid cells with the exact test on top. Queries fall into classes: cells of a
+    class are as wide as the power of two that its radii come up to, so a query touches at most
+    nine cells of its class and meets no more points for another's larger radius. A point is
+    matched once per class there is. ``size`` puts all queries into one class of that width.
+    Queries without radius take no part: their answer is the whole table.
     """
     asked = queries.where(F.col("radius_deg").isNotNull()).select(
-        "qid", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "radius_deg"
+        "qid", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.col("radius_deg").cast("double").alias("radius_deg")
     )
     if size is None:
-        size = asked.agg(F.max("radius_deg")).first()[0] or DEFAULT_CELL_DEG
-    cells = covering_cells(
-        asked.withColumns({"lat": F.col("qlat"), "lon": F.col("qlon")}), size
-    ).drop("lat", "lon")
-    pairs = equi_join(with_cell(points, size), cells, ["cy", "cx"])
+        asked = asked.withColumn("width", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("radius_deg", F.lit(SMALLEST_DEG))))))
+        # Powers of two between the smallest width and a whole turn: some thirty at most.
+        widths = sorted(r[0] for r in asked.select("width").distinct().collect())
+    else:
+        asked, widths = asked.withColumn("width", F.lit(float(size))), [float(size)]
+    if not widths:
+        widths = [DEFAULT_CELL_DEG]
+
+    def cell(column):
+        return F.floor(F.col(column) / F.col("width"))
+
+    def span(column):
+        return F.sequence(
+            F.floor((F.col(column) - F.col("radius_deg")) / F.col("width")),
+            F.floor((F.col(column) + F.col("radius_deg")) / F.col("width")))
+
+    cells = asked.withColumn("cy", F.explode(span("qlat"))).withColumn("cx", F.explode(span("qlon")))
+    placed = points.withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])) if len(widths) > 1 else F.lit(widths[0]))
+    placed = placed.withColumns({"cy": cell("lat"), "cx": cell("lon")})
+    pairs = equi_join(placed, cells, ["width", "cy", "cx"])
     near = pairs.where(within_degrees("lat", "lon", "qlat", "qlon", F.col("radius_deg")))
-    return near.withColumn("planar", planar_distance("lat", "lon", "qlat", "qlon")).drop("cy", "cx")
+    return near.withColumn("planar", planar_distance("lat", "lon", "qlat", "qlon")).drop("width", "cy", "cx")

@@ -37,16 +37,13 @@ def sample_with_replacement(rows: DataFrame, n: int, seed: int, key: str = "id")
         .where(F.col("draw") < F.col("_total"))
         .withColumn("_at", F.pmod(portable_hash(seed + 1, "draw"), F.col("_total")))
     )
-    # The bucket of a draw is the last one that starts at or before it.
-    marks = ends.select(F.col("_start").alias("_pos"), F.lit(None).cast("long").alias("draw"), "_b", "_start")
-    asks = draws.select(
-        F.col("_at").alias("_pos"), "draw", F.lit(None).cast("int").alias("_b"), F.lit(None).cast("long").alias("_start")
-    )
-    upto = Window.orderBy("_pos", F.col("draw").asc_nulls_first())
-    placed = marks.unionByName(asks).select(
-        "draw", F.last("_b", ignorenulls=True).over(upto).alias("_b"),
-        (F.col("_pos") - F.last("_start", ignorenulls=True).over(upto) + 1).alias("_i"),
-    ).where(F.col("draw").isNotNull())
+    # The bucket of a draw is the last one that starts at or before it: a binary search in the bounded array of starts.
+    starts = ends.where("_n > 0").agg(F.sort_array(F.collect_list(F.struct("_start", "_b"))).alias("s")).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(HASH_BUCKETS.bit_length()))])
+    last = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.try_element_at("_starts", at + step)["_start"] <= F.col("_at"), F.lit(False)), at + step).otherwise(at))
+    placed = draws.withColumn("_starts", starts).withColumn("_in", F.element_at("_starts", last)).select(
+        "draw", F.col("_in._b").alias("_b"), (F.col("_at") - F.col("_in._start") + 1).alias("_i"))
     hint = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
     # At most HASH_BUCKETS distinct buckets, at most n placed draws.
     drawn = hashed.join(F.broadcast(placed.select("_b").distinct()), "_b", "left_semi")

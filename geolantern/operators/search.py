@@ -18,8 +18,9 @@ LITERAL_KEYS = 64
 # Queries up to which every cell of a term is tested; above, coarser grids come first.
 FEW_QUERIES = 1000
 COARSER = 16
-# Dense cells are refined up to so many times, where they hold more matches than this per result.
-FINER_LEVELS, DENSE_PER_RESULT = 3, 100
+# Matches are counted in cells so many levels finer than the grid; a cell is split while it holds more
+# matches than this per result.
+FINER_LEVELS, DENSE_PER_RESULT = 2, 100
 
 _PAIR_MARK, _KEY_MARK = "\x01", "\x02"
 
@@ -141,73 +142,73 @@ def _candidate_cells(near: DataFrame, k: int, order: str, radius_mode: str, size
     return kept.select("qid", "qlat", "qlon", "radius_deg", "term", "cy", "cx", "n")
 
 
-def _search_cells(
-    cells: DataFrame, asked: DataFrame, batch: _Batch, k: int, order: str, radius_mode: str, size: float
-) -> DataFrame:
-    """Candidate cells of every query.
+def _layer(counts: DataFrame, depth: int) -> DataFrame:
+    """Matches per term and cell of ``cell / COARSER**depth`` degrees, from the finest counts."""
+    if depth == FINER_LEVELS:
+        return counts
+    ratio = COARSER ** (FINER_LEVELS - depth)
+    parent = {c: F.floor(F.col(c) / ratio) for c in ("cy", "cx")}
+    return counts.withColumns(parent).groupBy("term", "cy", "cx").agg(F.sum("n").alias("n"))
+
 
-    A large batch starts from a coarse grid and refines only the cells that survive, so
-    that a query never meets all cells of its term.
+def _descend(parents: DataFrame, counts: DataFrame, depth: int) -> DataFrame:
+    """The counted cells of a depth inside candidate cells of the depth above it."""
+    layer = _layer(counts, depth).withColumns({
+        "py": F.floor(F.col("cy") / COARSER), "px": F.floor(F.col("cx") / COARSER)})
+    above = parents.drop("n").withColumnsRenamed({"cy": "py", "cx": "px"})
+    return equi_join(above, layer, ["term", "py", "px"], salt_on="qid").drop("py", "px")
+
+
+def _search_cells(
+    counts: DataFrame, asked: DataFrame, batch: _Batch, k: int, order: str, radius_mode: str, cell: float
+) -> tuple[DataFrame, list[int]]:
+    """Candidate cells of every query with their ``depth``, and the depths there are.
+
+    The counts are the leaves of a tree of cells. A large batch starts at coarse cells, so that a
+    query never meets all cells of its term. Below the grid only cells with far more matches than results are
+    wanted are split, down to the finest counts, so a query does not meet a whole city either.
+    Only counts are read for that; points of one finest cell are not told apart.
     """
-    levels = [0] if batch.small and batch.queries <= FEW_QUERIES else [2, 1, 0]
-    if len(levels) > 1:
-        cells = materialize(cells, "cell-counts")
-    found = None
-    for level in levels:
-        ratio = COARSER**level
-        layer = cells
-        if level:
-            parent = {c: F.floor(F.col(c) / ratio) for c in ("cy", "cx")}
-            layer = cells.withColumns(parent).groupBy("term", "cy", "cx").agg(F.sum("n").alias("n"))
-        if len(levels) == 1:
-            near = layer.join(F.broadcast(asked), "term")
-        elif found is None:
-            near = equi_join(asked, layer, ["term"], salt_on="qid")
-        else:
-            layer = layer.withColumns({"py": F.floor(F.col("cy") / COARSER), "px": F.floor(F.col("cx") / COARSER)})
-            parents = found.drop("n").withColumnsRenamed({"cy": "py", "cx": "px"})
-            near = equi_join(parents, layer, ["term", "py", "px"], salt_on="qid")
-        found = _candidate_cells(near, k, order, radius_mode, size * ratio)
-    return found
+    few = batch.small and batch.queries <= FEW_QUERIES
+    first = 0 if few else -2
+    layer = _layer(counts, first)
+    near = layer.join(F.broadcast(asked), "term") if few else equi_join(asked, layer, ["term"], salt_on="qid")
+    settled, depths = None, []
+    for depth in range(first, FINER_LEVELS + 1):
+        found = _candidate_cells(near, k, order, radius_mode, cell / COARSER**depth)
+        if depth >= 0:
+            # Written once: its size is then known before the next pass is planned.
+            found = materialize(found, "cells")
+            dense = found.where(F.col("n") > DENSE_PER_RESULT * k)
+            last = depth == FINER_LEVELS or dense.isEmpty()
+            here = (found if last else found.where(F.col("n") <= DENSE_PER_RESULT * k)).drop("n").withColumn("depth", F.lit(depth))
+            settled = here if settled is None else settled.unionByName(here)
+            depths.append(depth)
+            if last:
+                break
+            found = dense
+        near = _descend(found, counts, depth + 1)
+    return settled, depths
 
 
 def _nested_cell(points: DataFrame, cell: float, depth: int) -> DataFrame:
     """Cells of ``cell / COARSER**depth`` degrees; those of all depths nest exactly."""
-    finest, ratio = cell / COARSER**FINER_LEVELS, COARSER ** (FINER_LEVELS - depth)
-    return points.withColumns({
-        c: F.floor(F.floor(F.col(place) / F.lit(finest)) / ratio) for c, place in (("cy", "lat"), ("cx", "lon"))
-    })
+    return points.withColumns(_nested(cell, depth))
 
 
-def _settled_pairs(
-    terms: DataFrame, found: DataFrame, k: int, order: str, radius_mode: str, cell: float
-) -> DataFrame:
-    """Candidate (query, point) pairs of the candidate cells ``found``.
+def _nested(cell: float, depth: int) -> dict[str, Column]:
+    finest, ratio = cell / COARSER**FINER_LEVELS, COARSER ** (FINER_LEVELS - depth)
+    return {c: F.floor(F.floor(F.col(place) / F.lit(finest)) / ratio) for c, place in (("cy", "lat"), ("cx", "lon"))}
 
-    Cells with far more matches than results are wanted are counted again on a finer grid, so
-    a query does not meet a whole city. Points of one place cannot be told apart; the
-    finest cells are taken as they are. Every refinement reads the points once more and is
-    made only where such cells are left.
-    """
-    pairs = None
-    for depth in range(FINER_LEVELS + 1):
-        here = _nested_cell(terms, cell, depth)
-        dense = found.where(F.col("n") > DENSE_PER_RESULT * k)
-        last = depth == FINER_LEVELS or dense.isEmpty()
-        settled = (found if last else found.where(F.col("n") <= DENSE_PER_RESULT * k)).drop("n")
-        met = equi_join(here, settled, ["term", "cy", "cx"]).drop("cy", "cx")
-        pairs = met if pairs is None else pairs.unionByName(met)
-        if last:
-            return pairs
-        hot = dense.select("term", "cy", "cx").distinct()
-        inside = equi_join(here.select("id", "lat", "lon", "term", "cy", "cx"), hot, ["term", "cy", "cx"]).drop("cy", "cx")
-        counts = _nested_cell(inside, cell, depth + 1).groupBy("term", "cy", "cx").agg(F.count("*").alias("n"))
-        parent = {"py": F.floor(F.col("cy") / COARSER), "px": F.floor(F.col("cx") / COARSER)}
-        near = equi_join(
-            dense.drop("n").withColumnsRenamed({"cy": "py", "cx": "px"}),
-            materialize(counts, "finer-counts").withColumns(parent), ["term", "py", "px"], salt_on="qid",
-        ).drop("py", "px")
-        found = materialize(_candidate_cells(near, k, order, radius_mode, cell / COARSER ** (depth + 1)), "finer-cells")
+
+def _settled_pairs(terms: DataFrame, found: DataFrame, depths: list[int], cell: float) -> DataFrame:
+    """Candidate (query, point) pairs: one read of the points, each matched at every depth in use."""
+    if depths == [0]:
+        return equi_join(_nested_cell(terms, cell, 0), found.drop("depth"), ["term", "cy", "cx"]).drop("cy", "cx")
+    places = F.array(*[
+        F.struct(F.lit(d).alias("depth"), *[c.alias(n) for n, c in _nested(cell, d).items()]) for d in depths])
+    here = terms.withColumn("_at", F.explode(places)).select(*terms.columns, "_at.*")
+    return equi_join(here, found, ["term", "depth", "cy", "cx"]).drop("depth", "cy", "cx")
 
 
 def keyword_search(
@@ -226,21 +227,34 @@ def keyword_search(
     applied to the geodesic distance.
 
     Two passes over the points: counts per term and cell bound the k-th distance of
-    each query, then only cells within the bound are read as candidates, on a finer grid
+    each query, then only cells within the bound are read as candidates, smaller ones
     where places are dense.
     """
-    asked = query_terms(queries).select(
+    asked = asked_terms(queries)
+    batch = _inspect(asked)
+    terms = _terms_of(points.select("id", "lat", "lon", "tags"), asked, batch)
+    return search_terms(terms, asked, batch, k, order, radius_mode, cell)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """Keyword queries as the search wants them, each with its term."""
+    return query_terms(queries).select(
         "qid", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
         "tag_key", "tag_value", "term", F.col("radius_deg").cast("double").alias("radius_deg"),
     )
-    batch = _inspect(asked)
-    terms = _terms_of(points.select("id", "lat", "lon", "tags"), asked, batch)
-    cells = _nested_cell(terms, cell, 0).groupBy("term", "cy", "cx").agg(F.count("*").alias("n"))
-    lookup = asked.drop("tag_key", "tag_value")
-    found = _search_cells(cells, lookup, batch, k, order, radius_mode, cell)
-    # Written once: its size is then known before the second pass is planned.
-    found = materialize(found, "cells")
-    pairs = _settled_pairs(terms, found, k, order, radius_mode, cell).drop("term")
+
+
+def search_terms(
+    terms: DataFrame, asked: DataFrame, batch: _Batch, k: int, order: str = "geodesic",
+    radius_mode: str = "degrees", cell: float = DEFAULT_CELL_DEG,
+) -> DataFrame:
+    """The keyword search over ``terms(term, id, lat, lon, ...)``, a row per point and term; further
+    columns are returned with the results."""
+    payload = [c for c in terms.columns if c not in ("term", "id", "lat", "lon")]
+    counts = _nested_cell(terms, cell, FINER_LEVELS).groupBy("term", "cy", "cx").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "cell-counts")
+    found, depths = _search_cells(counts, asked.drop("tag_key", "tag_value"), batch, k, order, radius_mode, cell)
+    pairs = _settled_pairs(terms, found, depths, cell).drop("term")
     planar_radius = radius_mode == "degrees"
     if planar_radius:
         pairs = pairs.where(
@@ -258,7 +272,7 @@ def keyword_search(
         if not planar_radius:
             pairs = _within_metres(pairs)
         best = _rank(pairs.withColumn("distance", F.round("distance", DISTANCE_DECIMALS)), k, "distance", "id")
-    return best.select("qid", "rank", "id", "tags", F.round("distance", DISTANCE_DECIMALS).alias("distance"))
+    return best.select("qid", "rank", "id", *payload, F.round("distance", DISTANCE_DECIMALS).alias("distance"))
 
 
 def _within_metres(pairs: DataFrame) -> DataFrame:

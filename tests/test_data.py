@@ -278,3 +278,20 @@ def test_scratch_tables_are_removed_together(spark):
     assert frame.count() == 3 and os.path.isdir(os.path.dirname(path))
     session.drop_scratch(spark)
     assert not os.path.exists(os.path.dirname(path))
+
+
+def test_draws_are_placed_without_one_task(spark):
+    """Only the bounded bucket counts go through a single task."""
+    import contextlib
+    import io
+
+    from geolantern.operators import sampling
+
+    rows = spark.range(5000).withColumns({"lat": F.col("id") * 0.001, "lon": F.col("id") * 0.002})
+    drawn = sampling.sample_points(rows, 3000, seed=5)
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        drawn.explain()
+    main = shown.getvalue().split("Subqueries")[0]
+    assert "Window [last(" not in main
+    assert drawn.count() == 3000 and drawn.select("draw").distinct().count() == 3000
