@@ -830,9 +830,9 @@ def semantic_ties(spark, sf):
 
 @query(_vector_sql())
 def semantic_blockwise(spark, sf):
-    """The same search where queries exceed one block: no broadcast, blocks meet blocks."""
+    """The same search where queries exceed one block: blocks are stored once and points are not shuffled."""
     return _vector_rows(search.semantic_search(
-        fx.vector_pois(spark, sf), fx.vector_queries(spark, sf), K, block_queries=10, block_points=4096
+        fx.vector_pois(spark, sf), fx.vector_queries(spark, sf), K, block_queries=10
     ))
 
 

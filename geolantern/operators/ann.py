@@ -67,13 +67,12 @@ def ivf_table(points: DataFrame, model, vector: str = "embedding") -> DataFrame:
     return with_list.withColumn("list_id", F.col("lists")[0])
 
 
-def write_ivf(table: DataFrame, path: str, files_per_list: int = 8) -> None:
-    """Store an inverted-list table by list, so a search reads only the probed lists.
+def write_ivf(table: DataFrame, path: str) -> None:
+    """Store an inverted-list table in list order, so a search skips the row groups of other lists.
 
-    A list is spread over several tasks and files: one list may hold a third of the rows.
+    The id is part of the range key: a list that holds a third of the rows is spread over several files.
     """
-    slice_id = F.pmod(F.xxhash64("id"), F.lit(files_per_list))
-    table.repartition("list_id", slice_id).write.mode("overwrite").partitionBy("list_id").parquet(path)
+    table.repartitionByRange("list_id", "id").sortWithinPartitions("list_id", "id").write.mode("overwrite").parquet(path)
 
 
 def ivf_search(
@@ -82,12 +81,13 @@ def ivf_search(
 ) -> DataFrame:
     """Top-k among the points of the ``nprobe`` nearest lists of each query.
 
-    Queries meet the points list by list, so the pairs scored are those of the probed lists.
+    Queries meet the points list by list within each task: only pairs of a probed list are scored, and
+    no vector is shuffled.
     """
     asked = nearest_lists(queries, _unit_centroids(model), nprobe, vector)
     # Lists are numbered below the number of centroids: a bounded set.
     probed = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]
-    # A stored table is read only at the probed list folders.
+    # A stored table is read only at the row groups of probed lists.
     points = table.where(F.col("list_id").isin(probed)).withColumn("lists", F.array("list_id"))
     return vector_topk(points, asked, k, parts=(vector,), groups="lists", **options)
 

@@ -1,8 +1,10 @@
 """Exact bulk vector top-k: many queries against a table of any size.
 
-Points stream through Arrow batches. Every task scores its batches against a block
-of queries by matrix products and keeps at most k rows per query, so the shuffle to
-the final ranking carries k rows per query and task, however hot the data is.
+Points stream through Arrow batches and are never shuffled. Every task scores its batches against a
+block of queries, of checked size, by matrix products and keeps at most k rows per query. Where there
+are many splits, a first pass over some of them gives each query a floor: the k-th similarity
+found there. What lies below cannot be among the k best, so the other splits send few rows to the
+final ranking. Queries beyond one block are stored once and met block by block.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from pyspark.sql import types as T
 
 from ..constants import DISTANCE_DECIMALS, SIMILARITY_DECIMALS
 from ..functions.geo import geodesic_numpy
-from ..session import BROADCAST_ROWS, is_small, materialize
+from ..session import BROADCAST_ROWS, materialize
 from .grid import covering_cells, with_cell
 
-# Queries of one block: the block is broadcast, so its size is checked against this.
-BLOCK_QUERIES = 4096
-# Points of one group where queries do not fit one block.
-BLOCK_POINTS = 65_536
+# Bytes of the vectors of one block of queries, which is broadcast.
+BLOCK_BYTES = 64 << 20
+# Blocks scored in one job.
+BLOCKS_AT_ONCE = 16
+# One split in so many is scored first, for the floors.
+SAMPLE_EVERY = 16
 # Similarity values held at once inside a task.
 SCORES_AT_ONCE = 4_000_000
 
@@ -63,7 +67,7 @@ def _searchable(batch, dims):
     return batch
 
 
-def _query_block(table, parts):
+def _query_block(table, parts, groups=None):
     """NumPy form of an Arrow table of queries."""
     import numpy as np
 
@@ -75,11 +79,21 @@ def _query_block(table, parts):
     for name in parts:
         chunks = table.column(name).chunks
         block[name] = _matrix(chunks[0]) if chunks else np.zeros((0, 1))
+    if groups:
+        members = {}
+        for i, values in enumerate(table.column(groups).to_pylist()):
+            for g in values or ():
+                members.setdefault(g, []).append(i)
+        block["members"] = {g: np.array(sorted(set(rows))) for g, rows in members.items()}
     return block
 
 
-def _search(batches, block, parts, settings, k, payload, ranked_by_distance):
-    """Local top-k of a stream of Arrow batches; yields one batch of survivors."""
+def _search(batches, block, parts, settings, k, payload, ranked_by_distance, groups=None, floors=None):
+    """Local top-k of a stream of Arrow batches; yields one batch of survivors.
+
+    With ``groups`` only pairs that share a value of that array column are scored. ``floors`` has a lower
+    bound of the k-th similarity for each setting and query.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -87,7 +101,7 @@ def _search(batches, block, parts, settings, k, payload, ranked_by_distance):
     if n_queries == 0:
         return
     coefs = [np.asarray(c, dtype="float64") for c in settings]
-    floor = np.full((len(coefs), n_queries), -np.inf)
+    floor = np.full((len(coefs), n_queries), -np.inf) if floors is None else floors.copy()
     query_sq = [
         sum(c[i, j] * np.einsum("qd,qd->q", block[a], block[b])
             for i, a in enumerate(parts) for j, b in enumerate(parts) if c[i, j])
@@ -112,23 +126,34 @@ def _search(batches, block, parts, settings, k, payload, ranked_by_distance):
         )
         return rows.take(pa.array(kept))
 
-    def candidates(batch, lo, hi):
-        chosen = slice(lo, hi)
-        mats = {p: _matrix(batch.column(p)) for p in parts}
-        allowed = None
-        if "lat" in block:
-            lat, lon = (np.asarray(batch.column(n), dtype="float64") for n in ("lat", "lon"))
+    class Points:
+        """A batch as arrays; ``finite`` marks rows whose vectors can be compared."""
+
+        def __init__(self, batch):
+            self.batch = batch
+            self.mats = {p: _matrix(batch.column(p)) for p in parts}
+            # A NaN would sort above every similarity and lift the floor of its query.
+            self.finite = np.all([np.isfinite(m).all(axis=1) for m in self.mats.values()], axis=0)
+            if not self.finite.all():
+                self.mats = {p: np.where(self.finite[:, None], m, 0.0) for p, m in self.mats.items()}
+            self.square = {
+                (i, j): np.einsum("nd,nd->n", self.mats[a], self.mats[b])
+                for i, a in enumerate(parts) for j, b in enumerate(parts) if any(c[i, j] for c in coefs)}
+            if "lat" in block:
+                self.lat, self.lon = (np.asarray(batch.column(n), dtype="float64") for n in ("lat", "lon"))
+
+    def scored(points, rows, cols):
+        """(setting, row, column, similarity) of the pairs of ``rows`` and ``cols`` at or above the floors."""
+        mats = {p: m[rows] for p, m in points.mats.items()}
+        finite = points.finite[rows]
+        allowed = None if finite.all() else np.broadcast_to(finite[:, None], (len(finite), len(cols)))
         if "radius_deg" in block:
-            dx = lon[:, None] - block["lon"][None, chosen]
-            dy = lat[:, None] - block["lat"][None, chosen]
-            radius = block["radius_deg"][None, chosen]
-            allowed = np.isnan(radius) | (np.sqrt(dx * dx + dy * dy) <= radius)
-        # A NaN would sort above every similarity and lift the floor of its query.
-        finite = np.all([np.isfinite(m).all(axis=1) for m in mats.values()], axis=0)
-        if not finite.all():
-            mats = {p: np.where(finite[:, None], m, 0.0) for p, m in mats.items()}
-            allowed = np.broadcast_to(finite[:, None], (len(finite), hi - lo)) & (True if allowed is None else allowed)
-        grams, out = {}, []
+            dx = points.lon[rows][:, None] - block["lon"][None, cols]
+            dy = points.lat[rows][:, None] - block["lat"][None, cols]
+            radius = block["radius_deg"][None, cols]
+            inside = np.isnan(radius) | (np.sqrt(dx * dx + dy * dy) <= radius)
+            allowed = inside if allowed is None else inside & allowed
+        grams = {}
         for s, c in enumerate(coefs):
             dots, point_sq = 0.0, 0.0
             for i, a in enumerate(parts):
@@ -136,43 +161,69 @@ def _search(batches, block, parts, settings, k, payload, ranked_by_distance):
                     if not c[i, j]:
                         continue
                     if (i, j) not in grams:
-                        grams[i, j] = (mats[a] @ block[b][chosen].T, np.einsum("nd,nd->n", mats[a], mats[b]))
-                    dots = dots + c[i, j] * grams[i, j][0]
-                    point_sq = point_sq + c[i, j] * grams[i, j][1]
-            scale = np.sqrt(np.maximum(point_sq, 0))[:, None] * np.sqrt(np.maximum(query_sq[s][chosen], 0))
+                        grams[i, j] = mats[a] @ block[b][cols].T
+                    dots = dots + c[i, j] * grams[i, j]
+                    point_sq = point_sq + c[i, j] * points.square[i, j][rows]
+            scale = np.sqrt(np.maximum(point_sq, 0))[:, None] * np.sqrt(np.maximum(query_sq[s][cols], 0))
             sims = np.divide(dots, scale, out=np.zeros_like(dots), where=scale != 0)
             sims = np.round(sims, SIMILARITY_DECIMALS)
             if allowed is not None:
                 sims[~allowed] = -np.inf
             if len(sims) >= k:
                 kth = np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
-                floor[s, chosen] = np.maximum(floor[s, chosen], kth)
-            rows, cols = np.nonzero((sims >= floor[s, chosen]) & (sims > -np.inf))
-            if not len(rows):
+                floor[s, cols] = np.maximum(floor[s, cols], kth)
+            at, to = np.nonzero((sims >= floor[s, cols]) & (sims > -np.inf))
+            if len(at):
+                yield s, rows[at], cols[to], sims[at, to]
+
+    def rows_of(points, s, rows, cols, sims):
+        if ranked_by_distance:
+            far = geodesic_numpy(points.lat[rows], points.lon[rows], block["lat"][cols], block["lon"][cols])
+            far = np.round(far, DISTANCE_DECIMALS)
+        else:
+            far = np.zeros(len(rows))
+        part = points.batch.select(["id", *payload]).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(rows), s, dtype="int32")), pa.array(cols.astype("int64")), *part.columns, pa.array(far), pa.array(sims)],
+            names=["_s", "_q", "id", *payload, "distance", "similarity"])
+
+    def candidates(points):
+        every = np.arange(points.batch.num_rows)
+        if groups is None:
+            step = max(1, SCORES_AT_ONCE // len(every))
+            for lo in range(0, n_queries, step):
+                for found in scored(points, every, np.arange(lo, min(lo + step, n_queries))):
+                    yield rows_of(points, *found)
+            return
+        lists = points.batch.column(groups)
+        values = np.asarray(lists.flatten())
+        owner = np.repeat(every, np.diff(np.asarray(lists.offsets)))
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else []
+        kept = {}
+        for lo, hi in zip(starts, [*starts[1:], len(values)]):
+            members = block["members"].get(values[lo].item())
+            if members is None:
                 continue
-            cols_all = cols + lo
-            if ranked_by_distance:
-                far = geodesic_numpy(lat[rows], lon[rows], block["lat"][cols_all], block["lon"][cols_all])
-                far = np.round(far, DISTANCE_DECIMALS)
-            else:
-                far = np.zeros(len(rows))
-            part = batch.select(["id", *payload]).take(pa.array(rows))
-            out.append(pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), s, dtype="int32")), pa.array(cols_all.astype("int64")),
-                 *part.columns, pa.array(far), pa.array(sims[rows, cols])],
-                names=["_s", "_q", "id", *payload, "distance", "similarity"],
-            ))
-        return out
+            rows = np.unique(owner[lo:hi])
+            step = max(1, SCORES_AT_ONCE // len(rows))
+            for at in range(0, len(members), step):
+                for s, *found in scored(points, rows, members[at:at + step]):
+                    kept.setdefault(s, []).append(found)
+        for s, found in kept.items():
+            rows, cols, sims = (np.concatenate(x) for x in zip(*found))
+            # A pair may share several groups.
+            _, once = np.unique(rows * n_queries + cols, return_index=True)
+            yield rows_of(points, s, rows[once], cols[once], sims[once])
 
     for whole in batches:
         whole = _searchable(whole, {p: block[p].shape[1] for p in parts})
         if not whole.num_rows:
             continue
-        step = max(1, SCORES_AT_ONCE // whole.num_rows)
-        for lo in range(0, n_queries, step):
-            for found in candidates(whole, lo, min(lo + step, n_queries)):
-                held.append(found)
-                held_rows += found.num_rows
+        for found in candidates(Points(whole)):
+            held.append(found)
+            held_rows += found.num_rows
             if held_rows > limit:
                 held = [compact(held)]
                 held_rows = held[0].num_rows
@@ -195,8 +246,8 @@ def vector_topk(
     payload: Sequence[str] = ("tags",),
     groups: str | None = None,
     ranked_by_distance: bool = True,
-    block_queries: int = BLOCK_QUERIES,
-    block_points: int = BLOCK_POINTS,
+    block_queries: int | None = None,
+    floors: bool | None = None,
 ) -> DataFrame:
     """Top ``k`` points per query by cosine similarity, then distance, then id.
 
@@ -207,49 +258,120 @@ def vector_topk(
     which a candidate must share one value: only such pairs are scored. Point vectors that
     are NULL, not finite or of another length than the query vectors are not searched;
     such query vectors are refused, whatever the number of queries.
+
+    A block of queries takes ``BLOCK_BYTES``, or ``block_queries`` rows. ``floors`` asks for the
+    first pass; by default it is made where the points have enough splits for it to pay.
     """
-    spark = points.sparkSession
     names = list(settings or PLAIN)
-    coefs = [(settings or PLAIN)[n] for n in names]
+    found = vector_candidates(
+        points, queries, k, parts, settings, payload, groups, ranked_by_distance, block_queries, floors)
+    ranked = _ranked(found, k)
+    if settings:
+        labels = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_s") + 1)
+        ranked = ranked.withColumn("setting", labels)
+    if not ranked_by_distance:
+        ranked = ranked.drop("distance")
+    return ranked.drop("_s")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("_s", "qid").orderBy(F.desc("similarity"), "distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def vector_candidates(
+    points, queries, k, parts=("embedding",), settings=None, payload=("tags",), groups=None,
+    ranked_by_distance=True, block_queries=None, floors=None,
+) -> DataFrame:
+    """What the scoring tasks of ``vector_topk`` send to the final ranking: every task's own best rows."""
+    coefs = list((settings or PLAIN).values())
     in_radius = "radius_deg" in queries.columns
     place = ["lat", "lon"] if ranked_by_distance or in_radius else []
     group_cols = [groups] if groups else []
     query_cols = ["qid", *place, *(["radius_deg"] if in_radius else []), *parts, *group_cols]
     queries = queries.select(query_cols)
-    _check_queries(queries, parts)
+    width = _check_queries(queries, parts)
     extra = [c for c in payload if c not in ("id",)]
     wanted = list(dict.fromkeys(["id", *place, *parts, *group_cols, *extra]))
-    live = points
     fields = {f.name: f for f in points.schema}
-    schema = T.StructType(
-        [T.StructField("_s", T.IntegerType()), T.StructField("qid", T.LongType()),
-         T.StructField("id", fields["id"].dataType)]
-        + [T.StructField(c, fields[c].dataType) for c in extra]
-        + [T.StructField("distance", T.DoubleType()), T.StructField("similarity", T.DoubleType())]
-    )
-    args = (list(parts), coefs, k, extra, ranked_by_distance)
-    # Bounded: one block of queries and one row more.
-    head = None if groups else queries.limit(block_queries + 1).toArrow()
-    if groups:
-        found = _groupwise(live.select(wanted), queries, schema, args, parts, groups, block_queries, block_points)
-    elif head.num_rows <= block_queries:
-        block = _query_block(head, parts)
-        if in_radius and head.num_rows:
-            live = _near_any_query(live, queries, head)
-        shared = spark.sparkContext.broadcast(block)
-        found = live.select(wanted).mapInArrow(
-            lambda batches: _search(batches, shared.value, *args), schema
+
+    def schema(columns):
+        return T.StructType(
+            [T.StructField("_s", T.IntegerType()), T.StructField("qid", T.LongType()),
+             T.StructField("id", fields["id"].dataType)]
+            + [T.StructField(c, fields[c].dataType) for c in columns]
+            + [T.StructField("distance", T.DoubleType()), T.StructField("similarity", T.DoubleType())]
         )
-    else:
-        found = _blockwise(live.select(wanted), queries, schema, args, parts, block_queries, block_points)
-    order = Window.partitionBy("_s", "qid").orderBy(F.desc("similarity"), "distance", "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if settings:
-        labels = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_s") + 1)
-        ranked = ranked.withColumn("setting", labels)
-    if not ranked_by_distance:
-        ranked = ranked.drop("distance")
-    return ranked.drop("_s")
+
+    def score(live, head):
+        """One block of queries, an Arrow table, against all points."""
+        block = _query_block(head, parts, groups)
+        if in_radius and not groups and head.num_rows:
+            live = _near_any_query(live, spark.createDataFrame(head.select([c for c in head.column_names if c not in parts])), head)
+        live = live.select(wanted)
+        shared = spark.sparkContext.broadcast(block)
+        args = (list(parts), coefs, k)
+        lower = None
+        splits = None if floors is not None else _splits(live)
+        if floors or (floors is None and splits is not None and splits >= 2 * SAMPLE_EVERY):
+            def first(batches):
+                from pyspark import TaskContext
+
+                if TaskContext.get().partitionId() % SAMPLE_EVERY == 0:
+                    yield from _search(batches, shared.value, *args, [], ranked_by_distance, groups)
+
+            # At most one row per query of the block and setting.
+            sample = _ranked(live.mapInArrow(first, schema([])), k).where(F.col("rank") == k)
+            lower = _floors(block, sample.select("_s", "qid", "similarity").toArrow(), len(coefs))
+        bound = spark.sparkContext.broadcast(lower)
+        return live.mapInArrow(
+            lambda batches: _search(batches, shared.value, *args, extra, ranked_by_distance, groups, bound.value), schema(extra))
+
+    spark = points.sparkSession
+    size = block_queries or max(1, BLOCK_BYTES // (8 * max(1, width)))
+    # Bounded: one block of queries and one row more.
+    head = queries.limit(size + 1).toArrow()
+    if head.num_rows <= size:
+        return score(points, head)
+    blocks = -(-queries.count() // size)
+    asked = materialize(
+        queries.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "query-blocks", ("_qb",))
+    if not _is_scan(points):
+        points = materialize(points.select(wanted), "topk-points")
+    found, group = None, None
+    for b in range(blocks):
+        part = score(points, asked.where(F.col("_qb") == b).select(query_cols).toArrow())
+        group = part if group is None else group.unionByName(part)
+        if (b + 1) % BLOCKS_AT_ONCE == 0 or b + 1 == blocks:
+            if blocks > BLOCKS_AT_ONCE:
+                group = materialize(group, "topk-blocks")
+            found = group if found is None else found.unionByName(group)
+            group = None
+    return found
+
+
+def _plan(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether reading the frame again costs no more than its scan."""
+    return not any(x in _plan(df) for x in ("Exchange", "Arrow", "Python", "Generate", "ExistingRDD"))
+
+
+def _splits(df: DataFrame) -> int | None:
+    """Splits of a frame that no exchange stands before; None where counting them would run a job."""
+    return None if "Exchange" in _plan(df) else df.rdd.getNumPartitions()
+
+
+def _floors(block, table, settings: int):
+    import numpy as np
+
+    lower = np.full((settings, len(block["qid"])), -np.inf)
+    at = {q: i for i, q in enumerate(block["qid"].tolist())}
+    for s, q, sim in zip(*(table.column(c).to_pylist() for c in ("_s", "qid", "similarity"))):
+        lower[s, at[q]] = sim
+    return lower
 
 
 def _near_any_query(points, queries, head):
@@ -273,7 +395,8 @@ def _near_any_query(points, queries, head):
 
 
 def _check_queries(queries, parts):
-    """One pass over all queries: their vectors are present, finite and of one length."""
+    """The values of a query's vectors together. One pass over all queries checks that their vectors are
+    present, finite and of one length."""
     def bad(name):
         return F.col(name).isNull() | F.exists(name, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
 
@@ -286,62 +409,4 @@ def _check_queries(queries, parts):
             raise ValueError(f"query vectors {p!r} must not be NULL and must be finite")
         if facts[f"low{i}"] != facts[f"high{i}"]:
             raise ValueError(f"query vectors {p!r} must have one length")
-
-
-def _meet(schema, args, parts):
-    """Top-k of one group of points for one group of queries, as a cogroup function."""
-    parts, out_names = list(parts), [f.name for f in schema]
-
-    def meet(left, right):
-        import pyarrow as pa
-
-        block = _query_block(right, parts)
-        found = list(_search(left.combine_chunks().to_batches(), block, *args))
-        if found:
-            return pa.Table.from_batches(found)
-        keep = left.schema
-        types = {"_s": pa.int32(), "qid": pa.int64(), "distance": pa.float64(), "similarity": pa.float64()}
-        return pa.table({n: pa.array([], types[n] if n in types else keep.field(n).type) for n in out_names})
-
-    return meet
-
-
-def _blockwise(points, queries, schema, args, parts, block_queries, block_points):
-    """Queries beyond one block: meet every point block with every query block.
-
-    Both sides are cut by a hash of their unique key, so groups are even whatever the
-    data looks like, and each group returns at most k rows per query.
-    """
-    q_blocks = -(-queries.count() // block_queries)
-    p_blocks = max(1, -(-points.count() // block_points))
-    copies = points.withColumn("_pb", F.pmod(F.xxhash64("id"), F.lit(p_blocks))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-    asked = queries.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn(
-        "_pb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p_blocks - 1).cast("long")))
-    )
-    return copies.groupBy("_pb", "_qb").cogroup(asked.groupBy("_pb", "_qb")).applyInArrow(_meet(schema, args, parts), schema)
-
-
-def _groupwise(points, queries, schema, args, parts, groups, block_queries, block_points):
-    """Points meet queries group by group; a pair that shares no group is never scored.
-
-    A large group is cut into blocks of points, and of queries, by a hash of their keys.
-    """
-    mine = points.withColumn("_g", F.explode(groups)).drop(groups)
-    asked = queries.withColumn("_g", F.explode(groups)).drop(groups)
-    blocks = mine.groupBy("_g").agg(F.ceil(F.count("*") / block_points).alias("_np")).join(
-        asked.groupBy("_g").agg(F.ceil(F.count("*") / block_queries).alias("_nq")), "_g")
-    blocks = materialize(blocks, "topk-groups")
-    if is_small(blocks):
-        blocks = F.broadcast(blocks)
-
-    def cut(df, key, own, other, own_n, other_n):
-        spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_n) - 1))
-        return df.join(blocks, "_g").withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n))).withColumn(other, spread).drop("_np", "_nq")
-
-    left = cut(mine, "id", "_pb", "_qb", "_np", "_nq").groupBy("_g", "_pb", "_qb")
-    right = cut(asked, "qid", "_qb", "_pb", "_nq", "_np").groupBy("_g", "_pb", "_qb")
-    found = left.cogroup(right).applyInArrow(_meet(schema, args, parts), schema)
-    # A pair may share several groups.
-    return found.dropDuplicates(["_s", "qid", "id"])
+    return sum(facts[f"high{i}"] or 0 for i in range(len(parts)))

@@ -179,7 +179,7 @@ def test_vector_topk(vector_points, vector_queries):
 
 def test_vector_topk_blocks(vector_points, vector_queries):
     asked = [tuple(r) for r in vector_queries.collect()]
-    found = topk.vector_topk(vector_points, vector_queries, 7, block_queries=3, block_points=100)
+    found = topk.vector_topk(vector_points, vector_queries, 7, block_queries=3)
     assert got(found) == vector_brute(asked, 7)
 
 
@@ -285,10 +285,51 @@ def test_bad_query_vectors_are_refused(spark, block, last):
         topk.vector_topk(_dirty_points(spark), asked, 5, block_queries=block)
 
 
-@pytest.mark.parametrize(("points", "queries"), [(65_536, 4096), (3, 1)])
-def test_groups_score_only_pairs_that_share_one(spark, points, queries):
+@pytest.mark.parametrize("queries", [4096, 1])
+def test_groups_score_only_pairs_that_share_one(spark, queries):
     mine = _dirty_points(spark).where("id < 12").withColumn("g", F.array(F.col("id") % 3, F.col("id") % 2 + 10))
     asked = _asked(spark, [[1.0, 0.0], [0.0, 1.0]]).withColumn("g", F.array(F.col("qid"), F.lit(10)))
-    found = topk.vector_topk(mine, asked, 20, groups="g", block_points=points, block_queries=queries).collect()
+    found = topk.vector_topk(mine, asked, 20, groups="g", block_queries=queries).collect()
     want = {(q, i) for q in range(2) for i in range(12) if i % 3 == q or i % 2 == 0}
     assert sorted((r["qid"], r["id"]) for r in found) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def many_points(spark):
+    local = np.random.default_rng(12)
+    rows = [(i, 0.0, float(i) / 1e4, {}, v) for i, v in enumerate(local.normal(size=(6000, 6)).tolist())]
+    return spark.createDataFrame(rows, DIRTY).repartition(64)
+
+
+def test_floors_keep_most_rows_out_of_the_ranking(spark, many_points):
+    asked = _asked(spark, np.random.default_rng(13).normal(size=(20, 6)).tolist())
+    plain = topk.vector_candidates(many_points, asked, 10, floors=False)
+    bounded = topk.vector_candidates(many_points, asked, 10, floors=True)
+    # Every split sends k rows a query without floors. The 4 splits of the first pass leave about 16 k.
+    assert plain.count() == 64 * 20 * 10 and bounded.count() < 64 * 20 * 10 / 2.5
+    first, second = (
+        sorted((r["qid"], r["rank"], r["id"]) for r in topk.vector_topk(many_points, asked, 10, floors=f).collect())
+        for f in (False, True))
+    assert first == second
+
+
+def test_floors_with_radius_groups_and_few_matches(spark, many_points):
+    asked = _asked(spark, np.random.default_rng(14).normal(size=(6, 6)).tolist()).withColumns({
+        "radius_deg": F.when(F.col("qid") % 2 == 0, 0.001), "g": F.array(F.col("qid") % 3)})
+    mine = many_points.withColumn("g", F.array(F.col("id") % 3, F.col("id") % 5))
+    for how in ({}, {"groups": "g"}, {"block_queries": 2}):
+        first, second = (
+            sorted((r["qid"], r["rank"], r["id"]) for r in topk.vector_topk(mine, asked, 30, floors=f, **how).collect())
+            for f in (False, True))
+        assert first == second
+
+
+def test_blocks_do_not_exchange_points(spark, many_points, tmp_path, capsys):
+    many_points.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    asked = _asked(spark, np.random.default_rng(15).normal(size=(40, 6)).tolist())
+    found = topk.vector_candidates(points, asked, 3, block_queries=4, floors=False)
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    got_rows = sorted((r["qid"], r["rank"], r["id"]) for r in topk.vector_topk(points, asked, 3, block_queries=4).collect())
+    assert got_rows == sorted((r["qid"], r["rank"], r["id"]) for r in topk.vector_topk(points, asked, 3).collect())
