@@ -1193,6 +1193,64 @@ def infonce_loss(spark, sf):
     return train.info_nce_loss(pairs, math.log(1 / 0.07)).withColumn("loss", F.round("loss", 6))
 
 
+_STEP_LR, _STEP_DECAY = 0.01, 0.1
+
+
+def _step_sql() -> str:
+    """Loss, gradients and one AdamW update over all batches of 64 rows, on sums of lists."""
+    def total(vectors, weights="w", name="s"):
+        return f"list_transform(range(1, 5), lambda j: list_sum(list_transform(range(1, len({vectors}) + 1), lambda i: {vectors}[i][j] * {weights}[i])))"
+
+    dot = "list_dot_product({0}, {1})"
+    feats = ", ".join(f"{fn}(radians({c}) * {band}::DOUBLE)" for c in ("lon", "lat") for fn in ("sin", "cos") for band in (1, 2, 4, 8))
+    return f"""
+WITH e AS (SELECT vec_id AS id, vec_id // 64 AS batch, list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE)) AS x,
+  CAST(vec_id % 170 AS DOUBLE) / 2.0::DOUBLE AS lat, CAST(vec_id % 350 AS DOUBLE) / 2.0::DOUBLE AS lon FROM embeddings),
+f AS (SELECT *, [greatest(v + 0.05::DOUBLE, 0.0::DOUBLE) FOR v IN [{feats}]] AS hid FROM e),
+y AS (SELECT id, batch, x, list_transform(range(4), lambda j: x[j + 1] + 0.1::DOUBLE * (j + 1)) AS yt,
+  list_transform(range(4), lambda j: list_sum(list_transform(range(16), lambda h: hid[h + 1] * (((j * 7 + h * 3) % 5) - 2) / 10.0::DOUBLE))) AS yl FROM f),
+z AS (SELECT id, batch, x, sqrt({dot.format('yt', 'yt')}) AS nt, list_transform(yt, lambda v: v / sqrt({dot.format('yt', 'yt')})) AS zt,
+  list_transform(yl, lambda v: v / sqrt({dot.format('yl', 'yl')})) AS zl FROM y),
+c AS (SELECT a.batch, a.id AS i, b.id AS j, b.zl AS zl, {dot.format('a.zt', 'b.zl')} AS cosine FROM z a JOIN z b ON a.batch = b.batch),
+p AS (SELECT *, exp(5.0::DOUBLE * cosine) / sum(exp(5.0::DOUBLE * cosine)) OVER (PARTITION BY i) AS pr, exp(5.0::DOUBLE * cosine) / sum(exp(5.0::DOUBLE * cosine)) OVER (PARTITION BY j) AS pc,
+  count(*) OVER (PARTITION BY i) AS n FROM c),
+g AS (SELECT *, 0.5::DOUBLE * (pr + pc - CASE WHEN i = j THEN 2 ELSE 0 END) / n AS d FROM p),
+l AS (SELECT avg(loss) AS loss, avg(scale) AS scale FROM (SELECT batch, -0.5::DOUBLE * avg(ln(pr) + ln(pc)) FILTER (i = j) AS loss, sum(d * cosine) * 5.0::DOUBLE AS scale FROM g GROUP BY batch)),
+t AS (SELECT i, list(zl ORDER BY j) AS v, list(5.0::DOUBLE * d ORDER BY j) AS w FROM g GROUP BY i),
+u AS (SELECT z.batch, z.id, z.x, z.zt, z.nt, {total('t.v', 't.w')} AS dz FROM t JOIN z ON z.id = t.i),
+k AS (SELECT batch, x, list_transform(range(1, 5), lambda j: (dz[j] - zt[j] * list_dot_product(zt, dz)) / nt) AS dy FROM u),
+b AS (SELECT count(DISTINCT batch) AS m FROM e),
+gr AS (SELECT 'loss' AS name, 0 AS idx, loss AS gradient, 0.0::DOUBLE AS before FROM l UNION ALL SELECT 'log_scale', 0, scale, ln(5.0::DOUBLE) FROM l
+  UNION ALL SELECT 'text_b', a.idx, sum(dy[a.idx + 1]) / any_value(m), 0.1::DOUBLE * (a.idx + 1) FROM k, b, (SELECT unnest(range(4)) AS idx) a GROUP BY a.idx
+  UNION ALL SELECT 'text_w', a.idx, sum(dy[a.idx // 4 + 1] * x[a.idx % 4 + 1]) / any_value(m), CASE WHEN a.idx // 4 = a.idx % 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM k, b, (SELECT unnest(range(16)) AS idx) a GROUP BY a.idx)
+SELECT name, CAST(idx AS INT) AS idx, round(gradient, 8) AS gradient,
+  round(CASE WHEN name = 'loss' THEN 0.0::DOUBLE ELSE before * (1 - {_STEP_LR * _STEP_DECAY}::DOUBLE) - {_STEP_LR}::DOUBLE * gradient / (abs(gradient) + 1e-8::DOUBLE) END, 5) AS "value" FROM gr"""
+
+
+@query(_step_sql())
+def train_step(spark, sf):
+    """Loss, gradients and the first AdamW update over all batches of 64 vectors; the weights have a closed form."""
+    import numpy as np
+
+    at = np.arange(4)
+    weights = encode.Projection(
+        np.eye(4), 0.1 * (at + 1), np.eye(16), np.full(16, 0.05),
+        ((at[:, None] * 7 + np.arange(16)[None] * 3) % 5 - 2) / 10, np.zeros(4), float(np.log(5.0)))
+    half = {"lat": (F.col("vec_id") % 170) / 2, "lon": (F.col("vec_id") % 350) / 2}
+    rows = table(spark, sf, "embeddings").withColumns(half).select(
+        F.floor(F.col("vec_id") / 64).alias("batch_id"), F.col("vec_id").alias("id"),
+        F.slice("embedding", 1, 4).cast("array<double>").alias("vector"), geo.sinusoidal_features("lat", "lon").alias("features"))
+    params = train.parameters(weights)
+    loss, grads, _ = train.step_gradient(rows, params)
+    zeros = [{k: np.zeros_like(v) for k, v in params.items()} for _ in range(2)]
+    train.adamw(params, *zeros, grads, 1, _STEP_LR, _STEP_DECAY)
+    out = [("loss", 0, round(loss, 8), 0.0)]
+    for name in ("log_scale", "text_b", "text_w"):
+        pairs = zip(grads[name].reshape(-1).tolist(), params[name].reshape(-1).tolist())
+        out += [(name, i, round(g, 8), round(v, 5)) for i, (g, v) in enumerate(pairs)]
+    return spark.createDataFrame(out, "name string, idx int, gradient double, value double")
+
+
 @query()
 def train_contrastive(spark, sf):
     """Loss per epoch of contrastive training on all points."""
@@ -1200,7 +1258,7 @@ def train_contrastive(spark, sf):
     vecs = encode.semantic_embed(points, encode.HashingEncoder(SEMANTIC_DIM), "scalar")
     pairs = points.select("id", "lat", "lon").join(vecs.withColumnRenamed("embedding", "vector"), "id")
     start = encode.Projection.initial(SEMANTIC_DIM, 64, 64)
-    _, history = train.train(pairs, start, epochs=7, lr=1e-3)
+    _, history = train.train(pairs, start, epochs=7, lr=1e-3, workers=64)
     return spark.createDataFrame(history, "epoch int, loss double, temperature double")
 
 

@@ -15,8 +15,10 @@ MIN_SCALE, MAX_SCALE = 1e-3, 100.0
 # AdamW decay rates and denominator term.
 BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
 
-# Shares of the rows that are trained on side by side.
+# Batches whose gradients make one step.
 WORKERS = 8
+# Most bytes of the matrices of one batch, held by one task.
+BATCH_BYTES = 1 << 30
 
 _PARAMS = ("text_w", "text_b", "loc_w1", "loc_b1", "loc_w2", "loc_b2", "log_scale")
 
@@ -40,16 +42,21 @@ def info_nce(zt, zl, log_scale: float) -> float:
     return 0.5 * (_cross_entropy(logits)[0] + _cross_entropy(logits.T)[0])
 
 
+def _check_batch(rows: int, batch_bytes: int) -> None:
+    """A batch needs five square matrices of its rows; refused if they take more than the bytes allowed."""
+    if 40 * rows * rows > batch_bytes:
+        raise ValueError(f"a training batch of {rows} rows needs more than {batch_bytes} bytes")
+
+
 def info_nce_loss(
-    pairs: DataFrame, log_scale: float, text: str = "zt", location: str = "zl", max_batch: int = 65_536
+    pairs: DataFrame, log_scale: float, text: str = "zt", location: str = "zl", batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
-    """(batch_id, n, loss) per training batch; batches have a fixed, bounded size."""
+    """(batch_id, n, loss) per training batch. A batch is one task's work; ``batch_bytes`` bounds its matrices."""
     def per_batch(table):
         import numpy as np
         import pyarrow as pa
 
-        if table.num_rows > max_batch:
-            raise ValueError("a training batch has too many rows")
+        _check_batch(table.num_rows, batch_bytes)
         table = table.combine_chunks()
         zt, zl = (
             np.asarray(table.column(c).chunk(0).flatten(), dtype="float64").reshape(table.num_rows, -1)
@@ -108,24 +115,51 @@ def adamw(params, first, second, grads, step, lr, decay):
         params[name] -= lr * mean / (spread + ADAM_EPS)
 
 
-def _pack(groups, shapes):
+def parameters(weights: Projection) -> dict:
+    """The weights as named arrays, copies that a step may change."""
     import numpy as np
 
-    return np.concatenate([g[n].reshape(-1) for g in groups for n in shapes])
+    return {n: np.array(np.atleast_1d(getattr(weights, n)), dtype="float64") for n in _PARAMS}
 
 
-def _unpack(flat, shapes):
+def step_gradient(rows: DataFrame, params: dict, batch_bytes: int = BATCH_BYTES) -> tuple[float, dict, int]:
+    """Mean loss and mean gradients over the batches of ``rows(batch_id, id, vector, features)``, and their number.
+
+    A task computes a batch, in order of id; gradients are summed by Spark, first within tasks and then over
+    groups of them, so the driver receives one gradient.
+    """
     import numpy as np
 
-    groups, at = [], 0
-    for _ in range(3):
-        group = {}
-        for name, shape in shapes.items():
-            size = int(np.prod(shape))
-            group[name] = flat[at:at + size].reshape(shape).copy()
-            at += size
-        groups.append(group)
-    return groups
+    shared = rows.sparkSession.sparkContext.broadcast(params)
+
+    def per_batch(table):
+        import numpy as np
+        import pyarrow as pa
+
+        _check_batch(table.num_rows, batch_bytes)
+        table = table.sort_by("id").combine_chunks()
+        x, f = (np.asarray(table.column(c).chunk(0).flatten(), dtype="float64").reshape(table.num_rows, -1)
+                for c in ("vector", "features"))
+        loss, grads = batch_step(shared.value, x, f)
+        flat = np.concatenate([grads[n].reshape(-1) for n in _PARAMS])
+        return pa.table({"loss": pa.array([loss]), "gradient": pa.array([flat])})
+
+    found = rows.groupBy("batch_id").applyInArrow(per_batch, "loss double, gradient array<double>")
+    vector = array_to_vector("gradient")
+    groups = found.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("_g").agg(
+        F.sum("loss").alias("loss"), F.count("*").alias("n"), Summarizer.sum(vector).alias("gradient"))
+    # Grouped, so that no batch gives no row.
+    total = groups.withColumn("_all", F.lit(True)).groupBy("_all").agg(
+        F.sum("loss").alias("loss"), F.sum("n").alias("n"),
+        vector_to_array(Summarizer.sum(F.col("gradient"))).alias("gradient")).first()
+    if total is None:
+        return 0.0, {}, 0
+    flat, grads, at = np.asarray(total["gradient"]) / total["n"], {}, 0
+    for name in _PARAMS:
+        size = params[name].size
+        grads[name] = flat[at:at + size].reshape(params[name].shape)
+        at += size
+    return total["loss"] / total["n"], grads, total["n"]
 
 
 def train(
@@ -140,90 +174,41 @@ def train(
 ) -> tuple[Projection, list[tuple[int, float, float]]]:
     """Train on (id, vector, lat, lon); returns weights and (epoch, loss, temperature).
 
-    Parallel SGD: in each epoch every worker runs AdamW over the batches of its random
-    share of the rows, then weights and moments are averaged over workers by a two-level
-    aggregate. ``workers`` is a parameter of the training, not of the cluster: the weights do
-    not depend on the number of cores. There are no more workers than full batches, so that
-    ``batch_size`` holds. With one worker this is plain sequential training; with more, updates of
-    different workers meet only at the end of an epoch.
+    One sequence of AdamW steps over the whole cluster. Each step takes the mean gradient of up to
+    ``workers`` batches, every batch contrasted within itself, and all following steps see
+    the update; with one worker a step is one batch. Rows are dealt by hash to stored buckets, one
+    for each step of an epoch, once; a step reads its bucket alone. An epoch visits the buckets in an order of its
+    own and deals a bucket's rows anew to its batches. A batch has ``batch_size`` rows on average,
+    as they are dealt by hash. ``workers`` belongs to the training, not to the cluster: the weights do not
+    depend on the number of cores.
     """
     import numpy as np
 
-    spark = pairs.sparkSession
-    rows = materialize(pairs.select(
+    rows = pairs.select(
         "id", F.col("vector").cast("array<double>").alias("vector"),
-        sinusoidal_features("lat", "lon", weights.bands).alias("features"),
-    ), "training")
-    workers = max(1, min(workers, rows.count() // batch_size))
-    start = {n: np.atleast_1d(np.asarray(getattr(weights, n), dtype="float64")) for n in _PARAMS}
-    shapes = {n: start[n].shape for n in _PARAMS}
-    zeros = {n: np.zeros(s) for n, s in shapes.items()}
-    state, done, history = _pack([start, zeros, zeros], shapes), 0, []
+        sinusoidal_features("lat", "lon", weights.bands).alias("features"))
+    n = rows.count()
+    workers = max(1, min(workers, n // batch_size))
+    buckets = max(1, n // (batch_size * workers))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)).cast("int")
+    stored = materialize(rows.withColumn("_bucket", bucket).repartition("_bucket"), "training", ("_bucket",))
+    params = parameters(weights)
+    first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
+    step, history = 0, []
     for epoch in range(1, epochs + 1):
-        shared = spark.sparkContext.broadcast((state, done))
-        order = F.xxhash64(F.lit(seed), F.lit(epoch), "id")
-        shuffled = (
-            rows.withColumn("_o", order).repartition(workers, "_o").sortWithinPartitions("_o", "id")
-            .select("vector", "features")
-        )
-
-        def work(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            flat, step = shared.value
-            params, first, second = _unpack(flat, shapes)
-            total, count, held, size = 0.0, 0, [], 0
-
-            def learn(x, f):
-                nonlocal total, count, step
+        losses, batches = 0.0, 0
+        batch = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(epoch), "id"), F.lit(workers)).alias("batch_id")
+        for b in np.random.default_rng([seed, epoch]).permutation(buckets).tolist():
+            dealt = stored.where(F.col("_bucket") == b).select(batch, "id", "vector", "features")
+            loss, grads, seen = step_gradient(dealt, params)
+            if seen:
                 step += 1
-                loss, grads = batch_step(params, x, f)
                 adamw(params, first, second, grads, step, lr, decay)
-                total, count = total + loss, count + 1
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                held.append([
-                    np.asarray(batch.column(c).flatten(), dtype="float64").reshape(batch.num_rows, -1)
-                    for c in (0, 1)
-                ])
-                size += batch.num_rows
-                if size >= batch_size:
-                    x, f = (np.vstack([h[i] for h in held]) for i in (0, 1))
-                    full = size - size % batch_size
-                    for at in range(0, full, batch_size):
-                        learn(x[at:at + batch_size], f[at:at + batch_size])
-                    held, size = [[x[full:], f[full:]]], size - full
-            if size:
-                learn(*(np.vstack([h[i] for h in held]) for i in (0, 1)))
-            if count:
-                packed = _pack([params, first, second], shapes)
-                values = pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), pa.array(packed))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([total]), pa.array([count], pa.int64()), pa.array([step], pa.int64()), values],
-                    names=["loss", "batches", "step", "state"],
-                )
-
-        parts = shuffled.mapInArrow(work, "loss double, batches long, step long, state array<double>")
-        vector = array_to_vector("state")
-        # Averages first within groups of workers, then over the groups.
-        groups = parts.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("_g").agg(
-            F.sum("loss").alias("loss"), F.sum("batches").alias("batches"), F.max("step").alias("step"),
-            Summarizer.mean(vector).alias("state"), F.count("*").alias("n"),
-        )
-        merged = groups.agg(
-            F.sum("loss").alias("loss"), F.sum("batches").alias("batches"), F.max("step").alias("step"),
-            vector_to_array(Summarizer.mean(F.col("state"), F.col("n").cast("double"))).alias("state"),
-        ).first()
-        if not merged["batches"]:
+                losses, batches = losses + loss * seen, batches + seen
+        if not batches:
             break
-        state, done = np.asarray(merged["state"]), merged["step"]
-        scale_at = sum(int(np.prod(shapes[n])) for n in _PARAMS[:-1])
-        history.append((epoch, merged["loss"] / merged["batches"], float(np.exp(state[scale_at]))))
-    final = _unpack(state, shapes)[0]
+        history.append((epoch, losses / batches, float(np.exp(params["log_scale"][0]))))
     trained = Projection(
-        *[final[n] for n in _PARAMS[:-1]], log_scale=float(final["log_scale"][0]), bands=weights.bands
+        *[params[n] for n in _PARAMS[:-1]], log_scale=float(params["log_scale"][0]), bands=weights.bands
     )
     return trained, history

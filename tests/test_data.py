@@ -295,3 +295,44 @@ def test_draws_are_placed_without_one_task(spark):
     main = shown.getvalue().split("Subqueries")[0]
     assert "Window [last(" not in main
     assert drawn.count() == 3000 and drawn.select("draw").distinct().count() == 3000
+
+
+def test_training_does_not_depend_on_cores(tmp_path):
+    """The same weights from one core and from four, in processes of their own."""
+    import json
+    import os
+    import subprocess
+    import sys
+
+    script = tmp_path / "train.py"
+    script.write_text("""
+import json, sys
+import numpy as np
+from pyspark.sql import SparkSession
+from geolantern.operators import encode, train
+spark = SparkSession.builder.master(sys.argv[1]).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", sys.argv[2]).getOrCreate()
+rng = np.random.default_rng(2)
+rows = [(i, float(rng.uniform(-40, 40)), float(rng.uniform(-170, 170)), rng.normal(size=4).tolist()) for i in range(300)]
+pairs = spark.createDataFrame(rows, "id long, lat double, lon double, vector array<double>")
+weights, history = train.train(pairs, encode.Projection.initial(4, 6, 8), epochs=2, batch_size=16, lr=5e-3, workers=3)
+print("RESULT" + json.dumps([weights.text_w.tolist(), weights.loc_w2.tolist(), weights.log_scale, history]))
+""")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+    def run(master, parts):
+        out = subprocess.run([sys.executable, str(script), master, parts], capture_output=True, text=True, timeout=300,
+                             env={**os.environ, "PYTHONPATH": root})
+        line = next(x for x in out.stdout.splitlines() if x.startswith("RESULT"))
+        return json.loads(line[6:])
+
+    def flat(x):
+        return [v for y in x for v in flat(y)] if isinstance(x, list) else [x]
+
+    one, four = flat(run("local[1]", "2")), flat(run("local[4]", "7"))
+    assert len(one) == len(four) and max(abs(a - b) for a, b in zip(one, four)) < 1e-9
+
+
+def test_a_batch_too_large_for_a_task_is_refused(spark):
+    pairs = spark.createDataFrame([(0, [1.0, 0.0], [0.0, 1.0])] * 20, "batch_id long, zt array<double>, zl array<double>")
+    with pytest.raises(Exception, match="needs more than 1000 bytes"):
+        train.info_nce_loss(pairs, 0.0, batch_bytes=1000).collect()
