@@ -54,15 +54,23 @@ def labelled_sample(
     return materialize(sample.dropDuplicates(["doc_id"]).select("text", "label"), "sample"), float(share)
 
 
+#: Rows that map_arrow hands over at once.
+ROWS_AT_ONCE = 512
+
+
 def map_arrow(df: DataFrame, columns: list[str], schema: str, fn) -> DataFrame:
-    """``fn(*lists of one batch) -> lists`` over the given columns, in the order of ``schema``."""
+    """``fn(*lists of some rows) -> lists`` over the given columns, in the order of ``schema``.
+
+    A batch goes through in slices, so that texts and results are held for few rows at a time.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                out = fn(*(batch.column(i) for i in range(len(columns))))
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                out = fn(*(some.column(i) for i in range(len(columns))))
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(out, types)], names=names
                 )
@@ -70,7 +78,7 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, fn) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     fields = df.sparkSession.createDataFrame([], schema).schema.fields
-    names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+    names, types, rows = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields], ROWS_AT_ONCE
     return df.select(*columns).mapInArrow(run, schema)
 
 

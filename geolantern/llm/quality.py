@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: Most labelled rows for training by label, and characters of each that are looked at (at a hashed place).
+#: Most labelled rows for training by label; their whole texts are used.
 ROWS = {0: 2_000, 1: 3_000}
-SNIPPET = 4_000
 GRAMS = (3, 4, 5)
 BITS, DIM = 18, 8
 EPOCHS, RATE = 8, 20.0
@@ -52,8 +51,9 @@ class Features:
         mixed ^= mixed >> np.uint64(32)
         return (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)
 
-    def passes(self, data: bytes):
-        """(positions, slots) per kind of feature over bytes in which white space parts words."""
+    def passes(self, data: bytes, ends=None):
+        """(positions, slots) per kind of feature over bytes in which white space parts words. ``ends``: where
+        the texts of ``data`` end, if it holds several; a text's features are the same among any others."""
         import numpy as np
 
         b = np.frombuffer(data, dtype=np.uint8)
@@ -68,7 +68,11 @@ class Features:
         yield starts, self._slot(words, 1)
         # A word that repeats one of the two words before it counts as a feature of its own.
         for back in (1, 2):
-            again = np.flatnonzero(words[back:] == words[:-back]) + back
+            same = words[back:] == words[:-back]
+            if ends is not None:
+                own = np.searchsorted(ends, starts, side="right")
+                same &= own[back:] == own[:-back]
+            again = np.flatnonzero(same) + back
             yield starts[again], self._slot(np.full(len(again), 77, dtype=np.uint64), 10 + back)
         rolled = b64
         for k in range(2, max(self.grams) + 1):
@@ -111,7 +115,7 @@ class Model:
             lengths = np.array([len(t) + 2 for t in texts])
             ends = np.cumsum(lengths)
             total, count = np.zeros(len(texts)), np.zeros(len(texts))
-            for at, slot in features.passes(data):
+            for at, slot in features.passes(data, ends):
                 doc = np.searchsorted(ends, at, side="right")
                 # The last text has no separator after it, only the closing space.
                 np.minimum(doc, len(texts) - 1, out=doc)
@@ -145,11 +149,11 @@ def train(rows: list, y, weight, prior: float, epochs: int = EPOCHS, rate: float
     rng = np.random.default_rng(5)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = rng.normal(0, 0.5, (2, dim)).astype(np.float32), np.array([0.0, np.log(prior / (1 - prior))], dtype=np.float32)
-    shares = [(s, (c / c.sum()).astype(np.float32)) for s, c in rows]
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            slots, share = shares[i]
+            slots, counts = rows[i]
+            share = counts.astype(np.float32) / counts.sum()
             mean = share @ vectors[slots]
             z = out @ mean + bias
             p = np.exp(z - z.max())
@@ -179,34 +183,36 @@ def fit(sample: DataFrame, prior: float) -> Model:
 
     def extract(labels, texts):
         found = [features.of(t) for t in texts.to_pylist()]
-        return labels, [s.astype("<i4").tobytes() for s, _ in found], [c.astype("<u2").tobytes() for _, c in found]
-
-    at = F.pmod(F.xxhash64("text", F.lit(11)), F.greatest(F.length("text") - SNIPPET, F.lit(1))) + 1
-    snippets = sample.select("label", F.substring(F.col("text"), at.cast("int"), F.lit(SNIPPET)).alias("s"))
-    snippets = snippets.repartition(sample.sparkSession.sparkContext.defaultParallelism)
-    got = map_arrow(snippets, ["label", "s"], "label int, slots binary, counts binary", extract).orderBy("label", "slots", "counts").collect()
-    got = [r for r in got if r["slots"]]
-    y = np.array([r["label"] for r in got], dtype=np.int64)
+        return labels, [s.astype("<i4").tobytes() for s, _ in found], [c.astype("<u4").tobytes() for _, c in found]
+
+    texts = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
+    got = map_arrow(texts, ["label", "text"], "label int, slots binary, counts binary", extract)
+    # Bounded by the rows of the sample and the number of slots.
+    got = got.where("length(slots) > 0").orderBy("label", "slots", "counts").toArrow()
+    y = got["label"].to_numpy().astype(np.int64)
     ones = int(y.sum())
     if min(ones, len(y) - ones) < 2:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(b"", math.log(p / (1 - p)))
-    rows = [(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["counts"], "<u2").astype(np.float32)) for r in got]
+    rows = [(np.frombuffer(s.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<u4")) for s, c in zip(got["slots"], got["counts"])]
     weight = np.where(y == 1, prior / (ones / len(y)), (1 - prior) / (1 - ones / len(y)))
     table, bias = train(rows, y, weight, prior)
     return Model(table.tobytes(), bias)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of every row, from whole texts; NULL scores like empty."""
+    """``keep`` columns and ``score`` (0 to 1) of every row, from whole texts; NULL scores like empty.
+
+    A column of ``docs`` named score cannot be kept. A text's score does not depend on the rows beside it.
+    """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    built = []
+    # Of fixed size; plain values, so that executors need no copy of this module.
+    sent = docs.sparkSession.sparkContext.broadcast((model.slots, model.bias, model.bits, model.grams))
+    built, at = [], keep.index("text") if "text" in keep else len(keep)
 
     def run(*columns):
         if not built:
-            built.append(sent.value.scorer())
-        return *columns[:-1], built[0](columns[-1].to_pylist())
+            built.append(Model(*sent.value).scorer())
+        return *columns[:len(keep)], built[0](columns[at].to_pylist())
 
-    inputs = docs.select(*keep, F.col("text").alias("__text"))
-    return map_arrow(inputs, [*keep, "__text"], schema, run)
+    return map_arrow(docs, list(keep) if at < len(keep) else [*keep, "text"], schema, run)

@@ -218,15 +218,18 @@ def _logistic(x, y, prior, rounds: int = 3000, rate: float = 0.3, decay: float =
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of every row; NULL texts score like empty ones."""
+    """``keep`` columns and ``score`` (0 to 1) of every row; NULL texts score like empty ones.
+
+    A column of ``docs`` named score cannot be kept. If ``text`` is kept, it is sent once.
+    """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    built = []
+    built, at = [], keep.index("text") if "text" in keep else len(keep)
 
     def run(*columns):
         if not built:
             built.append(model.scorer())
         features, rate = built[0]
-        return *columns[:-1], [rate(features(t)) for t in columns[-1].to_pylist()]
+        return *columns[:len(keep)], [rate(features(t)) for t in columns[at].to_pylist()]
 
-    inputs = docs.select(*keep, F.col("text").alias("__text"))
-    return map_arrow(inputs, [*keep, "__text"], schema, run)
+    sent = list(keep) if at < len(keep) else [*keep, "text"]
+    return map_arrow(docs, sent, schema, run)

@@ -83,3 +83,41 @@ def test_slots_of_features():
     again, _ = f.of(" ab\tab\nab")
     assert slots.tolist() == again.tolist() and counts.max() >= 3
     assert f.of("")[0].size == 0 and f.of(None)[0].size == 0
+
+
+def test_quality_does_not_depend_on_neighbours():
+    import numpy as np
+
+    from geolantern.llm import quality
+
+    table = np.random.default_rng(3).normal(size=1 << quality.BITS).astype(np.float32)
+    score = quality.Model(table.tobytes(), 0.1).scorer()
+    texts = ["alpha beta", "gamma alpha beta", "beta", "", "alpha beta alpha", "x " * 50]
+    alone = [float(score([t])[0]) for t in texts]
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        assert dict(zip(order, np.round(score(order), 9))) == dict(zip(texts, np.round(alone, 9)))
+
+
+def test_quality_scores_where_executors_have_no_copy(tmp_path):
+    """A driver that finds the library, and workers that do not."""
+    import os
+    import subprocess
+    import sys
+
+    script = tmp_path / "run.py"
+    script.write_text("""
+import os, sys
+root = os.environ.pop("LIBRARY")
+sys.path.insert(0, root)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import numpy as np
+from geolantern.llm import quality
+docs = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
+model = quality.Model(np.ones(1 << quality.BITS, dtype=np.float32).tobytes(), 0.0)
+print("RESULT", [round(r.score, 3) for r in quality.score(docs, model).orderBy("doc_id").collect()])
+""")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"LIBRARY": root}
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=300, env=env, cwd=str(tmp_path))
+    assert "RESULT [0.731, 0.5]" in out.stdout, out.stderr[-2000:]
