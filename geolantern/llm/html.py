@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass rates each block: blocks inside
 menus, headers, footers, sidebars, adverts, notices, forms and comments are out; of the rest,
 link density, length and the density of stop words say good, bad, or ambiguous. The second
-pass gives ambiguous blocks the label of their nearest decided neighbours.
+pass gives ambiguous blocks the label of their nearest decided neighbours. Names of classes are only
+hints: a part that they would put out is kept if it holds most of the page's good text.
 """
 
 from __future__ import annotations
@@ -32,44 +33,104 @@ BLOCKS = frozenset(
 )
 OUTSIDE = frozenset("nav footer aside form menu dialog select option button textarea fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Words in class, id or role that mark a part of the page that is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|banner|sidebar|side|aside|"
-    r"ads?|advert|advertisement|sponsor|sponsored|promo|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
-    r"comments?|disqus|replies|share|sharing|social|related|search|complementary|contentinfo|login|signup)(?:$|[\s_-])", re.I)
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|related)(?:$|[\s_-])", re.I)
+# Names in class, id or role of parts of a page that are not the article, of readers' comments, and
+# words that go with such names in compounds (site-header, comment-list, ad-slot-2).
+MARKS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs footer header masthead banner sidebar side aside ad ads advert "
+    "advertisement sponsor sponsored promo cookie cookies consent notice gdpr popup modal newsletter subscribe share sharing "
+    "social related search complementary contentinfo login signup".split()
+)
+COMMENTS = frozenset("comment comments disqus replies reply".split())
+WITH_MARKS = frozenset(
+    "site page main top bottom left right upper lower primary secondary global inner outer mobile desktop list item items box "
+    "block wrapper wrap container widget widgets section area region bar strip row column col panel overlay dialog link links icon icons "
+    "button buttons form field input toolbar tools posts articles stories news thread text title slot unit zone skin media us".split()
+)
+NAME = re.compile(r"[^\s]+")
+PARTS = re.compile(r"[-_]+")
+SIZE = re.compile(r"\d+(?:x\d+)?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+# A quote opens a value only behind an equals sign.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 #: Limits of the first pass: link density, characters of a short and of a long block, stop-word density.
 LINKED, SHORT_CHARS, LONG_CHARS, FEW_STOPS, MANY_STOPS = 0.35, 70, 200, 0.10, 0.18
+#: Good blocks of a part from which its names may be taken for misleading.
+MISLED = 3
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in OUTSIDE or tag == "header" and not in_article:
-        return True
-    if not attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role"):
-            marks = COMMENTS if tag in ("article", "main") else MARKS
-            if tag not in ("body", "html") and marks.search(value):
-                return True
-        if name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+def _marked(names: str, marks: frozenset) -> bool:
+    """Whether one of the names is a mark, or is put together from marks and what goes with them alone."""
+    for name in NAME.findall(names.lower()):
+        if name in marks:
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes))
+        parts = [p for p in PARTS.split(name) if p and not SIZE.fullmatch(p)]
+        if any(p in marks for p in parts) and all(p in marks or p in MARKS or p in WITH_MARKS for p in parts):
+            return True
+    return False
+
+
+NO, HINTED, SURE = 0, 1, 2
+
+
+def _outside(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether a tag begins a part outside the article: for SURE, or by its names (HINTED), which may mislead."""
+    if tag in OUTSIDE:
+        return SURE
+    out = HINTED if tag == "header" and not in_article else NO
+    for name, value in ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+            return SURE
+        if name in ("class", "id", "role") and tag not in ("body", "html"):
+            if _marked(value, COMMENTS):
+                return SURE
+            if tag not in ("article", "main") and _marked(value, MARKS):
+                out = HINTED
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, outside the article, heading) of each block with text.
 
-    Where a page marks its article or main part, all blocks beside it are outside.
+    Where the parts that a page marks as article or main hold most of its good text, all blocks beside them
+    are outside. A part put out by its names alone stays in if it holds most of the good text, in
+    ``MISLED`` blocks or more: an advert in a short page is no article.
     """
+    found, hints = _cut(page)
+    good = [len(text) if rate(text, links, sure) in (GOOD, NEAR) and not sure else 0 for text, links, sure, _, _, _ in found]
+    # Good text below each hint, whatever other hints say; a hint inside another counts for both.
+    below: dict[int, list[int]] = {}
+    for size, (_, _, _, _, _, hint) in zip(good, found):
+        while size and hint:
+            below.setdefault(hint, []).append(size)
+            hint = hints[hint]
+    misleading = {h for h, sizes in below.items() if len(sizes) >= MISLED and 2 * sum(sizes) > sum(good)}
+
+    def hinted(hint):
+        while hint:
+            if hint not in misleading:
+                return True
+            hint = hints[hint]
+        return False
+
+    away = [sure or hinted(hint) for _, _, sure, _, _, hint in found]
+    left = [0 if a else size for a, size in zip(away, good)]
+    inside = sum(size for size, x in zip(left, found) if x[4])
+    marked = inside > 0 and 2 * inside >= sum(left) or any(x[4] and not a for x, a in zip(found, away)) and not any(left)
+    return [(x[0], x[1], a or marked and not x[4], x[3]) for x, a in zip(found, away)]
+
+
+def _cut(page: str):
+    """Blocks as (text, characters in links, surely outside, heading, inside an article, innermost hint) and,
+    for each hint, the one around it. Hints count from 1."""
     out, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, outside, article
+    hints: dict[int, int] = {}
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, surely outside, article, hint
+    nothing = ("", False, False, 0)
     anchors = at = 0
     heading = False
 
@@ -78,8 +139,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                above = stack[-1] if stack else ("", False, False)
-                out.append((text, linked, above[1], heading, above[2]))
+                above = stack[-1] if stack else nothing
+                out.append((text, linked, above[1], heading, above[2], above[3]))
         parts, linked = [], 0
 
     def text_until(end):
@@ -123,23 +184,26 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if inline and stack[i][1]:
+                    if inline and (stack[i][1] or stack[i][3]):
                         flush()
                     del stack[i:]
                     break
         elif not m[3].endswith("/") or not inline:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            above = stack[-1] if stack else ("", False, False)
+            above = stack[-1] if stack else nothing
             own = _outside(tag, m[3], above[2])
             if inline and own:
                 flush()
             if not inline or own:
-                stack.append((tag, above[1] or own, above[2] or tag in ("article", "main")))
+                hint = above[3]
+                if own == HINTED:
+                    hint = len(hints) + 1
+                    hints[hint] = above[3]
+                stack.append((tag, above[1] or own == SURE, above[2] or tag in ("article", "main"), hint))
     text_until(n) if at < n else None
     flush()
-    marked = any(inside and not away for _, _, away, _, inside in out)
-    return [(text, links, away or marked and not inside, head) for text, links, away, head, inside in out]
+    return out, hints
 
 
 def rate(text: str, linked: int, outside: bool) -> str:
@@ -210,7 +274,10 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; pages are read whole, whatever their length."""
+    """(page_id, url, text, n_chars) of every row; pages are read whole, whatever their length.
+
+    A NULL or empty page has an empty text. Equal rows give equal rows; other columns are left aside.
+    """
     def run(page_id, url, page):
         texts = [main_text(p) for p in page.to_pylist()]
         return page_id, url, texts, [len(t) for t in texts]
