@@ -1,13 +1,14 @@
 """Secret scans over a trigram index, in DataFrame operations only.
 
-Every rule has a Boolean query over trigrams that its matches must hold: a list of alternatives,
-each of which needs all of its trigrams. The postings of those trigrams are intersected per
+A Boolean query over trigrams is derived from the pattern of every rule: a list of alternatives, one of
+which stands with all of its trigrams in any match. The postings of those trigrams are intersected per
 document, and only the candidates of a rule are searched with its pattern. A rule without
 mandatory trigrams is searched in all documents.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,31 +17,131 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, text_key
 
 
+#: Strings of a finite part of a pattern, and alternatives of a query, that are followed up; beyond, the part says nothing.
+STRINGS, ALTERNATIVES = 64, 64
+#: Matches whose places are summed up at a time.
+PLACES = 256
+
+
+def trigrams(text: str) -> frozenset[str]:
+    return frozenset(text[i:i + 3] for i in range(len(text) - 2))
+
+
+class _Seen:
+    """What a part of a pattern matches: ``exact`` lower-cased strings if they are few, else None, and a query
+    of alternatives, each a set of trigrams; one empty alternative says nothing."""
+
+    def __init__(self, exact=None, query=(frozenset(),)):
+        self.exact, self.query = exact, list(query)
+
+    def spelt(self) -> list[frozenset[str]]:
+        """The query of this part alone, its exact strings included."""
+        return self.query if self.exact is None else [trigrams(x) for x in self.exact]
+
+
+def _plain(query) -> list[frozenset[str]]:
+    """Without alternatives that another one implies."""
+    query = sorted(set(query), key=lambda x: (len(x), sorted(x)))
+    kept = []
+    for one in query:
+        if not any(other <= one for other in kept):
+            kept.append(one)
+    return kept if len(kept) <= ALTERNATIVES else [frozenset()]
+
+
+def _both(first, second) -> list[frozenset[str]]:
+    if len(first) * len(second) > ALTERNATIVES * ALTERNATIVES:
+        return first
+    joined = _plain([a | b for a in first for b in second])
+    return first if joined == [frozenset()] else joined
+
+
+def _either(parts: list[_Seen]) -> _Seen:
+    if all(p.exact is not None for p in parts):
+        exact = set().union(*(p.exact for p in parts))
+        if len(exact) <= STRINGS:
+            return _Seen(exact)
+    return _Seen(None, _plain([a for p in parts for a in p.spelt()]))
+
+
+def _follow(items) -> _Seen:
+    """A sequence of parsed pattern items."""
+    exact, query, whole = {""}, [frozenset()], True
+    for item in items:
+        part = _item(item)
+        longer = None if part.exact is None else {a + b for a in exact for b in part.exact}
+        if longer is not None and len(longer) <= STRINGS:
+            exact = longer
+            continue
+        query = _both(_both(query, [trigrams(x) for x in exact]), part.spelt())
+        exact, whole = {""}, False
+    return _Seen(exact) if whole else _Seen(None, _both(query, [trigrams(x) for x in exact]))
+
+
+def _item(item) -> _Seen:
+    name, value = str(item[0]), item[1]
+    if name == "LITERAL":
+        # Texts are searched with A-Z lower-cased; other letters stand for themselves alone.
+        return _Seen({chr(value).lower() if value < 128 else chr(value)})
+    if name == "IN":
+        chars = set()
+        for kind, what in value:
+            if str(kind) == "LITERAL":
+                chars.add(what)
+            elif str(kind) == "RANGE" and what[1] - what[0] < STRINGS:
+                chars.update(range(what[0], what[1] + 1))
+            else:
+                return _Seen()
+        chars = {chr(c).lower() if c < 128 else chr(c) for c in chars}
+        return _Seen(chars) if len(chars) <= 4 else _Seen()
+    if name == "BRANCH":
+        return _either([_follow(x) for x in value[1]])
+    if name == "SUBPATTERN":
+        return _follow(value[3])
+    if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        least, most, inside = value
+        inner = _follow(inside)
+        if least == most == 1:
+            return inner
+        if least == 0:
+            return _either([_Seen({""}), inner]) if most == 1 and inner.exact is not None else _Seen()
+        return _Seen(None, inner.spelt())
+    if name == "ATOMIC_GROUP":
+        return _follow(value)
+    if name == "AT":
+        return _Seen({""})
+    if name in ("ASSERT", "ASSERT_NOT"):
+        return _Seen({""})
+    return _Seen()
+
+
+def trigram_query(pattern: str) -> list[list[str]]:
+    """Alternatives of trigrams of the lower-cased text, one of which every match of a pattern holds in full; none if
+    some match may hold no trigram that is known. Patterns are of the kind that Java and Python read alike."""
+    parsed = re._parser.parse(pattern)
+    query = _plain(_follow(parsed).spelt())
+    return [] if any(not x for x in query) else [sorted(x) for x in query]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``needles``: one of these lower-cased literals stands in every match; none: scan fully."""
+    """A pattern, the group whose length counts, and the least length."""
 
     kind: str
     pattern: str
-    needles: tuple[str, ...]
     group: int = 0
     at_least: int = 1
 
     def query(self) -> list[list[str]]:
-        return [trigrams(x) for x in self.needles]
-
-
-def trigrams(text: str) -> list[str]:
-    return sorted({text[i:i + 3] for i in range(len(text) - 2)})
+        return trigram_query(self.pattern)
 
 
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-         ("password", "passwd", "secret", "token", "apikey", "api_key"), 2, 8),
-    Rule("access", "AKIA[A-Z0-9]+", ("akia",), 0, 16),
-    Rule("hex", "[0-9a-f]+", (), 0, 32),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", ("private key-----",)),
-    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", "[0-9a-f]+", 0, 32),
+    Rule("private_key", "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
+    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -89,7 +190,6 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         F.transform(sizes, F.length).alias("g"),
     )
     nothing = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    begin = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
 
     def step(state, x):
         start = state["at"] + x["gap"]
@@ -98,7 +198,20 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
             F.concat(state["out"], F.array(one)))
         return F.struct((start + x["n"]).alias("at"), added.alias("out"))
 
-    return F.aggregate(each, begin, step, lambda s: s["out"])
+    first = F.array(F.struct(F.lit(0).alias("at"), nothing.alias("out")))
+
+    def run(done, some):
+        begin = F.struct(F.element_at(done, -1)["at"].alias("at"), nothing.alias("out"))
+        return F.concat(done, F.array(F.aggregate(some, begin, step)))
+
+    def placed(matches):
+        # An array grows by copying, so it is put together from short ones.
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(matches) - 1, F.lit(0)), F.lit(PLACES)),
+                           lambda i: F.slice(matches, i + 1, F.lit(PLACES)))
+        return F.aggregate(runs, first, run, lambda done: F.flatten(F.transform(done, lambda x: x["out"])))
+
+    # Bound to a variable, so that the text is searched once and not for every run.
+    return F.element_at(F.transform(F.array(each), placed), 1)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,7 +219,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     NULL texts have no spans. Rows of one doc_id are told apart by their text.
     """
-    indexed = tuple(r for r in rules if r.needles)
+    indexed = tuple(r for r in rules if r.query())
     wanted = sorted({t for r in indexed for alternative in r.query() for t in alternative})
     may = candidates(postings(docs, wanted), indexed).withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k")
     keyed = docs.select("doc_id", text_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -114,7 +227,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     parts = []
     for order, rule in enumerate(rules):
         all_spans = spans(F.col("text"), rule, order)
-        if rule.needles:
+        if rule in indexed:
             nothing = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
             all_spans = F.when(F.array_contains("kinds", rule.kind), all_spans).otherwise(nothing)
         parts.append(all_spans)

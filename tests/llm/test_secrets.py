@@ -1,9 +1,12 @@
 """Secret scans against a plain search with Python's own patterns."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from geolantern.llm import secrets
 
@@ -64,5 +67,66 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("rule", secrets.RULES)
-def test_needles_hold(rule):
-    assert all(len(n) >= 3 for n in rule.needles)
+def test_queries_are_derived(rule):
+    assert all(len(t) == 3 for alternative in rule.query() for t in alternative)
+    assert bool(rule.query()) == (rule.kind != "hex")
+
+
+def test_what_matches_satisfies_the_query():
+    """Random patterns over few letters against all short texts of random letters."""
+    rng = random.Random(1)
+
+    def pattern(depth):
+        kind = rng.randrange(9 if depth else 3)
+        if kind < 3:
+            return rng.choice(["a", "b", "ab", "abc", "[ab]", "[a-c]", "c_", "[^a]", "."])
+        if kind < 6:
+            return pattern(depth - 1) + pattern(depth - 1)
+        if kind == 6:
+            return f"(?:{pattern(depth - 1)}|{pattern(depth - 1)})"
+        return f"(?:{pattern(depth - 1)})" + rng.choice(["?", "*", "+", "{2}", "{1,3}", "{0,2}"])
+
+    told = 0
+    for _ in range(400):
+        one = pattern(4)
+        query = secrets.trigram_query(one)
+        told += bool(query)
+        for _ in range(60):
+            text = "".join(rng.choice("abc_") for _ in range(rng.randrange(14)))
+            if query and re.search(one, text):
+                assert any(all(t in text for t in alternative) for alternative in query), (one, text)
+    assert told > 50
+
+
+@pytest.mark.parametrize(("pattern", "query"), [
+    ("(?i:ABC)D?e", None), ("x(foo|bar)", None), (".*", []), ("(ab)+", []), ("^needle$", [["dle", "edl", "eed", "nee"]]),
+    ("abc|d", []), ("a[0-9]+bcd", [["bcd"]]),
+])
+def test_known_queries(pattern, query):
+    found = secrets.trigram_query(pattern)
+    if pattern == "x(foo|bar)":
+        assert found == [["foo", "xfo"], ["bar", "xba"]] or found == [["bar", "xba"], ["foo", "xfo"]]
+    elif pattern == "(?i:ABC)D?e":
+        assert sorted(map(tuple, found)) == [("abc", "bcd", "cde"), ("abc", "bce")]
+    else:
+        assert found == query
+
+
+def test_a_rule_of_a_pattern_alone(spark):
+    rule = secrets.Rule("phone", r"tel:\+[0-9]{5,}")
+    docs = spark.createDataFrame([(1, "x tel:+123456 y"), (2, "tel: none"), (3, "Tel:+1234567")], "doc_id long, text string")
+    assert rule.query() == [["el:", "l:+", "tel"]]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, (rule,)).select("doc_id", secrets.listed(F.col("found")).alias("spans")).collect()}
+    assert got == {1: "phone:2:13", 2: "", 3: ""}
+
+
+def test_many_matches_in_one_text(spark):
+    one = "0123456789abcdef" * 2
+    text = (one + " x ") * 100_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secrets.digest(secrets.scan(spark.createDataFrame([(1, "warm up")], "doc_id long, text string"))).collect()
+    began = time.perf_counter()
+    row = secrets.digest(secrets.scan(docs)).first()
+    assert row["n_hex"] == 100_000 and time.perf_counter() - began < 60
+    want = ",".join(f"hex:{i * 35}:{i * 35 + 32}" for i in range(100_000))
+    assert row["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
