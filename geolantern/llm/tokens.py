@@ -16,6 +16,8 @@ of the shard's partition; the number of ids of each partition is stored with its
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,9 +130,8 @@ class Encoder:
 
 def worker_encoder(vocabulary: str, end: int | None) -> Encoder:
     """An encoder that the next tasks of the same Python worker use again, with what it has learnt."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    # A module of this library's own in the worker: code that comes with a task leaves none.
+    kept = sys.modules.setdefault("_geolantern_worker", types.ModuleType("_geolantern_worker")).__dict__.setdefault("encoders", {})
     key = (zlib.crc32(vocabulary.encode()), len(vocabulary), end)
     if key not in kept:
         kept.clear()
@@ -259,6 +260,7 @@ class Shard:
 def write(docs: DataFrame, path: str, vocab: str | None = None, end: int = END_ID) -> None:
     """Shards of all rows of ``docs(doc_id, text)`` in ascending doc_id order (NULL first, then by text).
 
+    Ranges go by id and text, so that rows of one id, or none, are not one task.
     Rows (part, shard, offset, n_ids, doc_ids, data) as Parquet. NULL texts are empty documents. A
     task streams its range of ids and holds one shard at a time; it may be run again at will.
     """
@@ -294,7 +296,8 @@ def write(docs: DataFrame, path: str, vocab: str | None = None, end: int = END_I
         if held:
             yield close()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
+        "doc_id", "text").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(run, "part int, shard int, offset long, n_ids long, doc_ids array<bigint>, data binary").write.parquet(path)
 
 
