@@ -58,15 +58,23 @@ r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1
 w AS (SELECT *, CAST(1 + rank % 3 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS bound FROM r),
 l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(bound) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
   FROM w WINDOW f AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(bound, weight * (SELECT max(level) FROM l)) AS target FROM l),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT source, source_size, least(bound, weight * (SELECT max(level) FROM l)) AS target, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][1 + rank % 3] AS a FROM l),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.a,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-  CAST(size * ((middle <= target)::INT + (middle + source_size <= target)::INT + (middle + 2 * source_size <= target)::INT) AS BIGINT) AS taken
+  CAST(size * ((middle <= target)::INT + (middle + source_size <= target)::INT + (middle + 2 * source_size <= target)::INT) AS BIGINT) AS taken,
+  array_to_string(list_transform(list_transform(list_filter([middle, middle + source_size, middle + 2 * source_size], lambda d: d <= target AND size > 0),
+    lambda d: least(greatest(d / target, 0.0::DOUBLE), 1.0::DOUBLE)),
+    lambda x: CAST(round(1e9::DOUBLE * (2 * x / ((1 - a) + sqrt((1 - a) * (1 - a) + 4 * a * x)))) AS BIGINT)), ',') AS positions
 FROM c""")
 def op7_mixing(spark, sf):
-    return mixing.mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Training positions are in billionths; rows are range-sorted by the first of them, those not taken last."""
+    mixed = mixing.mix(read(spark, sf, "documents"))
+    order = [F.asc_nulls_last("first"), F.asc("doc_id")]
+    ordered = mixed.withColumn("first", F.array_min("positions")).repartitionByRange(*order).sortWithinPartitions(*order)
+    billionths = F.transform("positions", lambda x: F.round(x * 1e9).cast("long").cast("string"))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.array_join(billionths, ",").alias("positions"))
 
 
 @query()
@@ -208,7 +216,8 @@ def op12_merkle(spark, sf):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 u AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
 h AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM u),
 r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
