@@ -23,6 +23,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_key
+
 END_ID = 2
 #: Ids in a shard; a document is never split, so one long document may make a larger shard.
 SHARD_IDS = 1_000_000
@@ -258,9 +260,9 @@ class Shard:
 
 
 def write(docs: DataFrame, path: str, vocab: str | None = None, end: int = END_ID) -> None:
-    """Shards of all rows of ``docs(doc_id, text)`` in ascending doc_id order (NULL first, then by text).
+    """Shards of all rows of ``docs(doc_id, text)`` in ascending doc_id order (NULL first, then by a hash of the text).
 
-    Ranges go by id and text, so that rows of one id, or none, are not one task.
+    Ranges go by id and that hash, so that rows of one id, or none, are not one task.
     Rows (part, shard, offset, n_ids, doc_ids, data) as Parquet. NULL texts are empty documents. A
     task streams its range of ids and holds one shard at a time; it may be run again at will.
     """
@@ -296,8 +298,9 @@ def write(docs: DataFrame, path: str, vocab: str | None = None, end: int = END_I
         if held:
             yield close()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
-        "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # The sample that ranges are drawn from holds their keys, so no text is one.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
+    ranged = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text").drop("key")
     ranged.mapInArrow(run, "part int, shard int, offset long, n_ids long, doc_ids array<bigint>, data binary").write.parquet(path)
 
 
