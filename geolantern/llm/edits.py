@@ -3,8 +3,14 @@
 A text is walked by shared random walks: at step j the walk stands on a character, and a random bit
 of (j, character) says whether it moves on. The characters met, step by step, are an embedding in
 which a few edits change few places, since two walks that part over an edit soon fall into step
-again. The fingerprint samples the places of the embedding, one hex digit each. A text of any
-length is one unbroken walk, so a shift by some characters is made up for once, not in every part.
+again. The fingerprint samples the places of the embedding, one hex digit each.
+
+A shift by s characters takes a walk some s * s steps to make up for. So walks set out from places
+that the text itself picks, by the least hash of a few characters, onwards and back. Two pairs
+set out in the first half: what a header in front changes is only the far end of the way back. For
+a third set the text is cut at a picked place, both parts again, and each of the PIECES is walked from a
+place of its own, so that an insertion moves only its own piece. Texts are as like as the best of
+the three says.
 
 Sampled places are nested: longer texts use every second, fourth, ... of them, so fingerprints of
 texts of any lengths share places. Bands of digits bring likely neighbours together.
@@ -29,6 +35,9 @@ CHUNK, SIDE = 4_000_000, 16
 STRIDE = 256
 #: A step has a random bit for each of so many kinds of characters; kind KINDS, the end of a text, never moves on.
 KINDS = 30
+#: Times that a text is walked whole, pieces that are walked each by itself (a power of two), and the
+#: characters that a place is picked by.
+WHOLE, PIECES, PICKED_BY = 2, 4, 9
 BANDS, DIGITS = 16, 8
 SEED = 20_25
 
@@ -69,44 +78,98 @@ def _bits(stride: int) -> list[int]:
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """``<length in hex>:<a hex digit per sampled place>`` of each text; equal texts give equal ones."""
+    """``<length in hex>:<onwards>-<back>:<the same from another place>:<...of each piece>`` of each text, a hex digit per sampled place.
+
+    Equal texts give equal prints, whatever texts are beside them.
+    """
     out, held, size = [], [], 0
     for text in texts:
         held.append(text)
         size += len(text)
         if size >= CHUNK:
-            out.extend(_walk(held))
+            out.extend(_prints(held))
             held, size = [], 0
-    return out + (_walk(held) if held else [])
+    return out + (_prints(held) if held else [])
+
+
+def _prints(texts: list[str]) -> list[str]:
+    import numpy as np
+
+    mark, first = _marks(texts)
+    some = mark[:-6] * np.uint32(0x9E3779B1) + mark[3:-3] * np.uint32(0x7FEB352D) + mark[6:] * np.uint32(0x846CA68B)
+    some ^= some >> np.uint32(16)
+    some *= np.uint32(0x21F0AAAD)
+    some ^= some >> np.uint32(15)
+    other = (some ^ np.uint32(0x3C6EF372)) * np.uint32(0x735A2D97)
+    other ^= other >> np.uint32(15)
+
+    def pick(ranks, low: int, high: int, last: int) -> int:
+        high = min(high, last - PICKED_BY - 2)
+        return low if high <= low else low + int(ranks[low:high].argmin())
+
+    pieces, starts, levels, each = [], [], [], WHOLE + PIECES
+    for text, at in zip(texts, first.tolist()):
+        end = at + len(text)
+        parts = [(at, end)]
+        while len(parts) < PIECES:
+            cuts = [pick(other, a + (b - a) // 8, b - (b - a) // 8, end) for a, b in parts]
+            parts = [half for (a, b), cut in zip(parts, cuts) for half in ((a, cut), (cut, b))]
+        pieces += [text] * WHOLE + [text[a - at:b - at] for a, b in parts]
+        starts += [pick(ranks, at, at + len(text) // 2, end) - at for ranks in (some, other)]
+        # The characters that a piece's place is picked by lie within it.
+        starts += [pick(other, a + (b - a) // 8, b - (b - a) // 8, b) - a for a, b in parts]
+        levels += [level(len(text))] * each
+    ways = _walk(pieces, starts, levels)
+    out = []
+    for i, text in zip(range(0, len(ways), each), texts):
+        out.append(":".join([f"{len(text):x}", *ways[i:i + WHOLE], "-".join(ways[i + WHOLE:i + each])]))
+    return out
 
 
-def _walk(texts: list[str]) -> list[str]:
+def _marks(texts: list[str]):
+    """A hash of each character with the two after it, and where each text begins.
+
+    Three closing characters lie before and after each text: no context reaches into the next one.
+    """
     import numpy as np
 
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    lengths = np.array([len(texts[i]) for i in order], dtype=np.int64)
-    # Three closing characters each: no context reaches into the next text.
-    joined = "\0\0\0".join([texts[i] for i in order]) + "\0\0\0"
+    joined = "\0\0\0" + "\0\0\0".join(texts) + "\0" * 9
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     mark = codes[:-2] * np.uint32(0x85EBCA6B) + codes[1:-1] * np.uint32(0xC2B2AE35) + codes[2:] * np.uint32(0x27D4EB2F)
     mark ^= mark >> np.uint32(15)
     mark *= np.uint32(0x2C1B3C6D)
     mark ^= mark >> np.uint32(13)
-    at = np.concatenate([[0], np.cumsum(lengths + 3)[:-1]])
-    ends = at + lengths
-    kinds = mark % np.uint32(KINDS)
-    kinds[ends] = KINDS
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    return mark, 3 + np.concatenate([[0], np.cumsum(sizes + 3)[:-1]])
+
+
+def _walk(texts: list[str], starts: list[int], halved: list[int]) -> list[str]:
+    """``<digits onwards>-<digits back>`` of each text from its start, at sampled places of the given level."""
+    import numpy as np
+
+    mark, first = _marks(texts)
+    sizes, starts = np.array([len(t) for t in texts], dtype=np.int64), first + np.array(starts, dtype=np.int64)
+    kinds = (mark % np.uint32(KINDS)).astype(np.uint8)
     digits = ((mark >> np.uint32(7)) & np.uint32(15)).astype(np.uint8)
-    levels = np.array([level(n) for n in lengths.tolist()])
+    for stop in (first - 1, first + sizes):
+        kinds[stop], digits[stop] = KINDS, 0
+    # All walks of all texts, onwards and back, the longest ways first.
+    onwards, back = first + sizes - starts, starts - first
+    lengths = np.concatenate([onwards, back])
+    order = np.argsort(-lengths, kind="stable")
+    lengths = lengths[order]
+    at = np.concatenate([starts, starts - 1])[order]
+    ahead = np.repeat(np.array([1, -1], dtype=np.int64), len(onwards))[order]
+    levels = np.tile(halved, 2)[order]
     alike = [(int(k), np.flatnonzero(levels == k)) for k in np.unique(levels)]
     got = {k: [np.zeros((0, len(who)), dtype=np.uint8)] for k, who in alike}
-    stride = 0
+    stride, now = 0, at.copy()
     while (left := int((2 * lengths > stride * STRIDE).sum())) >= SIDE:
         path = np.empty((STRIDE, left), dtype=np.int64)
-        now = at[:left]
+        now, way = now[:left], ahead[:left]
         for j, b in enumerate(_bits(stride)):
             path[j] = now
-            now += (np.uint32(b) >> kinds[now]) & np.uint32(1)
+            now += way * (np.uint32(b) >> kinds[now] & np.uint32(1))
         for k, who in alike:
             if who[0] < left:
                 some = _between(k, stride)
@@ -114,17 +177,18 @@ def _walk(texts: list[str]) -> list[str]:
                 on = who[who < left]
                 got[k][-1][:, :len(on)] = digits[path[some][:, on]]
         stride += 1
-    out = [""] * len(texts)
+    out = [""] * len(order)
     for k, who in alike:
-        side = np.concatenate(got[k])
+        side, spots = np.concatenate(got[k]), places(k)
         for column, i in enumerate(who.tolist()):
             n, found = int(lengths[i]), [side[:, column]]
             if 2 * n > stride * STRIDE:
-                kept = kinds[at[i]:ends[i] + 1].astype(np.uint8).tobytes()
-                found.append(digits[int(at[i]) + _alone(kept, k, stride, 2 * n)])
-            own = np.concatenate(found)[:np.searchsorted(places(k), 2 * n)]
-            out[order[i]] = f"{n:x}:" + (own + np.where(own < 10, 48, 87)).astype(np.uint8).tobytes().decode()
-    return out
+                here, way = int(now[i]), int(ahead[i])
+                rest = slice(here, None if here + way * (n + 1) < 0 else here + way * (n + 1), way)
+                found.append(digits[rest][_alone(kinds[rest].tobytes(), k, stride, 2 * n)])
+            own = np.concatenate(found)[:np.searchsorted(spots, 2 * n)]
+            out[order[i]] = (own + np.where(own < 10, 48, 87)).astype(np.uint8).tobytes().decode()
+    return [f"{a}-{b}" for a, b in zip(out[:len(texts)], out[len(texts):])]
 
 
 def _between(halved: int, stride: int):
@@ -153,11 +217,12 @@ def _alone(kinds: bytes, halved: int, stride: int, steps: int):
 
 
 def _read(print_: str):
+    """Length, level, and the digits of the ways of the whole text and of its pieces."""
     import numpy as np
 
-    n, digits = print_.split(":")
+    n, *walks = print_.split(":")
     n = int(n, 16)
-    return n, np.frombuffer(digits.encode(), dtype=np.uint8), level(n)
+    return n, level(n), [[np.frombuffer(way.encode(), dtype=np.uint8) for way in w.split("-")] for w in walks]
 
 
 def _coarser(digits, own: int, wanted: int):
@@ -171,17 +236,20 @@ def _coarser(digits, own: int, wanted: int):
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: share of equal digits at the common places, less what chance gives; 1 for equal prints."""
+    """0 to 1: share of equal digits at the common places by the best set of walks, less what chance gives; 1 for equal prints."""
     if a == b:
         return 1.0
-    (_, x, lx), (_, y, ly) = _read(a), _read(b)
-    common = max(lx, ly)
-    x, y = _coarser(x, lx, common), _coarser(y, ly, common)
-    longer, shorter = max(len(x), len(y)), min(len(x), len(y))
-    if not longer:
-        return 0.0
-    equal = float((x[:shorter] == y[:shorter]).sum()) / longer
-    return max(0.0, (equal - 1 / 16) / (15 / 16))
+    (_, own, xs), (_, other, ys) = _read(a), _read(b)
+    common, best = max(own, other), 0.0
+    for x, y in zip(xs, ys):
+        equal = every = 0
+        for p, q in zip(x, y):
+            p, q = _coarser(p, own, common), _coarser(q, other, common)
+            shorter = min(len(p), len(q))
+            equal += int((p[:shorter] == q[:shorter]).sum())
+            every += max(len(p), len(q))
+        best = max(best, equal / every if every else 0.0)
+    return max(0.0, (best - 1 / 16) / (15 / 16))
 
 
 def edited(text: str, following: str) -> str:
@@ -272,22 +340,37 @@ def prints(docs: DataFrame) -> DataFrame:
                      "doc_id long, key long, fingerprint string", run)
 
 
+@lru_cache(maxsize=1024)
+def _picks(reach: int):
+    """The places of each band's digits among the first ``reach`` sampled ones.
+
+    Each digit takes the place of the least hash, so that texts of a few places more or fewer mostly pick alike.
+    """
+    import numpy as np
+
+    ranks = _mix(np.arange(BANDS * DIGITS, dtype=np.uint64)[:, None] * np.uint64(1 << 20) + np.arange(reach, dtype=np.uint64))
+    return ranks.argmin(axis=1).reshape(BANDS, DIGITS)
+
+
 def bands(print_: str) -> list[int]:
-    """Keys of a print's bands, at its own level and the next coarser one; short prints have one key."""
+    """Keys of a print's bands, at its own level and the next coarser one; bands take turns over the ways.
+
+    A way of few digits is met as all of them together, a print of few digits has one key.
+    """
     import numpy as np
 
-    n, digits, own = _read(print_)
+    _, own, walks = _read(print_)
     out = []
-    for wanted in (own, own + 1):
-        some = _coarser(digits, own, wanted)
-        if len(some) < DIGITS:
-            picks = [np.arange(len(some))]
-        else:
-            reach = 1 << (len(some).bit_length() - 1)  # texts of nearly one length sample the same places
-            picks = [_mix(np.arange(DIGITS) + 97 * b + SEED) % np.uint64(reach) for b in range(BANDS)]
-        for b, pick in enumerate(picks):
-            data = bytes([wanted, b]) + some[pick.astype(np.int64)].tobytes()
-            out.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True))
+    for walk, ways in enumerate(walks):
+        for wanted in (own, own + 1):
+            cut = [_coarser(w, own, wanted) for w in ways]
+            for b in range(BANDS):
+                some = cut[b % len(cut)]
+                if len(some) < DIGITS:
+                    some = np.concatenate(cut)
+                picked = some[_picks(len(some))[b]] if len(some) >= DIGITS else some
+                data = bytes([walk, wanted, b if len(some) >= DIGITS else BANDS]) + picked.tobytes()
+                out.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True))
     return out
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from geolantern.llm import edits
 
 ROWS = [(5, "abc " * 40), (3, None), (9, ""), (4, "é😀x" * 9000), (None, "last"), (7, "abc " * 40), (7, "zz top"), (1, "a")]
@@ -49,15 +51,43 @@ def test_likeness():
     assert 0.2 < edits.likeness(a, longer) < 1
 
 
-def test_a_shift_of_a_long_text():
-    rng = random.Random(7)
+def shifted(size, shift, front, many):
+    """Likeness of texts to copies with other characters put in, and whether their bands meet."""
+    rng = random.Random(size + shift)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
-    near = []
-    for _ in range(6):
-        text = " ".join(rng.choice(words) for _ in range(25_000))[:100_000]
-        header = "".join(rng.choice("ABCDEFGH ") for _ in range(100))
-        near.append(edits.likeness(*edits.fingerprints([text, header + text])))
-    assert sorted(near)[3] > 0.35, near
+    near, met = [], []
+    for _ in range(many):
+        text = " ".join(rng.choice(words) for _ in range(size // 4))[:size]
+        more = "".join(rng.choice("ABCDEFGH ") for _ in range(shift))
+        at = 0 if front else rng.randrange(size)
+        a, b = edits.fingerprints([text, text[:at] + more + text[at:]])
+        near.append(edits.likeness(a, b))
+        met.append(bool(set(edits.bands(a)) & set(edits.bands(b))))
+    return near, met
+
+
+@pytest.mark.parametrize("size, many", [(2_000, 24), (20_000, 12), (100_000, 6)])
+@pytest.mark.parametrize("shift", [20, 100])
+def test_headers_in_front(size, many, shift):
+    near, met = shifted(size, shift, True, many)
+    assert sum(x >= 0.8 for x in near) >= 0.9 * many, near
+    assert all(m for x, m in zip(near, met) if x >= 0.8)
+
+
+@pytest.mark.parametrize("size, shift, many", [(20_000, 20, 12), (100_000, 100, 6)])
+def test_insertions_anywhere(size, shift, many):
+    near, met = shifted(size, shift, False, many)
+    assert sum(x >= 0.8 for x in near) >= 0.9 * many, near
+    assert all(m for x, m in zip(near, met) if x >= 0.8)
+
+
+def test_prints_do_not_depend_on_neighbours():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc é😀\n") for _ in range(n)) for n in (0, 1, 2, 8, 11, 12, 40, 300, 5000, 70_000)]
+    alone = [edits.fingerprints([t])[0] for t in texts]
+    assert edits.fingerprints(texts) == alone and edits.fingerprints(texts[::-1]) == alone[::-1]
+    assert edits.fingerprints(texts * 9) == alone * 9
+    assert [edits.likeness(a, a) for a in alone] == [1.0] * len(alone)
 
 
 def test_near_duplicates(spark):
