@@ -28,7 +28,7 @@ from ..session import materialize
 from .common import components, map_arrow, text_key
 
 #: A text's sampled places lie between this and twice this, if it has as many steps.
-PLACES = 128
+PLACES = 64
 #: Code points walked side by side, and the fewest texts that are; the rest of the longest texts is walked one by one.
 CHUNK, SIDE = 4_000_000, 16
 #: Steps taken before the sampled places among them are read off.
@@ -77,6 +77,15 @@ def _bits(stride: int) -> list[int]:
     return (_mix(steps + np.uint64(SEED)) >> np.uint64(64 - KINDS)).tolist()
 
 
+@lru_cache(maxsize=1024)
+def _moves(stride: int):
+    """For each step of a stride, by how much it moves on from each kind of character."""
+    import numpy as np
+
+    bits = np.array(_bits(stride), dtype=np.int64)[:, None]
+    return bits >> np.arange(KINDS + 1) & 1
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """``<length in hex>:<onwards>-<back>:<the same from another place>:<...of each piece>`` of each text, a hex digit per sampled place.
 
@@ -119,7 +128,10 @@ def _prints(texts: list[str]) -> list[str]:
         # The characters that a piece's place is picked by lie within it.
         starts += [pick(other, a + (b - a) // 8, b - (b - a) // 8, b) - a for a, b in parts]
         levels += [level(len(text))] * each
-    ways = _walk(pieces, starts, levels)
+    # A way back is a way onwards over the turned text.
+    ends = [way for text, start in zip(pieces, starts) for way in (text[start:], text[:start][::-1])]
+    walked = _walk(ends, [k for k in levels for _ in range(2)])
+    ways = [f"{a}-{b}" for a, b in zip(walked[::2], walked[1::2])]
     out = []
     for i, text in zip(range(0, len(ways), each), texts):
         out.append(":".join([f"{len(text):x}", *ways[i:i + WHOLE], "-".join(ways[i + WHOLE:i + each])]))
@@ -143,33 +155,26 @@ def _marks(texts: list[str]):
     return mark, 3 + np.concatenate([[0], np.cumsum(sizes + 3)[:-1]])
 
 
-def _walk(texts: list[str], starts: list[int], halved: list[int]) -> list[str]:
-    """``<digits onwards>-<digits back>`` of each text from its start, at sampled places of the given level."""
+def _walk(texts: list[str], halved: list[int]) -> list[str]:
+    """The digits at the sampled places of each text's level."""
     import numpy as np
 
-    mark, first = _marks(texts)
-    sizes, starts = np.array([len(t) for t in texts], dtype=np.int64), first + np.array(starts, dtype=np.int64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    lengths, levels = sizes[order], np.array(halved)[order]
+    mark, at = _marks([texts[i] for i in order.tolist()])
     kinds = (mark % np.uint32(KINDS)).astype(np.uint8)
-    digits = ((mark >> np.uint32(7)) & np.uint32(15)).astype(np.uint8)
-    for stop in (first - 1, first + sizes):
-        kinds[stop], digits[stop] = KINDS, 0
-    # All walks of all texts, onwards and back, the longest ways first.
-    onwards, back = first + sizes - starts, starts - first
-    lengths = np.concatenate([onwards, back])
-    order = np.argsort(-lengths, kind="stable")
-    lengths = lengths[order]
-    at = np.concatenate([starts, starts - 1])[order]
-    ahead = np.repeat(np.array([1, -1], dtype=np.int64), len(onwards))[order]
-    levels = np.tile(halved, 2)[order]
+    digits = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)[(mark >> np.uint32(7)) & np.uint32(15)]
+    kinds[at + lengths], digits[at + lengths] = KINDS, ord("0")
     alike = [(int(k), np.flatnonzero(levels == k)) for k in np.unique(levels)]
     got = {k: [np.zeros((0, len(who)), dtype=np.uint8)] for k, who in alike}
     stride, now = 0, at.copy()
     while (left := int((2 * lengths > stride * STRIDE).sum())) >= SIDE:
         path = np.empty((STRIDE, left), dtype=np.int64)
-        now, way = now[:left], ahead[:left]
-        for j, b in enumerate(_bits(stride)):
+        now = now[:left]
+        for j, moves in enumerate(_moves(stride)):
             path[j] = now
-            now += way * (np.uint32(b) >> kinds[now] & np.uint32(1))
+            now += moves[kinds[now]]
         for k, who in alike:
             if who[0] < left:
                 some = _between(k, stride)
@@ -177,18 +182,16 @@ def _walk(texts: list[str], starts: list[int], halved: list[int]) -> list[str]:
                 on = who[who < left]
                 got[k][-1][:, :len(on)] = digits[path[some][:, on]]
         stride += 1
-    out = [""] * len(order)
+    out = [""] * len(texts)
     for k, who in alike:
-        side, spots = np.concatenate(got[k]), places(k)
-        for column, i in enumerate(who.tolist()):
-            n, found = int(lengths[i]), [side[:, column]]
+        side, cuts = np.ascontiguousarray(np.concatenate(got[k]).T), np.searchsorted(places(k), 2 * lengths[who]).tolist()
+        for own, cut, i, n, here in zip(side, cuts, order[who].tolist(), lengths[who].tolist(), now[who[who < len(now)]].tolist() + [0] * len(who)):
+            print_ = own[:cut].tobytes()
             if 2 * n > stride * STRIDE:
-                here, way = int(now[i]), int(ahead[i])
-                rest = slice(here, None if here + way * (n + 1) < 0 else here + way * (n + 1), way)
-                found.append(digits[rest][_alone(kinds[rest].tobytes(), k, stride, 2 * n)])
-            own = np.concatenate(found)[:np.searchsorted(spots, 2 * n)]
-            out[order[i]] = (own + np.where(own < 10, 48, 87)).astype(np.uint8).tobytes().decode()
-    return [f"{a}-{b}" for a, b in zip(out[:len(texts)], out[len(texts):])]
+                rest = slice(here, here + n + 1)
+                print_ = (own.tobytes() + digits[rest][_alone(kinds[rest].tobytes(), k, stride, 2 * n)].tobytes())[:cut]
+            out[i] = print_.decode()
+    return out
 
 
 def _between(halved: int, stride: int):
@@ -216,13 +219,10 @@ def _alone(kinds: bytes, halved: int, stride: int, steps: int):
     return np.array(path, dtype=np.int64)
 
 
-def _read(print_: str):
-    """Length, level, and the digits of the ways of the whole text and of its pieces."""
-    import numpy as np
-
-    n, *walks = print_.split(":")
-    n = int(n, 16)
-    return n, level(n), [[np.frombuffer(way.encode(), dtype=np.uint8) for way in w.split("-")] for w in walks]
+def _ways(print_: str) -> tuple[int, list[list[bytes]]]:
+    """Level, and for each set of walks the digits of its ways."""
+    n, *sets = print_.encode().split(b":")
+    return level(int(n, 16)), [ways.split(b"-") for ways in sets]
 
 
 def _coarser(digits, own: int, wanted: int):
@@ -239,16 +239,19 @@ def likeness(a: str, b: str) -> float:
     """0 to 1: share of equal digits at the common places by the best set of walks, less what chance gives; 1 for equal prints."""
     if a == b:
         return 1.0
-    (_, own, xs), (_, other, ys) = _read(a), _read(b)
-    common, best = max(own, other), 0.0
+    import numpy as np
+
+    (own, xs), (other, ys), best = _ways(a), _ways(b), 0.0
     for x, y in zip(xs, ys):
-        equal = every = 0
-        for p, q in zip(x, y):
-            p, q = _coarser(p, own, common), _coarser(q, other, common)
-            shorter = min(len(p), len(q))
-            equal += int((p[:shorter] == q[:shorter]).sum())
-            every += max(len(p), len(q))
-        best = max(best, equal / every if every else 0.0)
+        if own != other:
+            x, y = ([_coarser(np.frombuffer(w, dtype=np.uint8), k, max(own, other)).tobytes() for w in ways]
+                    for ways, k in ((x, own), (y, other)))
+        longest = [max(len(p), len(q)) for p, q in zip(x, y)]
+        if every := sum(longest):
+            p = b"".join([w.ljust(n, b"<") for w, n in zip(x, longest)])
+            q = b"".join([w.ljust(n, b">") for w, n in zip(y, longest)])
+            equal = np.frombuffer(p, dtype=np.uint8) == np.frombuffer(q, dtype=np.uint8)
+            best = max(best, int(np.count_nonzero(equal)) / every)
     return max(0.0, (best - 1 / 16) / (15 / 16))
 
 
@@ -359,11 +362,11 @@ def bands(print_: str) -> list[int]:
     """
     import numpy as np
 
-    _, own, walks = _read(print_)
+    own, walks = _ways(print_)
     out = []
     for walk, ways in enumerate(walks):
         for wanted in (own, own + 1):
-            cut = [_coarser(w, own, wanted) for w in ways]
+            cut = [_coarser(np.frombuffer(w, dtype=np.uint8), own, wanted) for w in ways]
             for b in range(BANDS):
                 some = cut[b % len(cut)]
                 if len(some) < DIGITS:
