@@ -1018,6 +1018,25 @@ def dataset_queries(spark, sf):
     return workload.dataset_queries(fx.pois(spark, sf), 50, 21)
 
 
+_ASKED_KEY = "CASE WHEN qid%5=4 THEN 'near the river' ELSE tag_key END"
+
+
+@query(_knn_sql(f"qid%5<>4 AND {_HAS_KEY} AND {_IN_RADIUS}", radius=RADIUS_DEG, by="key", out=(
+    "SELECT 'custom' AS source, '' AS family, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(distance,3) AS distance "
+    "FROM r, (SELECT unnest([1,10]) AS k) WHERE rank <= k"
+)))
+def custom_workload(spark, sf):
+    """From a query file to answers: triples read, asked as tag keys, stored as statements, loaded and answered."""
+    path, stored_as = scratch_path(spark, "queries") + ".csv", scratch_path(spark, "workload") + "/custom"
+    lines = fx.queries(spark, sf, by="key").selectExpr("qid", f"concat_ws(',', {_ASKED_KEY}, lat, lon) AS value")
+    lines.repartitionByRange(4, "qid").sortWithinPartitions("qid").select("value").write.text(path)
+    asked = workload.custom_queries(query_files.read_queries(spark, path))
+    rows = workload.build_workload(asked, (1, 10), RADIUS_M, "custom", {}, order_by="geodesic")
+    workloads.write_statements(rows, stored_as, files=2)
+    found = workload.run_workload(fx.pois(spark, sf), workloads.load_workload(spark, stored_as).drop("experiment"), {})
+    return found.select("source", "family", "k", "qid", "rank", "id", F.round("distance", 3).alias("distance"))
+
+
 # --- evaluation ----------------------------------------------------------------------
 
 def _two_rankings(spark, sf):
@@ -1109,6 +1128,25 @@ def coherence_series(spark, sf):
     return series.select("qid", r6("coherence"))
 
 
+_TAG_WORDS = "concat_ws(' ', " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c} ' || {c} END" for c in ("amenity", "shop", "name")) + ")"
+
+
+@query(with_sql(
+    fx.P, fx.q_sql(RADIUS_DEG), *_COHERENCE[:-1],
+    f"jt AS (SELECT id, {_TAG_WORDS} AS t FROM p WHERE id IN (SELECT id FROM tr))",
+    fx.tokens_sql("jt", "id", "t", "tok", SEMANTIC_DIM), fx.dense_sql("jt", "id", "tok", "sem", SEMANTIC_DIM),
+    "co AS (SELECT a.qid, avg(list_cosine_similarity(x.vec, y.vec)) AS coherence FROM tr a JOIN tr b ON a.qid=b.qid "
+    "JOIN sem x ON x.id=a.id JOIN sem y ON y.id=b.id GROUP BY a.qid)",
+    select="SELECT q.qid, round(coalesce(coherence,0),6) AS coherence FROM q LEFT JOIN co ON co.qid=q.qid",
+))
+def coherence_from_tags(spark, sf):
+    """Coherence of results without stored vectors, from the texts of their tags."""
+    asked = fx.queries(spark, sf, RADIUS_DEG)
+    found = search.keyword_search(fx.pois(spark, sf), asked, K).select("qid", "rank", "id", "tags")
+    with_vectors = metrics.with_tag_vectors(found, encode.HashingEncoder(SEMANTIC_DIM))
+    return metrics.coherence_series(with_vectors, "embedding", asked).select("qid", r6("coherence"))
+
+
 @query(with_sql(fx.EV, fx.q_sql(RADIUS_DEG), *_COHERENCE, select="SELECT round(avg(coherence),4) AS coherence FROM co"))
 def coherence_at_k(spark, sf):
     return metrics.coherence_at_k(_results_with_vectors(spark, sf), "embedding")
@@ -1436,6 +1474,40 @@ def compare_methods(spark, sf):
     return found.select("method", "source", "k", "qid", "rank", "id", F.round("distance", 3).alias("distance"), r6("similarity"))
 
 
+_SCENARIO_M = "m AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{METHOD_FAMILY[m]}')" for m in _METHODS) + ") t(method, family))"
+
+
+def _scenario(spark, sf):
+    vectors = _family_points(spark, sf)
+    embed = {f: lambda points, c=c: points.join(vectors.select("id", c), "id") for f, c in FAMILY_VECTORS.items()}
+    return compare.run_scenario(
+        fx.pois(spark, sf), _family_queries(spark, sf, RADIUS_DEG), _METHODS, (1, 10), embed, FAMILY_VECTORS)
+
+
+@query(with_sql(
+    fx.EV, fx.q_sql(RADIUS_DEG), fx.QV, *_families_sql(False), _SCENARIO_M,
+    select="SELECT method, 'dataset' AS source, CAST(k AS INT) AS k, qid, CAST(rank AS INT) AS rank, id, round(round(distance,6),3) AS distance, round(similarity,6) AS similarity "
+           "FROM r JOIN m USING (family), (SELECT unnest([1,10]) AS k) WHERE rank <= k",
+))
+def scenario_run(spark, sf):
+    """Embeddings and access tables built by the run, each method asked by its own path."""
+    found, _ = _scenario(spark, sf)
+    return found.select("method", "source", "k", "qid", "rank", "id", F.round("distance", 3).alias("distance"), r6("similarity"))
+
+
+@query(with_sql(
+    fx.P, _SCENARIO_M, "n AS (SELECT count(*) AS points, count(amenity) + count(shop) + count(name) AS tags FROM p)",
+    select="SELECT method, phase, CAST(CASE WHEN phase = 'insert' OR (phase = 'embed' AND family <> '') THEN points "
+           "WHEN phase = 'index' AND method IN ('spatial_index', 'spatial_and_pgvector_embedding') THEN points "
+           "WHEN phase = 'index' AND method IN ('keyword_index', 'spatial_keyword_index') THEN points + 2 * tags ELSE 0 END AS BIGINT) AS rows, "
+           "true AS timed FROM m, n, (SELECT unnest(['insert', 'embed', 'index']) AS phase)",
+))
+def scenario_measures(spark, sf):
+    """Rows written per method and phase before its queries, every phase timed."""
+    _, measures = _scenario(spark, sf)
+    return measures.where("phase <> 'query' AND k = 10").select("method", "phase", "rows", (F.col("seconds") >= 0).alias("timed"))
+
+
 def _sweep_sql(scores: str, ctes, base: str, first=fx.EV) -> str:
     return with_sql(
         first, fx.q_sql(), fx.QV, *ctes, f"c AS ({scores})".replace("{base}", base),

@@ -8,69 +8,105 @@ from pyspark.sql import types as T
 
 from ..constants import KM_PER_DEGREE
 from ..functions.geo import bbox_stats
+from ..session import materialize
 
 _BINS = 4096
 # Distinct values of one narrowed range that may be ranked on the driver.
 _FEW = 100_000
+# A sketch's error in ranks is at most the number of rows over this.
+_SKETCH = 10_000
 
 
 def order_statistics(df: DataFrame, targets: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
     """Exact value of the r-th smallest (from 1) of a double column, for all targets.
 
-    Each pass counts values in equal-width bins of the range that holds the target and
-    keeps the bin with the target, until it has few distinct values. A pass is one
-    aggregate of at most a fixed number of groups per target; nothing is sorted.
+    ``df`` is read twice: for a mergeable sketch, whose neighbouring quantiles enclose each
+    rank, and for the counts of the values between them, which are written. The rank is
+    found among those, a few rows in ten thousand. A rank that the sketch failed to enclose is
+    looked for in the whole range. NULLs do not count; nothing is sorted.
     """
     columns = sorted({c for c, _ in targets})
-    ends = df.agg(*[f(c).alias(f"{c}|{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    state = {t: (ends[f"{t[0]}|lo"], ends[f"{t[0]}|hi"], t[1]) for t in targets}
-    found: dict[tuple[str, int], float] = {}
-    while state:
+    counts = df.agg(*[F.count(c).alias(c) for c in columns], *[
+        F.percentile_approx(c, [i / _BINS for i in range(_BINS + 1)], _SKETCH).alias(f"{c}|marks") for c in columns]).first()
+    spans = {}
+    for column, rank in targets:
+        n, marks = counts[column], counts[f"{column}|marks"]
+        if not 1 <= rank <= n:
+            raise ValueError(f"{column} has no value of rank {rank}")
+        slack = n / _SKETCH + 1
+        low, high = int((rank - slack) / n * _BINS), int((rank + slack) / n * _BINS) + 1
+        spans[column, rank] = marks[low] if low > 0 else None, marks[high] if high < _BINS else None
+    found, left = _enclosed(df, spans)
+    if left:
+        found |= _enclosed(df, {t: (None, None) for t in left})[0]
+    return found
+
+
+def _enclosed(df: DataFrame, spans: dict[tuple[str, int], tuple]) -> tuple[dict[tuple[str, int], float], list]:
+    """The targets found between the given ends (None: none), by one read of ``df``, and those that are not there."""
+    names, picks = list(spans), []
+    for i, (column, rank) in enumerate(names):
+        (low, high), value = spans[column, rank], F.col(column)
+        place = F.when(value < F.lit(low), F.lit(None)).otherwise(value) if low is not None else value
+        inside = value.isNotNull() if high is None else value <= F.lit(high)
+        picks.append(F.when(inside, F.struct(F.lit(i).alias("t"), place.alias("v"))))
+    rows = df.select(F.explode(F.array_compact(F.array(*picks))).alias("p")).select("p.*")
+    stored = materialize(rows.groupBy("t", "v").agg(F.count("*").alias("n")), "profile-values")
+    below = {r["t"]: r["n"] for r in stored.where("v IS NULL").collect()}  # one row per target
+    stored = stored.where("v IS NOT NULL")
+    ends = {r["t"]: r for r in stored.groupBy("t").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n")).collect()}
+    state, left = {}, []
+    for i, target in enumerate(names):
+        rank = target[1] - below.get(i, 0)
+        if i in ends and 1 <= rank <= ends[i]["n"]:
+            state[i] = ends[i]["lo"], ends[i]["hi"], rank
+        else:
+            left.append(target)
+    return {names[i]: v for i, v in _ranked(stored, state).items()}, left
+
+
+def _ranked(values: DataFrame, state: dict[int, tuple]) -> dict[int, float]:
+    """Of values (t, v, n), n times each, the one of each target's rank within its range (lo, hi, rank).
+
+    Ranges are narrowed by counts in equal-width bins until they hold few distinct values.
+    """
+    found, state = {}, dict(state)
+    while True:
         for t, (lo, hi, _) in list(state.items()):
             if lo == hi:
                 found[t] = lo
                 del state[t]
         if not state:
-            break
-        names = list(state)
-        picks = []
-        for i, (column, rank) in enumerate(names):
-            lo, hi, _ = state[column, rank]
-            value = F.col(column)
-            width = (hi - lo) / _BINS
-            at = F.least(F.lit(_BINS - 1), F.floor((value - F.lit(lo)) / F.lit(width or 1.0)).cast("int"))
-            inside = value.between(F.lit(lo), F.lit(hi))
-            picks.append(F.when(inside, F.struct(F.lit(i).alias("t"), at.alias("bin"), value.alias("v"))))
-        rows = df.select(F.explode(F.array_compact(F.array(*picks))).alias("p")).select("p.*")
-        bins = rows.groupBy("t", "bin").agg(
-            F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ).orderBy("t", "bin").collect()  # at most _BINS rows per target
-        for i, target in enumerate(names):
-            rank = state[target][2]
-            for row in (r for r in bins if r["t"] == i):
+            return found
+
+        def within():
+            inside, at = F.lit(False), F.lit(0)
+            for t, (lo, hi, _) in state.items():
+                inside = inside | ((F.col("t") == t) & F.col("v").between(F.lit(lo), F.lit(hi)))
+                width = (hi - lo) / _BINS
+                place = F.least(F.lit(_BINS - 1), F.floor((F.col("v") - F.lit(lo)) / F.lit(width or 1.0)).cast("int"))
+                at = F.when(F.col("t") == t, place).otherwise(at)
+            return values.where(inside).withColumn("bin", at)
+
+        few = within().limit(_FEW + 1).collect()
+        if len(few) <= _FEW:
+            for row in sorted(few, key=lambda r: (r["t"], r["v"])):
+                t = row["t"]
+                if t not in found:
+                    lo, hi, rank = state[t]
+                    if rank <= row["n"]:
+                        found[t] = row["v"]
+                    state[t] = lo, hi, rank - row["n"]
+            return found
+        bins = within().groupBy("t", "bin").agg(
+            F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("t", "bin").collect()  # at most _BINS rows per target
+        for t in list(state):
+            rank = state[t][2]
+            for row in (r for r in bins if r["t"] == t):
                 if rank <= row["n"]:
-                    state[target] = (row["lo"], row["hi"], rank)
+                    state[t] = row["lo"], row["hi"], rank
                     break
                 rank -= row["n"]
-        names, picks = list(state), []
-        for i, (column, rank) in enumerate(names):
-            lo, hi, _ = state[column, rank]
-            value = F.col(column)
-            picks.append(F.when(value.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(i).alias("t"), value.alias("v"))))
-        rows = df.select(F.explode(F.array_compact(F.array(*picks))).alias("p")).select("p.*")
-        values = rows.groupBy("t", "v").agg(F.count("*").alias("n")).limit(_FEW + 1).collect()
-        if len(values) > _FEW:
-            continue  # ranges are still wide: narrow them once more
-        for row in sorted(values, key=lambda r: (r["t"], r["v"])):
-            target = names[row["t"]]
-            if target in found:
-                continue
-            lo, hi, rank = state[target]
-            if rank <= row["n"]:
-                found[target] = row["v"]
-            state[target] = (lo, hi, rank - row["n"])
-        state = {}
-    return found
 
 
 def numeric_profile(df: DataFrame, approximate: bool = False) -> DataFrame:

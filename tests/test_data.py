@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geolantern import session
 from geolantern.constants import METHOD_FAMILY, PREPOSITIONS
 from geolantern.functions import tags, text, vectors
 from geolantern.operators import encode, sampling, train
@@ -215,6 +216,36 @@ def test_order_statistics(spark):
     assert few == {("x", 1): ordered[0], ("x", 301): ordered[300], ("x", 1002): 1e9}
 
 
+def test_order_statistics_in_two_reads(spark):
+    """Many values, ties and gaps: every rank exact, each source row read twice at most."""
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=60_000), np.full(30_000, 0.25), rng.normal(1e12, 1, size=9_999), [-1e300]])
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 5, "x double").repartition(4)
+    path = session.scratch_path(spark, "ranks")
+    rows.write.parquet(path)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        reads.add(1)
+        return x
+
+    targets = [("x", r) for r in (1, 2, 50_000, 50_001, 59_999, 90_001, 100_000)]
+    got = profile.order_statistics(spark.read.parquet(path).select(seen("x").alias("x")), targets)
+    ordered = np.sort(values)
+    assert got == {(c, r): ordered[r - 1] for c, r in targets}
+    assert reads.value <= 2 * (len(values) + 5)
+
+
+def test_order_statistics_without_the_sketch(spark):
+    """Ends that miss the rank are noticed; many distinct values are narrowed by bins."""
+    df = spark.range(200_000).select((F.col("id") * 1.5).alias("x"))
+    found, left = profile._enclosed(df, {("x", 10): (100.0, 200.0), ("x", 150_000): (None, None)})
+    assert left == [("x", 10)] and found == {("x", 150_000): 149_999 * 1.5}
+    with pytest.raises(ValueError):
+        profile.order_statistics(df, [("x", 200_001)])
+
+
 def test_batches(spark):
     rows = spark.range(1000)
     first = sampling.shuffled_batches(rows, 64, epoch=1).collect()
