@@ -9,14 +9,27 @@ from pyspark.sql import functions as F
 NODE_SCHEMA = "_id long, _lat double, _lon double, tag array<struct<_k:string,_v:string>>"
 
 
+#: What a record of the text ends at: every closing tag, so that the ways after the nodes are short records too.
+CLOSING = "</"
+
+
 def read_osm(spark: SparkSession, path: str) -> DataFrame:
     """Tagged nodes of OSM XML as (id, lat, lon, tags).
 
     Ways, relations and untagged nodes are dropped; of a repeated key the last value
-    counts. Give large extracts as several files: a file is a unit of work.
+    counts. A file is split between tasks like any text (unless it is compressed by gzip): it is cut at closing tags, and
+    what such a cut leaves of a tagged node, from its opening tag on, is parsed. Tags must be empty elements
+    (``<tag k="" v=""/>``), as OSM writers make them; others raise an error.
     """
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(NODE_SCHEMA).load(path)
-    tagged = nodes.where(F.size("tag") > 0)
+    cut = spark.read.option("lineSep", CLOSING).text(path).where(
+        F.when(F.col("value").startswith("tag"), F.raise_error(F.lit("OSM tags must be empty elements: <tag k=\"\" v=\"\"/>")).cast("boolean"))
+        .otherwise(F.col("value").contains("<node"))
+    )
+    # Nodes do not nest: the last one opened is the one closed here, unless it closed itself.
+    rest = cut.select(F.substring_index("value", "<node", -1).alias("rest")).where(
+        F.col("rest").contains("<tag") & ~F.substring_index("rest", "<", 1).rlike(r"/>\s*$"))
+    parsed = rest.select(F.from_xml(F.concat(F.lit("<node"), "rest", F.lit("</node>")), NODE_SCHEMA).alias("node"))
+    tagged = parsed.select("node.*").where(F.size("tag") > 0)
     # An entry survives if no later entry has its key: last value wins.
     last = F.filter("tag", lambda t, i: F.array_position(
         F.transform(F.slice("tag", i + 2, F.size("tag")), lambda later: later["_k"]), t["_k"]

@@ -25,6 +25,43 @@ def test_osm(spark, tmp_path):
     ]
 
 
+
+OSM_NODES = """<?xml version='1.0' encoding='UTF-8'?>
+<osm version="0.6">
+<bounds minlat="0" maxlat="1"/>
+<node id="1" lat="0.5" lon="1.5"/>
+<node id="2" lat="0.5" lon="-1.5" user="a &gt; b />"><tag k="name" v="caf&#233; &amp; &lt;b&gt; é😀"/>
+  <tag k='amenity' v='"x"'/> </node ><node id="3" lat="1" lon="2"></node>
+<node id="4" lat="2" lon="3"><!-- kept --><tag k="a" v=""/></node>%s
+<node id="8" lat="2" lon="3"/><way id="5"><nd ref="4"/><tag k="highway" v="node"/></way>
+<relation id="6"><member type="node" ref="4" role=""/><tag k="type" v="x"/></relation></osm>"""
+
+
+@pytest.mark.parametrize("most", [17, 64, 300, 100_000])
+def test_osm_file_is_split(spark, tmp_path, most):
+    """Wherever the splits fall, every tagged node is found once."""
+    more = "".join(f'<node id="{i}" lat="1" lon="2"><tag k="n" v="{i}"/></node>\n' for i in range(100, 140))
+    (tmp_path / "a.osm").write_text(OSM_NODES % more, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    try:
+        read = osm.read_osm(spark, str(tmp_path / "a.osm"))
+        tasks = read.rdd.getNumPartitions()
+        got = {r["id"]: (r["lat"], r["lon"], r["tags"]) for r in read.collect()}
+        assert read.count() == len(got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {2: (0.5, -1.5, {"name": "café & <b> é😀", "amenity": '"x"'}), 4: (2.0, 3.0, {"a": ""})}
+    assert got == want | {i: (1.0, 2.0, {"n": str(i)}) for i in range(100, 140)}
+    assert tasks > 1 or most == 100_000
+
+
+def test_osm_tags_that_are_not_empty_elements(spark, tmp_path):
+    (tmp_path / "a.osm").write_text('<osm><node id="1" lat="1" lon="2"><tag k="a" v="b"></tag><tag k="c" v="d"></tag></node></osm>')
+    with pytest.raises(Exception, match="empty elements"):
+        osm.read_osm(spark, str(tmp_path / "a.osm")).collect()
+
+
 def test_tag_parsing(spark):
     raw = ['{"a": "b"}', "{'a': 'x'}", "", None, "[1]", '{"a": ', '{"n": 5}']
     df = spark.createDataFrame([(r,) for r in raw], "raw string").select(tags.parse_tags("raw").alias("t"))
