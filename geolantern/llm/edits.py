@@ -39,6 +39,8 @@ KINDS = 30
 #: characters that a place is picked by.
 WHOLE, PIECES, PICKED_BY = 2, 4, 9
 BANDS, DIGITS = 16, 8
+#: Beginning of a text by which rows of one id are dealt to ranges.
+RANGED_BY = 64
 SEED = 20_25
 
 
@@ -283,7 +285,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     Documents follow one another by descending doc_id, NULL last, rows of one id by text; after the
     last comes the first. NULL texts are empty. Texts are shuffled once: a partition of the id
     range finds each next document beside its own, and only the last document of a partition
-    is met with the first of the next one in a second, small step.
+    is met with the first of the next one in a second, small step. Rows of one id are spread over partitions
+    as far as their first RANGED_BY code points differ.
     """
     def run(batches):
         import pyarrow as pa
@@ -319,7 +322,9 @@ def with_next(docs: DataFrame) -> DataFrame:
             yield boundary(2, held[0], held[1])
 
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    # The sample that ranges are drawn from holds no whole text: texts in order have their beginnings in order.
+    ranges = [order[0], F.substring("text", 1, RANGED_BY).asc_nulls_first()]
+    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*ranges).sortWithinPartitions(*order)
     done = materialize(ranged.mapInArrow(run, f"part int, kind tinyint, doc_id long, {FIELDS}, text string"), "edits")
     # One row per partition of the shuffle, whatever the number of documents.
     parts = [r[0] for r in done.where("kind = 1").select("part").orderBy("part").collect()]

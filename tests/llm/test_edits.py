@@ -32,6 +32,16 @@ def test_rows_and_next(spark):
         assert near[doc_id, own] == (edits.likeness(own, changed), edits.likeness(own, after))
 
 
+def test_rows_of_one_id_in_many_ranges(spark):
+    """Texts of one id, of none, and some that differ only after the part that ranges go by."""
+    rng = random.Random(8)
+    rows = [(d, rng.choice("é😀ab") * rng.randrange(90) + str(i)) for i, d in enumerate([7] * 60 + [None] * 60 + [3, 9])]
+    rows += [(7, "same beginning " * 10 + str(i % 5)) for i in range(20)] + [(7, ""), (7, None), (None, None)]
+    got = edits.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = expected(rows)
+    assert sorted(str((*r[:5],)) for r in got) == sorted(str(w[:5]) for w in want)
+
+
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert edits.with_next(empty).count() == 0 and edits.near_duplicates(empty).count() == 0
