@@ -19,6 +19,10 @@ BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
 WORKERS = 8
 # Most bytes of the matrices of one batch, held by one task.
 BATCH_BYTES = 1 << 30
+# Steps whose rows are dealt out by one shuffle.
+STEPS_AT_ONCE = 128
+# Most bytes of the tasks' gradients that the driver sums in a step.
+GRADIENT_BYTES = 64 << 20
 
 _PARAMS = ("text_w", "text_b", "loc_w1", "loc_b1", "loc_w2", "loc_b2", "log_scale")
 
@@ -162,6 +166,84 @@ def step_gradient(rows: DataFrame, params: dict, batch_bytes: int = BATCH_BYTES)
     return total["loss"] / total["n"], grads, total["n"]
 
 
+def _packed_batches(tables, batch_bytes: int):
+    """One row per batch, its vectors and features as bytes, of a stream sorted by batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    def packed(pieces, rows):
+        _check_batch(rows, batch_bytes)
+        table = pa.Table.from_batches(pieces).combine_chunks()
+        values = [np.asarray(table.column(c).chunk(0).flatten(), dtype="float64").tobytes() for c in ("vector", "features")]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([rows], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names=["n", "vector", "features"])
+
+    held, key, rows = [], None, 0
+    for table in tables:
+        if not table.num_rows:
+            continue
+        keys = np.asarray(table.column("batch_id"))
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and keys[lo] != key:
+                yield packed(held, rows)
+                held, rows = [], 0
+            key, rows = keys[lo], rows + hi - lo
+            held.append(table.slice(lo, hi - lo))
+    if held:
+        yield packed(held, rows)
+
+
+def _partial_gradient(params: dict):
+    """The function of a task: (loss, batches, gradient), summed over the packed batches of a partition."""
+    def run(packed):
+        import numpy as np
+
+        total = None
+        for row in packed:
+            x, f = (np.frombuffer(row[c]).reshape(row["n"], -1) for c in ("vector", "features"))
+            loss, grads = batch_step(params, x, f)
+            one = np.concatenate([[loss, 1.0], *[grads[n].reshape(-1) for n in _PARAMS]])
+            total = one if total is None else total + one
+        if total is not None:
+            yield total.tobytes()
+
+    return run
+
+
+def _run_steps(dealt: DataFrame, steps: int, workers: int, state: dict, lr: float, decay: float, batch_bytes: int) -> None:
+    """Makes ``steps`` AdamW steps over ``dealt(step, batch_id, id, vector, lat, lon)``, changing ``state``.
+
+    The rows of all these steps are dealt out by one shuffle; a step is then a job of one stage that reads the
+    partitions of its own rows. A task sums the gradients of its batches, and the driver the sums of
+    the tasks, which together take at most ``GRADIENT_BYTES``.
+    """
+    import numpy as np
+
+    context, params = dealt.sparkSession.sparkContext, state["params"]
+    size = sum(params[n].size for n in _PARAMS)
+    tasks = max(1, min(workers, context.defaultParallelism, GRADIENT_BYTES // (8 * (size + 2))))
+    part = (F.col("step") * tasks + F.col("batch_id") % tasks).cast("int")
+    rows = dealt.withColumn("_part", part).repartitionById(steps * tasks, "_part")
+    rows = rows.sortWithinPartitions("batch_id", "id").select(
+        "batch_id", "vector", sinusoidal_features("lat", "lon", state["bands"]).alias("features"))
+    packed = rows.mapInArrow(
+        lambda tables: _packed_batches(tables, batch_bytes), "n int, vector binary, features binary").rdd
+    for at in range(steps):
+        sums = context.runJob(packed, _partial_gradient(params), list(range(at * tasks, (at + 1) * tasks)))
+        if not sums:
+            continue
+        total = np.sum([np.frombuffer(x) for x in sums], axis=0)
+        grads, place, seen = {}, 2, int(total[1])
+        for name in _PARAMS:
+            shape = params[name].shape
+            grads[name] = total[place:place + params[name].size].reshape(shape) / seen
+            place += params[name].size
+        state["step"] += 1
+        adamw(params, state["first"], state["second"], grads, state["step"], lr, decay)
+        state["loss"], state["batches"] = state["loss"] + float(total[0]), state["batches"] + seen
+
+
 def train(
     pairs: DataFrame,
     weights: Projection,
@@ -177,16 +259,15 @@ def train(
     One sequence of AdamW steps over the whole cluster. Each step takes the mean gradient of up to
     ``workers`` batches, every batch contrasted within itself, and all following steps see
     the update; with one worker a step is one batch. Rows are dealt by hash to stored buckets, one
-    for each step of an epoch, once; a step reads its bucket alone. An epoch visits the buckets in an order of its
-    own and deals a bucket's rows anew to its batches. A batch has ``batch_size`` rows on average,
+    for each step of an epoch, once. An epoch visits the buckets in an order of its
+    own and deals a bucket's rows anew to its batches, those of ``STEPS_AT_ONCE`` steps
+    by one shuffle, from which each step reads its own rows. A batch has ``batch_size`` rows on average,
     as they are dealt by hash. ``workers`` belongs to the training, not to the cluster: the weights do not
     depend on the number of cores.
     """
     import numpy as np
 
-    rows = pairs.select(
-        "id", F.col("vector").cast("array<double>").alias("vector"),
-        sinusoidal_features("lat", "lon", weights.bands).alias("features"))
+    rows = materialize(pairs.select("id", "vector", "lat", "lon"), "training-rows")
     n = rows.count()
     workers = max(1, min(workers, n // batch_size))
     buckets = max(1, n // (batch_size * workers))
@@ -194,20 +275,21 @@ def train(
     stored = materialize(rows.withColumn("_bucket", bucket).repartition("_bucket"), "training", ("_bucket",))
     params = parameters(weights)
     first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    step, history = 0, []
+    state = {"params": params, "first": first, "second": second, "step": 0, "bands": weights.bands}
+    history = []
     for epoch in range(1, epochs + 1):
-        losses, batches = 0.0, 0
+        state |= {"loss": 0.0, "batches": 0}
         batch = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(epoch), "id"), F.lit(workers)).alias("batch_id")
-        for b in np.random.default_rng([seed, epoch]).permutation(buckets).tolist():
-            dealt = stored.where(F.col("_bucket") == b).select(batch, "id", "vector", "features")
-            loss, grads, seen = step_gradient(dealt, params)
-            if seen:
-                step += 1
-                adamw(params, first, second, grads, step, lr, decay)
-                losses, batches = losses + loss * seen, batches + seen
-        if not batches:
+        order = np.random.default_rng([seed, epoch]).permutation(buckets).tolist()
+        for lo in range(0, buckets, STEPS_AT_ONCE):
+            visited = order[lo:lo + STEPS_AT_ONCE]
+            step = F.array_position(F.array(*[F.lit(b) for b in visited]), F.col("_bucket")) - 1
+            dealt = stored.where(F.col("_bucket").isin(visited)).select(
+                step.cast("int").alias("step"), batch, "id", "vector", "lat", "lon")
+            _run_steps(dealt, len(visited), workers, state, lr, decay, BATCH_BYTES)
+        if not state["batches"]:
             break
-        history.append((epoch, losses / batches, float(np.exp(params["log_scale"][0]))))
+        history.append((epoch, state["loss"] / state["batches"], float(np.exp(state["params"]["log_scale"][0]))))
     trained = Projection(
         *[params[n] for n in _PARAMS[:-1]], log_scale=float(params["log_scale"][0]), bands=weights.bands
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geolantern import session
 from geolantern.constants import METHOD_FAMILY, PREPOSITIONS
-from geolantern.functions import tags, text, vectors
+from geolantern.functions import geo, tags, text, vectors
 from geolantern.operators import encode, sampling, train
 from geolantern.plans import compare, metrics, profile
 from geolantern.sources import embeddings, osm, pois, queries, workloads
@@ -243,6 +243,36 @@ def test_training(spark):
         assert weights.text_w.shape == (8, 4)
 
 
+def _training_pairs(spark, n):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.uniform(-40, 40)), float(rng.uniform(-170, 170)), rng.normal(size=4).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, lat double, lon double, vector array<double>")
+
+
+def test_training_step_is_one_job(spark):
+    """Rows are dealt out once for many steps: a step is one job, not a shuffle of its own."""
+    context = spark.sparkContext
+    context.setJobGroup("steps", "training")
+    try:
+        train.train(_training_pairs(spark, 640), encode.Projection.initial(4, 6, 8), epochs=2, batch_size=16, lr=5e-3, workers=2)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 40 <= len(context.statusTracker().getJobIdsForGroup("steps")) < 60
+
+
+def test_training_step_as_step_gradient(spark):
+    """One step of training equals the mean gradient of the same batches and one update."""
+    pairs, start = _training_pairs(spark, 60), encode.Projection.initial(4, 6, 8)
+    weights, history = train.train(pairs, start, epochs=1, batch_size=16, lr=5e-3, workers=3)
+    batch = F.pmod(F.xxhash64(F.lit(1), F.lit(1), "id"), F.lit(3)).alias("batch_id")
+    rows = pairs.select(batch, "id", "vector", geo.sinusoidal_features("lat", "lon", start.bands).alias("features"))
+    params = train.parameters(start)
+    loss, grads, _ = train.step_gradient(rows, params)
+    train.adamw(params, *[{k: np.zeros_like(v) for k, v in params.items()} for _ in range(2)], grads, 1, 5e-3, 0.01)
+    assert abs(history[0][1] - loss) < 1e-9
+    assert np.abs(weights.text_w - params["text_w"]).max() < 1e-9
+
+
 def test_order_statistics(spark):
     values = [0.0] * 300 + [float(v) for v in np.random.default_rng(5).normal(size=701)] + [1e9]
     df = spark.createDataFrame([(v, 2.0) for v in values], "x double, y double")
