@@ -92,13 +92,19 @@ def with_vec_id(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
     return df.withColumn("vec_id", F.col("id") % count)
 
 
+def with_raw(spark: SparkSession, sf: str, df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Rows with the vector that their id maps to, as column ``raw``; the only join that vectors need.
+
+    Further vectors are derived from it, so rows meet the table before they are wide.
+    """
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias(raw))
+    return with_vec_id(spark, sf, df).join(vectors, "vec_id").drop("vec_id")
+
+
 def vector_pois(spark: SparkSession, sf: str, shared: bool = False) -> DataFrame:
     """Points with ``embedding``: distinct vectors, or the shared ones for tie tests."""
-    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    joined = with_vec_id(spark, sf, pois(spark, sf)).join(vectors, "vec_id")
-    if shared:
-        return joined.drop("vec_id")
-    return joined.withColumn("embedding", shifted("embedding", "id")).drop("vec_id")
+    joined = with_raw(spark, sf, pois(spark, sf), "embedding")
+    return joined if shared else joined.withColumn("embedding", shifted("embedding", "id"))
 
 
 def queries(spark: SparkSession, sf: str, radius: float | None = None, by: str = "pair") -> DataFrame:

@@ -29,3 +29,13 @@ def test_query(spark, con, name):
         return
     cur = con.execute(contract.oracle_sql()[name])
     assert check.compare(rows, df.columns, cur.fetchall(), [d[0] for d in cur.description]) == ""
+
+
+def test_vectors_are_joined_once(spark):
+    """Points meet the vector table while they are narrow, and never themselves: one join, no copy by id."""
+    from checks import registry
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(registry._family_points(spark, SF)) == 1
