@@ -12,12 +12,21 @@ from ..functions.vectors import l2_normalize
 from .topk import _matrix, vector_topk
 
 DEFAULT_LISTS = 300
+# Points on which a centroid is fitted, on average.
+FIT_PER_LIST = 256
 
 
 def train_ivf(
     points: DataFrame, lists: int = DEFAULT_LISTS, vector: str = "embedding", seed: int = 7, rounds: int = 10
 ) -> KMeansModel:
-    """Centroids of the unit vectors of all points."""
+    """Centroids of the unit vectors of points: of all, or of some ``FIT_PER_LIST`` for each list.
+
+    The sample is drawn by a hash of the id, so it does not grow with the table. Only the centroids come from it:
+    every point is put in a list, and probing all lists is the exact search.
+    """
+    wanted, n = FIT_PER_LIST * lists, points.count()
+    if n > wanted:
+        points = points.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)) < wanted)
     unit = points.where(F.size(vector) > 0).select(array_to_vector(l2_normalize(vector)).alias("features"))
     return KMeans(k=lists, seed=seed, maxIter=rounds, initMode="random").fit(unit)
 

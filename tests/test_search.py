@@ -234,6 +234,30 @@ def test_inverted_lists(vector_points, vector_queries, spark, tmp_path):
     assert 0.4 <= recall <= 1.0
 
 
+def test_ivf_fits_a_bounded_sample(spark, tmp_path, monkeypatch):
+    """Centroids come from a bounded sample; every row is indexed, and all lists probed are the exact search."""
+    rng = np.random.default_rng(6)
+    rows = [(i, 0.0, 0.0, rng.normal(size=4).tolist()) for i in range(2000)]
+    points = spark.createDataFrame(rows, "id long, lat double, lon double, embedding array<double>")
+    seen, real = [], ann.KMeans.fit
+    monkeypatch.setattr(ann.KMeans, "fit", lambda self, df: seen.append(df.count()) or real(self, df))
+    monkeypatch.setattr(ann, "FIT_PER_LIST", 50, raising=False)
+    model = ann.train_ivf(points, 4)
+    assert 100 < seen[0] < 400
+    table = ann.ivf_table(points, model)
+    ann.write_ivf(table, str(tmp_path / "ivf"))
+    stored = spark.read.schema(table.schema).parquet(str(tmp_path / "ivf"))
+    assert stored.count() == 2000
+    asked = points.where("id % 50 = 0").withColumnRenamed("id", "qid")
+
+    def found(df):
+        return {(r["qid"], r["rank"], r["id"]) for r in df.collect()}
+
+    exact = found(topk.vector_topk(points, asked, 10, payload=()))
+    assert found(ann.ivf_search(stored, asked, 10, model, nprobe=4, payload=())) == exact
+
+
+
 def test_hyperplane_buckets(vector_points, vector_queries):
     exact = topk.vector_topk(vector_points, vector_queries, 10)
     found = ann.lsh_search(vector_points, vector_queries, 10, ann.hyperplanes(DIM, 12, 3))
