@@ -14,6 +14,8 @@ from .topk import _matrix, vector_topk
 DEFAULT_LISTS = 300
 # Points on which a centroid is fitted, on average.
 FIT_PER_LIST = 256
+# Parts over which the rows of a list are dealt.
+LIST_PARTS = 16
 
 
 def train_ivf(
@@ -77,11 +79,13 @@ def ivf_table(points: DataFrame, model, vector: str = "embedding") -> DataFrame:
 
 
 def write_ivf(table: DataFrame, path: str) -> None:
-    """Store an inverted-list table in list order, so a search skips the row groups of other lists.
+    """Store an inverted-list table, every file in list order, so a search skips the row groups of other lists.
 
-    The id is part of the range key: a list that holds a third of the rows is spread over several files.
+    Rows are dealt by list and a hash of the id: a list that holds a third of the rows is spread over several files,
+    and no ranges are drawn, for which all vectors and lists would be computed twice.
     """
-    table.repartitionByRange("list_id", "id").sortWithinPartitions("list_id", "id").write.mode("overwrite").parquet(path)
+    part = F.pmod(F.xxhash64("id"), F.lit(LIST_PARTS))
+    table.repartition("list_id", part).sortWithinPartitions("list_id", "id").write.mode("overwrite").parquet(path)
 
 
 def ivf_search(
