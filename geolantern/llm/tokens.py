@@ -35,8 +35,8 @@ SLOTS = 1 << 18
 MAGIC = b"RPR1"
 #: Encoded pieces that a Python worker remembers, over its tasks.
 CACHE = 600_000
-# The ASCII characters that are neither letters, digits, white space nor controls.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of texts that are cut and numbered at once.
+BLOCK_BYTES = 4_000_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -50,84 +50,168 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """text -> ids as little-endian uint32 bytes, with the end id.
 
-    A space before a non-space always starts a new pre-token of a byte-level BPE, so a text may
-    be cut there. Each distinct piece is encoded once; new pieces go to the tokenizer joined, and
-    the ids are told apart by the bytes they stand for.
+    Texts are cut where a pre-token of a byte-level BPE ends whatever stands around: before a space
+    with a character of a token behind it, between kinds of characters, and at single line ends. Arrow numbers
+    the distinct pieces, each is encoded once, and the ids of texts are gathered from those of the pieces.
     """
 
+    # Kinds of characters: any other (never cut beside), space, line end, letter, number, the rest, apostrophe.
+    OTHER, SPACE, LINE, LETTER, NUMBER, MARK, APOSTROPHE, UNSEEN = range(8)
+
     def __init__(self, vocabulary: str, end: int | None = END_ID):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.end = b"" if end is None else struct.pack("<I", end)
         # Characters of a byte-level token stand for one byte each.
         self.bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
-        self.known: dict[str, bytes] = {}  # by what follows the space
-        self.marks: dict[str, bytes] = {}
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        # The same merges for pieces that are one pre-token, a line each, in the characters of a byte-level token.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [i for i in range(256) if i not in shown]
+        self.characters = np.arange(256, dtype="<u4")
+        self.characters[hidden] = np.arange(256, 256 + len(hidden))
+        self.characters[10] = 10
+        self.kinds = np.full(0x110000, self.UNSEEN, dtype=np.uint8)
+        self.kinds[:128] = [self.kind(chr(i)) for i in range(128)]
+        # What a pair of neighbours allows: 1 a cut before it, 2 between, 4 if a token follows, 8 if one came before.
+        self.rules = np.zeros(64, dtype=np.uint8)
+        token = (self.LETTER, self.NUMBER, self.MARK, self.APOSTROPHE)
+        for x in token:
+            self.rules[self.SPACE * 8 + x], self.rules[x * 8 + self.LINE], self.rules[self.LINE * 8 + x] = 1, 2 + 4, 8
+            for y in token:
+                if x != y and {x, y} != {self.MARK, self.APOSTROPHE} and (x, y) != (self.APOSTROPHE, self.LETTER):
+                    self.rules[x * 8 + y] = 2
+        self.known: dict[str, bytes] = {}
+
+    def kind(self, character: str) -> int:
+        """As the tokenizer itself sees it, whatever Unicode it knows."""
+        if character.isspace():
+            return {" ": self.SPACE, "\n": self.LINE}.get(character, self.OTHER)
+        for kind, same in ((self.LETTER, "a"), (self.NUMBER, "1"), (self.MARK, "!")):
+            if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(same + character + same)) == 1:
+                return self.APOSTROPHE if character == "'" else kind
+        return self.OTHER
+
+    def cuts(self, data, starts):
+        """Places in the UTF-8 bytes ``data`` where pieces begin; ``starts``: where texts begin."""
+        import numpy as np
+
+        kinds = np.append(self.kinds[:128], np.zeros(128, dtype=np.uint8))[data]
+        leads = np.flatnonzero(data >= 0xC0)
+        sizes = 2 + (data[leads] >= 0xE0) + (data[leads] >= 0xF0)
+        for size in (2, 3, 4):
+            at = leads[sizes == size]
+            code = data[at].astype(np.int32) & (0x7F >> size)
+            for i in range(1, size):
+                code = code << 6 | data[at + i] & 0x3F
+            for c in np.unique(code[self.kinds[code] == self.UNSEEN]).tolist():
+                self.kinds[c] = self.kind(chr(c))
+            for i in range(size):
+                kinds[at + i] = self.kinds[code]
+        rules = self.rules[kinds[:-1] << 3 | kinds[1:]]
+        rules[starts[1:] - 1] = 0
+        cut = np.zeros(len(data), dtype=bool)
+        cut[:-1] = rules & 1
+        cut[1:] |= (rules & 2) > 0
+        cut[2:] |= (rules[1:] & rules[:-1] << 1 & 8) > 0
+        cut[starts] = True
+        return np.flatnonzero(cut)
+
+    def one_token(self, piece: str) -> bool:
+        """Whether a piece is one pre-token: characters of one kind, a space before them or none."""
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isascii() and body.isalpha():
+            return True
+        kinds = {int(self.kinds[ord(c)]) for c in body}
+        return kinds in ({self.LETTER}, {self.NUMBER}) or bool(kinds) and kinds <= {self.MARK, self.APOSTROPHE}
 
     def alone(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, pieces: list[str]) -> None:
-        """Latin letters and the punctuation after them are pre-tokens of their own, so ``word,`` costs
-        no more than ``word``."""
-        cut, whole = [], {}
-        for piece in pieces:
-            word = piece.rstrip(PUNCTUATION)
-            if len(word) < len(piece) and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                cut.append((piece, word))
-                if word not in self.known:
-                    whole[word] = None
-            else:
-                whole[piece] = None
-        self.encode(list(whole))
-        for piece, word in cut:
-            mark = piece[len(word):]
-            if mark not in self.marks:
-                self.marks[mark] = self.alone(mark)
-            self.known[piece] = self.known[word] + self.marks[mark]
-
-    def encode(self, pieces: list[str]) -> None:
+        """Pieces of one pre-token go to the tokenizer joined; ids are told apart by the bytes they stand for."""
         import numpy as np
 
-        for i in range(0, len(pieces), 2_000):
-            some = [" " + p for p in pieces[i:i + 2_000]]
-            joined = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
-            ids = np.array(joined.ids, dtype="<u4")
-            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
+        joined = []
+        for piece in pieces:
+            if self.one_token(piece):
+                joined.append(piece)
+            else:
+                self.known[piece] = self.alone(piece)
+        for i in range(0, len(joined), 2_000):
+            some = joined[i:i + 2_000]
+            text = np.frombuffer(("\n".join(some) + "\n").encode(), dtype=np.uint8)
+            shown = self.characters[text].tobytes().decode("utf-32-le")
+            ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(text == 10) - np.arange(len(some))
+            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
             data, at = ids.tobytes(), 0
             for piece, cut in zip(some, (cuts * 4).tolist()):
-                self.known[piece[1:]] = data[at:cut]
+                self.known[piece] = data[at:cut]
                 at = cut
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out, known = [], self.known
-        for text in texts:
-            if not text:
-                out.append(self.end)
-                continue
-            parts = text.split(" ")
-            if "" in parts or any(p[0].isspace() for p in parts):
-                whole = [parts[0]]
-                for part in parts[1:]:
-                    if part and not part[0].isspace():
-                        whole.append(part)
-                    else:
-                        whole[-1] += " " + part
-                parts = whole
-            head, rest = parts[0], parts[1:]
-            try:
-                ids = [known[p] for p in rest]
-            except KeyError:
-                if len(known) > CACHE:
-                    known.clear()
-                    self.marks.clear()
-                self.learn([p for p in dict.fromkeys(rest) if p not in known])
-                ids = [known[p] for p in rest]
-            out.append((self.alone(head) if head else b"") + b"".join(ids) + self.end)
-        return out
+    def __call__(self, texts) -> list[bytes]:
+        """``texts``: a list, or an Arrow array of strings."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.string())
+        texts = pc.fill_null(texts, "")
+        # A text that holds an added token goes to the tokenizer whole.
+        whole = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if whole.any():
+            alone = iter([self.alone(x) + self.end for x in texts.filter(pa.array(whole)).to_pylist()])
+            rest = iter(self(texts.filter(pa.array(~whole))))
+            return [next(alone) if x else next(rest) for x in whole.tolist()]
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else [0]
+        if offsets[0] == offsets[-1]:
+            return [self.end] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+
+        cuts = self.cuts(data, np.unique(offsets[:-1][offsets[:-1] < len(data)]))
+        ends = np.searchsorted(cuts, offsets[1:])
+        places = np.append(cuts, len(data)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        pieces = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(ids) if x is None]
+        self.learn([pieces[i] for i in new])
+        for i in new:
+            ids[i] = self.known[pieces[i]]
+
+        # The end id is a piece of its own after every text.
+        ids.append(self.end)
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(pieces))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        size, at = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        stop = np.cumsum(size)
+        out = np.frombuffer(b"".join(ids), dtype="<u4")[np.repeat(at - stop + size, size) + np.arange(stop[-1])].tobytes()
+        stop = (stop[ends + np.arange(len(ends))] * 4).tolist()
+        return [out[a:b] for a, b in zip([0, *stop], stop)]
+
+
+def blocks(batch):
+    """Slices of (doc_id, text) rows: texts of BLOCK_BYTES at most, or a single longer one."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at, before = stop, int(sizes[stop - 1])
 
 
 def worker_encoder(vocabulary: str, end: int | None) -> Encoder:
@@ -150,7 +234,7 @@ def compress(ids, starts):
     """
     import numpy as np
 
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     starts = starts.astype(np.int64)
     first = int(symbols.max(initial=0)) + 1
     left, right = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -158,23 +242,25 @@ def compress(ids, starts):
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        codes = (symbols[:-1] << 32) | symbols[1:]
-        slot = ((codes ^ (codes >> 29)) * 0x9E3779B1 >> 11) & (SLOTS - 1)
+        a, b = symbols[:-1], symbols[1:]
+        slot = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) >> (33 - SLOTS.bit_length())).astype(np.intp)
         inner = starts[(starts > 0) & (starts < len(symbols))] - 1
         slot[inner] = SLOTS
         counts = np.bincount(slot, minlength=SLOTS + 1)
         counts[SLOTS] = 0
         top = np.argpartition(counts, -RULES_PER_ROUND)[-RULES_PER_ROUND:]
-        rule_of = np.full(SLOTS + 1, -1, dtype=np.int64)
+        rule_of = np.full(SLOTS + 1, -1, dtype=np.int32)
         pair_of = np.full(SLOTS + 1, -1, dtype=np.int64)
         top = top[counts[top] >= MIN_COUNT]
         if not len(top):
             break
         rule_of[top] = np.arange(len(top))
         hot = np.flatnonzero(rule_of[slot] >= 0)
-        pair_of[slot[hot]] = codes[hot]
-        where = hot[codes[hot] == pair_of[slot[hot]]]
-        rule = rule_of[slot[where]]
+        slot = slot[hot]
+        codes = a[hot].astype(np.int64) << 32 | b[hot]
+        pair_of[slot] = codes
+        same = codes == pair_of[slot]
+        where, rule = hot[same], rule_of[slot[same]]
         # Of matches that overlap, the first, third, ... of the run are replaced.
         opens = np.ones(len(where), dtype=bool)
         opens[1:] = np.diff(where) != 1
@@ -185,7 +271,9 @@ def compress(ids, starts):
         symbols[where] = len(known) + rule
         left, right, known = np.append(left, a), np.append(right, b), np.append(known, known[a] + known[b])
         starts = starts - np.searchsorted(where + 1, starts)
-        symbols = np.delete(symbols, where + 1)
+        left_over = np.ones(len(symbols), dtype=bool)
+        left_over[where + 1] = False
+        symbols = symbols[left_over]
     as_u4 = lambda x: np.array(x, dtype="<u4")
     return as_u4(symbols), as_u4(starts), first, as_u4(left), as_u4(right), as_u4(known[first:])
 
@@ -228,12 +316,17 @@ class Shard:
         planes = np.frombuffer(zlib.decompress(data[at:]), dtype=np.uint8).reshape(4, n)
         self.symbols = np.ascontiguousarray(planes.T).view("<u4").ravel()
         self.ends = np.append(self.at[1:], n)
+        # What every symbol stands for, one after another, and how many ids that is.
+        rules = np.arange(self.first, self.first + rules, dtype="<u4")
+        self.spelled = np.concatenate([np.arange(self.first, dtype="<u4"), self.unfold(rules)])
+        self.sizes = np.concatenate([np.ones(self.first, dtype=np.int64), self.lengths])
+        self.places = np.cumsum(self.sizes) - self.sizes
 
     def __len__(self):
         return len(self.counts)
 
-    def expand(self, symbols):
-        """Ids of a run of symbols: all nonterminals are replaced by their pairs until none is left."""
+    def unfold(self, symbols):
+        """Ids of a few symbols: all nonterminals are replaced by their pairs until none is left."""
         import numpy as np
 
         while len(symbols) and symbols.max() >= self.first:
@@ -247,6 +340,14 @@ class Shard:
             symbols = out
         return symbols
 
+    def expand(self, symbols):
+        """Ids of a run of symbols."""
+        import numpy as np
+
+        sizes = self.sizes[symbols]
+        stop = np.cumsum(sizes)
+        return self.spelled[np.repeat(self.places[symbols] - stop + sizes, sizes) + np.arange(stop[-1] if len(stop) else 0)]
+
     def document(self, i: int):
         """Ids of the i-th document of the shard."""
         return self.expand(self.symbols[self.at[i]:self.ends[i]])
@@ -287,9 +388,8 @@ def write(docs: DataFrame, path: str, vocab: str | None = None, end: int = END_I
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for doc_id, tokens in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+            for some in blocks(batch):
+                for doc_id, tokens in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     held.append(tokens)
                     ids.append(doc_id)
                     n += len(tokens) // 4

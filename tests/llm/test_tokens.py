@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geolantern.llm import tokens
@@ -30,6 +31,31 @@ def test_ids_are_those_of_the_tokenizer(plain):
     assert encode(TEXTS[::-1]) == encode(TEXTS)[::-1]
 
 
+def test_known_words_in_new_company_are_not_learnt_again(monkeypatch):
+    encode = tokens.Encoder(tokens.vocabulary())
+    encode([" one zwölf Один 12 (", "One,", "a\nOne.", "Один"])
+    learnt = []
+    monkeypatch.setattr(encode, "learn", learnt.extend)
+    encode(["One one,\nOne (One. Один, zwölf.\nOne 12,", "Один zwölf, one"])
+    assert learnt == []
+
+
+def test_ids_of_mixed_characters(plain):
+    parts = [*" \n\t'.,!_(5²ⅷaBßжΩ字ªʰกำ\u0301\u0650\u200b\0\r\x0b\x1c\x85\xa0\u2003\u2028\u3000😀\U00010400\U0001e900", "  ", "\n\n", "the", "'s", "'ll", "--", "42",
+             "<|endoftext|>", "<|"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(2_000)]
+    got = tokens.Encoder(tokens.vocabulary())(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == list(map(plain, texts))
+
+
+def test_blocks_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 10)
+    texts = ["", None, "abcd", "ü" * 3, "x" * 40, "", "y" * 11, "z", "z" * 9, "z"]
+    cut = [b.column(1).to_pylist() for b in tokens.blocks(pa.record_batch({"doc_id": list(range(10)), "text": texts}))]
+    assert cut == [["", None, "abcd", "ü" * 3], ["x" * 40], [""], ["y" * 11], ["z", "z" * 9], ["z"]]
+
+
 def test_round_trip():
     rng = random.Random(1)
     docs = [[rng.randrange(5) for _ in range(rng.randrange(0, 400))] for _ in range(60)] + [[7] * 1000, [], [1, 1, 1], [50_256]]
