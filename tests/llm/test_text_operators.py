@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,32 @@ def test_contamination(spark):
     assert sorted(str(tuple(r)) for r in got) == contamination_brute(rows, items)
 
 
+def test_words_are_those_of_the_negated_class_and_faster(spark):
+    negated = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    anything = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x110000, 7), 0xFFFF, 0x10000, 0x10FFFF]]
+    rng = random.Random(8)
+    rows = [("".join(anything[i:i + 400]),) for i in range(0, len(anything), 400)] + [
+        ("".join(rng.choices(anything[:300] + ["the", " ", "A", "\0", "😀"], k=80)),) for _ in range(300)]
+    texts = spark.createDataFrame(rows, "text string")
+    was = F.regexp_extract_all(winnow.lower_ascii(F.col("text")), F.lit(negated), F.lit(0))
+    found = texts.select("text", was.alias("was"), winnow.words(F.col("text")).alias("tokens"),
+                         F.regexp_count("text", F.lit(winnow.ANY_CASE)).alias("n")).collect()
+    assert len(found) == len(rows) and all(r["was"] == r["tokens"] == re.findall(negated, folded(r["text"])) for r in found)
+    assert all(r["n"] == len(r["tokens"]) for r in found)
+
+    long = spark.createDataFrame([("the word, and Another one. " * 20_000,)] * 4, "text string").repartition(4)
+
+    def seconds(pattern):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            long.agg(F.sum(F.regexp_count("text", F.lit(pattern)))).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert max(seconds(winnow.WORD), seconds(winnow.ANY_CASE)) < seconds(negated) / 2
+
+
 def test_contamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
