@@ -7,7 +7,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import sinusoidal_features
 from ..session import materialize
 from .encode import NORM_EPS, Projection
 
@@ -20,7 +19,9 @@ WORKERS = 8
 # Most bytes of the matrices of one batch, held by one task.
 BATCH_BYTES = 1 << 30
 # Steps whose rows are dealt out by one shuffle.
-STEPS_AT_ONCE = 128
+STEPS_AT_ONCE = 512
+# Most bytes of a stored chunk of rows, and about the bytes of the rows that a task sorts or makes a step of.
+CHUNK_BYTES, TASK_BYTES = 1 << 20, 64 << 20
 # Most bytes of the tasks' gradients that the driver sums in a step.
 GRADIENT_BYTES = 64 << 20
 
@@ -88,22 +89,27 @@ def batch_step(params: dict, x, f):
     zt, zl = yt / nt, yl / nl
     raw = float(np.exp(params["log_scale"][0]))
     scale = min(max(raw, MIN_SCALE), MAX_SCALE)
-    cos = zt @ zl.T
-    loss_t, soft_t = _cross_entropy(scale * cos)
-    loss_l, soft_l = _cross_entropy(scale * cos.T)
-    d_logits = 0.5 * (soft_t + soft_l.T - 2 * np.eye(n)) / n
-    d_zt, d_zl = scale * d_logits @ zl, scale * d_logits.T @ zt
-    d_yt = (d_zt - zt * np.sum(zt * d_zt, axis=1, keepdims=True)) / nt
-    d_yl = (d_zl - zl * np.sum(zl * d_zl, axis=1, keepdims=True)) / nl
+    # A cosine is at most 1, so exp(scale * (cos - 1)) serves rows and columns: at least exp(-2 * MAX_SCALE).
+    soft = zt @ zl.T
+    own = float(soft.trace()) / n
+    soft -= 1.0
+    soft *= scale
+    np.exp(soft, out=soft)
+    down, across = soft.sum(axis=1), soft.sum(axis=0)
+    loss = 0.5 * float(np.mean(np.log(down) + np.log(across))) + scale * (1.0 - own)
+    soft *= np.add.outer(1.0 / down, 1.0 / across)
+    d_zt, d_zl = ((scale / n) * (0.5 * (s @ z) - z) for s, z in ((soft, zl), (soft.T, zt)))
+    along_t, along_l = (np.sum(z * d, axis=1, keepdims=True) for z, d in ((zt, d_zt), (zl, d_zl)))
+    d_yt, d_yl = (d_zt - zt * along_t) / nt, (d_zl - zl * along_l) / nl
     d_pre = (d_yl @ params["loc_w2"]) * (pre > 0)
     inside = MIN_SCALE < raw < MAX_SCALE
     grads = {
         "text_w": d_yt.T @ x, "text_b": d_yt.sum(axis=0),
         "loc_w1": d_pre.T @ f, "loc_b1": d_pre.sum(axis=0),
         "loc_w2": d_yl.T @ hidden, "loc_b2": d_yl.sum(axis=0),
-        "log_scale": np.array([np.sum(d_logits * cos) * raw if inside else 0.0]),
+        "log_scale": np.array([along_t.sum() if inside else 0.0]),
     }
-    return 0.5 * (loss_t + loss_l), grads
+    return loss, grads
 
 
 def adamw(params, first, second, grads, step, lr, decay):
@@ -166,71 +172,156 @@ def step_gradient(rows: DataFrame, params: dict, batch_bytes: int = BATCH_BYTES)
     return total["loss"] / total["n"], grads, total["n"]
 
 
-def _packed_batches(tables, batch_bytes: int):
-    """One row per batch, its vectors and features as bytes, of a stream sorted by batch."""
+def _packed(values, kind: str) -> bytes:
+    """Compressed bytes of an array."""
     import numpy as np
     import pyarrow as pa
 
-    def packed(pieces, rows):
-        _check_batch(rows, batch_bytes)
-        table = pa.Table.from_batches(pieces).combine_chunks()
-        values = [np.asarray(table.column(c).chunk(0).flatten(), dtype="float64").tobytes() for c in ("vector", "features")]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names=["n", "vector", "features"])
+    return pa.compress(np.ascontiguousarray(values, dtype=kind).tobytes(), "lz4", asbytes=True)
 
-    held, key, rows = [], None, 0
+
+def _unpacked(value, kind: str, *shape: int):
+    """The array of ``_packed`` bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = int(np.prod(shape)) * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(bytes(value), size, "lz4"), kind).reshape(shape)
+
+
+def _layout(rows: DataFrame, width: int, workers: int) -> tuple[int, str, str]:
+    """Numbers of a vector, and the narrowest number types that hold its values and those of batches."""
+    vector = "float32" if rows.schema["vector"].dataType.elementType.typeName() == "float" else "float64"
+    return width, vector, "uint8" if workers <= 1 << 8 else "uint16" if workers <= 1 << 16 else "int32"
+
+
+def _row_bytes(layout: tuple[int, str, str]) -> int:
+    return layout[0] * (4 if layout[1] == "float32" else 8) + 24
+
+
+def _packed_chunks(tables, epochs: int, layout: tuple[int, str, str]):
+    """One row per chunk of a bucket's rows, of a stream sorted by bucket: arrays as bytes, the batches by epoch."""
+    import numpy as np
+    import pyarrow as pa
+
+    width, kind, batch_kind = layout
+    at_once = max(1, CHUNK_BYTES // _row_bytes(layout))
+    names = ["_bucket", "chunk", "n", "vector", "place", *[f"batch_{e}" for e in range(1, epochs + 1)]]
+    last, chunk = None, 0
     for table in tables:
-        if not table.num_rows:
+        n, lists = table.num_rows, table.column("vector")
+        if not n:
             continue
-        keys = np.asarray(table.column("batch_id"))
-        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if held and keys[lo] != key:
-                yield packed(held, rows)
-                held, rows = [], 0
-            key, rows = keys[lo], rows + hi - lo
-            held.append(table.slice(lo, hi - lo))
-    if held:
-        yield packed(held, rows)
-
-
-def _partial_gradient(params: dict):
-    """The function of a task: (loss, batches, gradient), summed over the packed batches of a partition."""
-    def run(packed):
+        if lists.null_count or (np.diff(np.asarray(lists.offsets)) != width).any():
+            raise ValueError(f"a training vector is NULL or has not {width} numbers")
+        keys, vectors = np.asarray(table.column("_bucket")), np.asarray(lists.flatten()).reshape(n, width)
+        place = np.stack([table.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon")])
+        batches = np.asarray(table.column("_batches").flatten()).reshape(n, -1)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), n]
+        for begin, end in zip(cuts, cuts[1:]):
+            for lo in range(begin, end, at_once):
+                hi = min(end, lo + at_once)
+                last, chunk = keys[lo], chunk + 1 if keys[lo] == last else 0
+                numbers = [pa.array([v], pa.int32()) for v in (last, chunk, hi - lo)]
+                values = [_packed(vectors[lo:hi], kind), _packed(place[:, lo:hi], "float64"),
+                          *[_packed(batches[lo:hi, e], batch_kind) for e in range(epochs)]]
+                yield pa.RecordBatch.from_arrays(numbers + [pa.array([v], pa.binary()) for v in values], names=names)
+
+
+def _store_buckets(
+    rows: DataFrame, n: int, buckets: int, workers: int, epochs: int, seed: int, layout: tuple[int, str, str]
+) -> DataFrame:
+    """The ``n`` rows by bucket and in order of id, stored as chunks with the batch of every row in every epoch."""
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)).cast("int")
+    batches = F.transform(F.sequence(F.lit(1), F.lit(max(1, epochs))), lambda e: F.pmod(
+        F.xxhash64(F.lit(seed + 1), e, "id"), F.lit(workers)).cast("int"))
+    parts = max(min(buckets, rows.sparkSession.sparkContext.defaultParallelism), n * _row_bytes(layout) // TASK_BYTES)
+    ordered = rows.withColumn("_bucket", bucket).repartition(parts, "_bucket").sortWithinPartitions("_bucket", "id")
+    schema = "_bucket int, chunk int, n int, vector binary, place binary" + "".join(
+        f", batch_{e} binary" for e in range(1, epochs + 1))
+    chunks = ordered.select("_bucket", "vector", "lat", "lon", batches.alias("_batches")).mapInArrow(
+        lambda tables: _packed_chunks(tables, epochs, layout), schema)
+    return materialize(chunks, "training", ("_bucket",))
+
+
+def _deal(stored: DataFrame, visited: list[int], epoch: int, tasks: int, layout: tuple[int, str, str]):
+    """The rows of the visited buckets as an RDD; partition ``step * tasks + batch % tasks`` has a batch of a step.
+
+    A chunk is cut into a piece (chunk, n, vector, place, batch) for every task, so pieces are shuffled, not rows.
+    """
+    width, kind, batch_kind = layout
+    step = {b: i for i, b in enumerate(visited)}
+
+    def pieces(chunks):
         import numpy as np
 
-        total = None
-        for row in packed:
-            x, f = (np.frombuffer(row[c]).reshape(row["n"], -1) for c in ("vector", "features"))
-            loss, grads = batch_step(params, x, f)
-            one = np.concatenate([[loss, 1.0], *[grads[n].reshape(-1) for n in _PARAMS]])
-            total = one if total is None else total + one
-        if total is not None:
-            yield total.tobytes()
+        for bucket, chunk, n, vector, place, batch in chunks:
+            vector, place = _unpacked(vector, kind, n, width), _unpacked(place, "float64", 2, n)
+            batch = _unpacked(batch, batch_kind, n)
+            task = batch % tasks
+            for t in np.unique(task).tolist():
+                mine = np.flatnonzero(task == t)
+                yield step[bucket] * tasks + t, (
+                    chunk, len(mine), _packed(vector[mine], kind), _packed(place[:, mine], "float64"),
+                    _packed(batch[mine], batch_kind))
+
+    chunks = stored.where(F.col("_bucket").isin(visited)).select(
+        "_bucket", "chunk", "n", "vector", "place", f"batch_{epoch}")
+    return chunks.rdd.mapPartitions(pieces).partitionBy(len(visited) * tasks, int)
+
+
+def features_of(lat, lon, bands):
+    """``sinusoidal_features`` of arrays, a row for each place."""
+    import numpy as np
+
+    angles = [np.multiply.outer(np.radians(a), np.asarray(bands, dtype="float64")) for a in (lon, lat)]
+    return np.concatenate([fn(a) for a in angles for fn in (np.sin, np.cos)], axis=1)
+
+
+def _partial_gradient(params: dict, bands: tuple, layout: tuple[int, str, str], batch_bytes: int):
+    """The function of a task: (loss, batches, gradient), summed over the batches of its pieces."""
+    width, kind, batch_kind = layout
+
+    def run(pieces):
+        import gc
+
+        import numpy as np
+
+        # A worker collects garbage after every task; looking through all modules takes it longer than a step.
+        if not gc.get_freeze_count():
+            gc.collect()
+            gc.freeze()
+        held = sorted((piece for _, piece in pieces), key=lambda piece: piece[0])
+        if not held:
+            return
+        batch = np.concatenate([_unpacked(b, batch_kind, n) for _, n, _, _, b in held])
+        x = np.concatenate([_unpacked(v, kind, n, width) for _, n, v, _, _ in held])
+        lat, lon = np.concatenate([_unpacked(p, "float64", 2, n) for _, n, _, p, _ in held], axis=1)
+        order = np.argsort(batch, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(batch[order])) + 1).tolist(), len(order)]
+        total = 0.0
+        for lo, hi in zip(cuts, cuts[1:]):
+            _check_batch(hi - lo, batch_bytes)
+            mine = order[lo:hi]
+            loss, grads = batch_step(params, x[mine].astype("float64"), features_of(lat[mine], lon[mine], bands))
+            total = total + np.concatenate([[loss, 1.0], *[grads[n].reshape(-1) for n in _PARAMS]])
+        yield total.tobytes()
 
     return run
 
 
-def _run_steps(dealt: DataFrame, steps: int, workers: int, state: dict, lr: float, decay: float, batch_bytes: int) -> None:
-    """Makes ``steps`` AdamW steps over ``dealt(step, batch_id, id, vector, lat, lon)``, changing ``state``.
+def _run_steps(dealt, steps: int, tasks: int, layout: tuple, state: dict, lr: float, decay: float, batch_bytes: int) -> None:
+    """Makes ``steps`` AdamW steps over the rows that ``_deal`` dealt out, changing ``state``.
 
-    The rows of all these steps are dealt out by one shuffle; a step is then a job of one stage that reads the
-    partitions of its own rows. A task sums the gradients of its batches, and the driver the sums of
-    the tasks, which together take at most ``GRADIENT_BYTES``.
+    A step is a job of one stage that reads the partitions of its own rows. A task sums the gradients
+    of its batches, and the driver the sums of the tasks.
     """
     import numpy as np
 
-    context, params = dealt.sparkSession.sparkContext, state["params"]
-    size = sum(params[n].size for n in _PARAMS)
-    tasks = max(1, min(workers, context.defaultParallelism, GRADIENT_BYTES // (8 * (size + 2))))
-    part = (F.col("step") * tasks + F.col("batch_id") % tasks).cast("int")
-    rows = dealt.withColumn("_part", part).repartitionById(steps * tasks, "_part")
-    rows = rows.sortWithinPartitions("batch_id", "id").select(
-        "batch_id", "vector", sinusoidal_features("lat", "lon", state["bands"]).alias("features"))
-    packed = rows.mapInArrow(
-        lambda tables: _packed_batches(tables, batch_bytes), "n int, vector binary, features binary").rdd
+    params = state["params"]
     for at in range(steps):
-        sums = context.runJob(packed, _partial_gradient(params), list(range(at * tasks, (at + 1) * tasks)))
+        run = _partial_gradient(params, state["bands"], layout, batch_bytes)
+        sums = dealt.context.runJob(dealt, run, list(range(at * tasks, (at + 1) * tasks)))
         if not sums:
             continue
         total = np.sum([np.frombuffer(x) for x in sums], axis=0)
@@ -271,22 +362,22 @@ def train(
     n = rows.count()
     workers = max(1, min(workers, n // batch_size))
     buckets = max(1, n // (batch_size * workers))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)).cast("int")
-    stored = materialize(rows.withColumn("_bucket", bucket).repartition("_bucket"), "training", ("_bucket",))
     params = parameters(weights)
+    layout = _layout(rows, params["text_w"].shape[1], workers)
+    stored = _store_buckets(rows, n, buckets, workers, epochs, seed, layout)
+    # Tasks of a step: one for a slot, more where their rows take too much, fewer where their gradients do.
+    wanted = max(rows.sparkSession.sparkContext.defaultParallelism, batch_size * workers * _row_bytes(layout) // TASK_BYTES)
+    size = sum(params[name].size for name in _PARAMS)
+    tasks = max(1, min(workers, wanted, GRADIENT_BYTES // (8 * (size + 2))))
     first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
     state = {"params": params, "first": first, "second": second, "step": 0, "bands": weights.bands}
     history = []
     for epoch in range(1, epochs + 1):
         state |= {"loss": 0.0, "batches": 0}
-        batch = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(epoch), "id"), F.lit(workers)).alias("batch_id")
         order = np.random.default_rng([seed, epoch]).permutation(buckets).tolist()
         for lo in range(0, buckets, STEPS_AT_ONCE):
             visited = order[lo:lo + STEPS_AT_ONCE]
-            step = F.array_position(F.array(*[F.lit(b) for b in visited]), F.col("_bucket")) - 1
-            dealt = stored.where(F.col("_bucket").isin(visited)).select(
-                step.cast("int").alias("step"), batch, "id", "vector", "lat", "lon")
-            _run_steps(dealt, len(visited), workers, state, lr, decay, BATCH_BYTES)
+            _run_steps(_deal(stored, visited, epoch, tasks, layout), len(visited), tasks, layout, state, lr, decay, BATCH_BYTES)
         if not state["batches"]:
             break
         history.append((epoch, state["loss"] / state["batches"], float(np.exp(state["params"]["log_scale"][0]))))

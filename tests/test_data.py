@@ -273,6 +273,70 @@ def test_training_step_as_step_gradient(spark):
     assert np.abs(weights.text_w - params["text_w"]).max() < 1e-9
 
 
+def test_training_pieces_hold_every_row_once(spark, monkeypatch):
+    """Chunks and pieces of a step hold the rows of its bucket with their batches, in order of id, values unchanged."""
+    monkeypatch.setattr(train, "CHUNK_BYTES", 300)
+    rng = np.random.default_rng(9)
+    ids = [*range(60), None, 7, 7]
+    rows = [(i, *rng.uniform(-80, 80, 2).tolist(), rng.normal(size=3).tolist()) for i in ids]
+    for kind in ("float", "double"):
+        pairs = spark.createDataFrame(rows, f"id long, lat double, lon double, vector array<{kind}>")
+        layout = train._layout(pairs, 3, 5)
+        assert layout == (3, {"float": "float32", "double": "float64"}[kind], "uint8")
+        stored = train._store_buckets(pairs, len(rows), 4, 5, 2, 0, layout)
+        assert stored.count() > 4
+        hashed = pairs.select("*", F.pmod(F.xxhash64(F.lit(0), "id"), F.lit(4)).alias("bucket"),
+                              F.pmod(F.xxhash64(F.lit(1), F.lit(2), "id"), F.lit(5)).alias("batch")).collect()
+        dealt = train._deal(stored, [2, 0, 3], 2, 2, layout)
+        parts = dealt.glom().collect()
+        assert len(parts) == 6
+        for at, part in enumerate(parts):
+            got = []
+            for _, (_, n, vector, place, batch) in sorted(part, key=lambda piece: piece[1][0]):
+                places, batches = train._unpacked(place, "float64", 2, n), train._unpacked(batch, "uint8", n)
+                got += [(*p, *v, b) for p, v, b in zip(
+                    places.T.tolist(), train._unpacked(vector, layout[1], n, 3).tolist(), batches.tolist())]
+            mine = [r for r in hashed if r.bucket == [2, 0, 3][at // 2] and r.batch % 2 == at % 2]
+            want = [((-1 if r.id is None else r.id), (r.lat, r.lon, *r.vector, r.batch)) for r in mine]
+            assert sorted(got) == sorted(w for _, w in want)
+            place_id = {w[:2]: i for i, w in want}
+            assert [place_id[g[:2]] for g in got] == sorted(i for i, _ in want)
+
+
+def test_training_refuses_vectors_of_other_length(spark):
+    for bad in ("array(1D, 2D, 3D)", "CAST(NULL AS array<double>)"):
+        pairs = _training_pairs(spark, 40).withColumn("vector", F.when(F.col("id") == 5, F.expr(bad)).otherwise(F.col("vector")))
+        with pytest.raises(Exception, match="NULL or has not 4 numbers"):
+            train.train(pairs, encode.Projection.initial(4, 6, 8), epochs=1, batch_size=16, workers=2)
+
+
+def test_features_of_arrays_are_those_of_columns(spark):
+    rows = [(90.0, -180.0), (-37.9, 144.7), (0.0, 0.0), (-90.0, 180.0), (None, 3.0)]
+    found = spark.createDataFrame(rows, "lat double, lon double").select(geo.sinusoidal_features("lat", "lon", (1.0, 3.0)).alias("f")).collect()
+    lat, lon = np.array([[np.nan if v is None else v for v in r] for r in rows]).T
+    want = np.array([[np.nan if v is None else v for v in r.f] for r in found])
+    assert np.allclose(train.features_of(lat, lon, (1.0, 3.0)), want, atol=1e-14, rtol=0, equal_nan=True)
+
+
+def test_a_batch_takes_one_exponential_of_its_matrix(monkeypatch):
+    """Rows and columns share it, also where the similarities are far apart; the loss is that of the plain form."""
+    rng, weights = np.random.default_rng(4), encode.Projection.initial(6, 4, 5)
+    x, f = rng.normal(size=(30, 6)), rng.normal(size=(30, 16))
+    sizes, exp = [], np.exp
+    for log_scale in (-9.0, 0.0, 3.0, 20.0):
+        params = train.parameters(weights) | {"log_scale": np.array([log_scale])}
+        yt = x @ params["text_w"].T + params["text_b"]
+        yl = np.maximum(f @ params["loc_w1"].T + params["loc_b1"], 0) @ params["loc_w2"].T + params["loc_b2"]
+        zt, zl = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6) for y in (yt, yl))
+        want = train.info_nce(zt, zl, log_scale)
+        with monkeypatch.context() as patched:
+            patched.setattr(np, "exp", lambda v, *a, **k: (sizes.append(np.size(v)), exp(v, *a, **k))[1])
+            loss, grads = train.batch_step(params, x, f)
+        assert abs(loss - want) < 1e-12 * max(1.0, abs(want))
+        assert all(np.isfinite(g).all() for g in grads.values())
+    assert sizes.count(30 * 30) == 4
+
+
 def test_order_statistics(spark):
     values = [0.0] * 300 + [float(v) for v in np.random.default_rng(5).normal(size=701)] + [1e9]
     df = spark.createDataFrame([(v, 2.0) for v in values], "x double, y double")
