@@ -76,11 +76,15 @@ def info_nce_loss(
     return rows.groupBy("batch_id").applyInArrow(per_batch, "batch_id long, n long, loss double")
 
 
-def batch_step(params: dict, x, f):
-    """Loss and gradients of one batch of text vectors ``x`` and location features ``f``."""
+def batch_step(params: dict, x, f, room=None):
+    """Loss and gradients of one batch of text vectors ``x`` and location features ``f``.
+
+    ``room`` has 2 * n * n doubles that batches use one after another, as fresh memory takes longer than the sums in it.
+    """
     import numpy as np
 
     n = len(x)
+    soft, weight = (np.empty(2 * n * n) if room is None else room[:2 * n * n]).reshape(2, n, n)
     yt = x @ params["text_w"].T + params["text_b"]
     pre = f @ params["loc_w1"].T + params["loc_b1"]
     hidden = np.maximum(pre, 0.0)
@@ -90,14 +94,14 @@ def batch_step(params: dict, x, f):
     raw = float(np.exp(params["log_scale"][0]))
     scale = min(max(raw, MIN_SCALE), MAX_SCALE)
     # A cosine is at most 1, so exp(scale * (cos - 1)) serves rows and columns: at least exp(-2 * MAX_SCALE).
-    soft = zt @ zl.T
+    np.matmul(zt, zl.T, out=soft)
     own = float(soft.trace()) / n
     soft -= 1.0
     soft *= scale
     np.exp(soft, out=soft)
     down, across = soft.sum(axis=1), soft.sum(axis=0)
     loss = 0.5 * float(np.mean(np.log(down) + np.log(across))) + scale * (1.0 - own)
-    soft *= np.add.outer(1.0 / down, 1.0 / across)
+    soft *= np.add.outer(1.0 / down, 1.0 / across, out=weight)
     d_zt, d_zl = ((scale / n) * (0.5 * (s @ z) - z) for s, z in ((soft, zl), (soft.T, zt)))
     along_t, along_l = (np.sum(z * d, axis=1, keepdims=True) for z, d in ((zt, d_zt), (zl, d_zl)))
     d_yt, d_yl = (d_zt - zt * along_t) / nt, (d_zl - zl * along_l) / nl
@@ -299,11 +303,12 @@ def _partial_gradient(params: dict, bands: tuple, layout: tuple[int, str, str],
         lat, lon = np.concatenate([_unpacked(p, "float64", 2, n) for _, n, _, p, _ in held], axis=1)
         order = np.argsort(batch, kind="stable")
         cuts = [0, *(np.flatnonzero(np.diff(batch[order])) + 1).tolist(), len(order)]
-        total = 0.0
+        widest = int(np.diff(cuts).max())
+        _check_batch(widest, batch_bytes)
+        total, room = 0.0, np.empty(2 * widest * widest)
         for lo, hi in zip(cuts, cuts[1:]):
-            _check_batch(hi - lo, batch_bytes)
             mine = order[lo:hi]
-            loss, grads = batch_step(params, x[mine].astype("float64"), features_of(lat[mine], lon[mine], bands))
+            loss, grads = batch_step(params, x[mine].astype("float64"), features_of(lat[mine], lon[mine], bands), room)
             total = total + np.concatenate([[loss, 1.0], *[grads[n].reshape(-1) for n in _PARAMS]])
         yield total.tobytes()
 
